@@ -122,6 +122,6 @@ def mix_records(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tot
     rest = own.where("not cut").withColumn("more", F.col("within").cast("int"))
     chosen = rest.unionByName(edge).withColumn("repeats", F.col("whole") + F.col("more")).where("repeats > 0").select("doc_id", "source_key", "n_tokens", "repeats")
     used = chosen.groupBy("source_key").agg(F.count("*").alias("records_used"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
-    all_tokens = used.agg(F.sum("tokens_used").alias("all_tokens"))
-    report = plan.join(F.broadcast(used), "source_key", "left").crossJoin(F.broadcast(all_tokens)).select("source_key", "target_share", "max_repeats", "n_records", "n_tokens_available", F.coalesce("records_used", F.lit(0)).alias("records_used"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
+    every = Window.partitionBy(F.lit(1))  # over the report's rows, one a target
+    report = plan.join(F.broadcast(used), "source_key", "left").withColumn("all_tokens", F.sum("tokens_used").over(every)).select("source_key", "target_share", "max_repeats", "n_records", "n_tokens_available", F.coalesce("records_used", F.lit(0)).alias("records_used"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
     return chosen, report
