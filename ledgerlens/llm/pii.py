@@ -50,7 +50,7 @@ _POSTCODES = re.compile(r"[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}|[A-Z]{2}\s*\d{5}(
 _ADDR_FORMS = {
     "uk": re.compile(r"(?:(?:flat|unit|apt|apartment|suite)\s*\d+\w?\s*,\s*)?\d+\w?\s+(?:[NSEW]\.?\s+|st\.?\s+)?[\w'’.]+(?:\s+[\w'’.]+){0,3}\s*[,\n]\s*[\w ]+?\s+[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}", re.I),
     "us": re.compile(r"\d+\w?\s+(?:[NSEW]\.?\s+|st\.?\s+)?[\w'’.]+(?:\s+[\w'’.]+){0,3}(?:\s*,\s*(?:apt|unit|suite|flat)\.?\s*\d+\w?)?\s*[,\n]\s*[\w ]+?,?\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?", re.I),
-    "de": re.compile(r"(?:am|an der|an|im|zum|auf dem|unter den)?\s*[^\W\d]+(?:[ -][^\W\d]+){0,3}\s+\d+\w?\s*[,\n]\s*\d{5}\s+[^\W\d]+(?:\s+[^\W\d]+){0,2}", re.I),
+    "de": re.compile(r"(?:am|an der|an|im|zum|auf dem|unter den)?\s*[^\W\d]+(?:[ -][^\W\d]+){0,3}\.?\s+\d+\w?\s*[,\n]\s*\d{5}\s+[^\W\d]+(?:\s+[^\W\d]+){0,2}", re.I),
     "it": re.compile(r"\d+(?:\s*(?:bis|ter|[a-d]))?\s*,?\s+(?:via|viale|piazza|rue|avenue|calle|chemin)\s+[^\W\d]+(?:\s+[^\W\d]+){0,4}\s*[,\n]\s*\d{5}\s+[^\W\d]+(?:\s+[^\W\d]+){0,2}", re.I),
 }
 
@@ -150,7 +150,7 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     lines += 1
                 if lines > 1 or (not y.isalnum() and y not in ",.-'’" and not y.replace("'", "").replace("’", "").isalpha()):
                     break
-                if y == "." and len(t[j - 1]) > 4:
+                if y == "." and len(t[j - 1]) > 4 and not d.low[j - 1].endswith("str"):
                     break
                 small = y.isalpha() and y.islower() and not d.low[j] in STREET_FIRST | UNITS | STREETS | {"bis", "ter"} and not (y == "s" and t[j - 1] in "'’")
                 run_small = run_small + 1 if small else 0
@@ -161,7 +161,7 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                 if j - i >= 4 and words >= 2 and digit >= 2 and y.isalnum() and not (j + 1 < n and not d.sp[j + 1] and t[j + 1].isalnum()):
                     out.append((i, j + 1, "street_address"))
         if k[i] in "GSUIgsu":
-            full = bool(i) and (d.low[i - 1] in TITLES or t[i - 1] == "." and i > 1 and d.low[i - 2] in TITLES)
+            full = bool(i) and (t[i - 1][0].isupper() and d.low[i - 1] in TITLES or t[i - 1] == "." and i > 1 and t[i - 2][0].isupper() and d.low[i - 2] in TITLES)
             for j in range(i, min(n, i + LONGEST["person_name"])):
                 c = k[j]
                 if c in "GSUIgsuP":
@@ -260,7 +260,7 @@ def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
             f.append("person_name:unknown")
         if "," in pat:
             f.append("person_name:comma_" + ("given" if pat.split(",")[1][:1] in "GgI" and "S" in pat.split(",")[0].upper() else "other"))
-        if p in TITLES or (p == "." and a > 1 and low[a - 2] in TITLES and t[a - 2] != "M" or p == "." and a > 1 and t[a - 2] in ("M", "Dr", "Prof")):
+        if (a and t[a - 1][0].isupper() and p in TITLES) or (p == "." and a > 1 and t[a - 2][0].isupper() and low[a - 2] in TITLES):
             f.append("person_name:title_before")
         if before & NAME_CUES or p in ":|,":
             f.append("person_name:cue_before")
@@ -408,7 +408,7 @@ def known_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """(w) words that the corpus mostly or often writes small, so a capital makes no name of them."""
     w = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PLAIN_WORD), F.lit(0))).alias("x"))
     c = w.groupBy(F.lower("x").alias("w")).agg(F.count("*").alias("n"), F.sum((F.col("x") == F.lower("x")).cast("int")).alias("small"))
-    return c.where("n >= 3 and small >= 0.3 * n and length(w) >= 2").select("w")
+    return c.where("n >= 3 and small >= 0.5 * n and length(w) >= 2").select("w")
 
 
 def find_pii(texts: DataFrame, ids: list[str], text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:

@@ -43,6 +43,8 @@ class Maker:
     def person(self) -> str:
         r = self.r
         g, s = self.c(sorted(GIVEN)).capitalize(), self.surname()
+        if r.random() < 0.25:  # a given name no list holds
+            g = (self.c(ROOTS) + self.c(["ia", "el", "ine", "uk", "ano", "isol"])).capitalize()
         if r.random() < 0.08:
             s = s + "-" + self.surname()
         if r.random() < 0.05:
@@ -105,7 +107,7 @@ class Maker:
         elif x < 0.8:
             a = f"{house} {street}{brk}{town} {self.letters(2)} {n(5)}-{n(4)}"
         elif x < 0.9:
-            a = f"{self.c(['Am Alten Markt', 'An der Mühle', 'Lange Gasse', 'Hauptstraße', 'Am Kanal', 'Zum Hafen', 'Unter den Erlen', 'Kirchweg'])} {r.randint(1, 120)}{brk}{n(5)} {town}"
+            a = f"{self.c(['Am Alten Markt', 'An der Mühle', 'Lange Gasse', 'Hauptstraße', 'Am Kanal', 'Zum Hafen', 'Unter den Erlen', 'Kirchweg', 'Erlenstr.', 'Gartenstr.', 'Talweg', 'Mühlgasse'])} {r.randint(1, 220)}{self.c(['', '', 'a', 'b'])}{brk}{n(5)} {town}"
         else:
             a = f"{r.randint(1, 99)}{self.c(['', ' bis', ' ter'])}, {self.c(['via dei Mulini', 'rue de la Gare', 'via delle Rose', 'calle del Sol', 'rue du Moulin', 'piazza San Marco'])}{brk}{n(5)} {town}"
         return a.upper() if r.random() < 0.14 else a
@@ -181,7 +183,7 @@ def small_words(texts: list[tuple[str, list]]) -> set[str]:
         for w in regex.findall(PLAIN_WORD, t):
             n[w.lower()] += 1
             small[w.lower()] += w.islower()
-    return {w for w in n if n[w] >= 3 and small[w] >= 0.3 * n[w]}
+    return {w for w in n if n[w] >= 3 and small[w] >= 0.5 * n[w]}
 
 
 def gold_arcs(d: Doc, gold: list[tuple[int, int, str]]) -> set[tuple[int, int, str]]:
