@@ -276,6 +276,8 @@ def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
             f.append("person_name:org_after")
         if p in ("@", "&") or q in ("@", "＠") or (q == "." and glue_q and b + 1 < d.n and not d.sp[b + 1]) or (q in "_+" and glue_q) or (glue_p and p in "._+-@/"):
             f.append("person_name:in_address")
+        if any(k[x] == "I" and not d.sp[x] for x in range(a + 1, b)):
+            f.append("person_name:glued_initials")
         if any(d.nl[x] for x in range(a + 1, b)):
             f.append("person_name:line_end_inside")
         if low[b - 1] in STREETS or q in STREETS:
