@@ -105,45 +105,45 @@ def vector_topk(items: DataFrame, query: list[float], k: int = 5, vec: str = "em
     return items.where(F.col(vec).isNotNull()).withColumn("distance", d).orderBy("distance", key).limit(max(k, 0))
 
 
-def vector_join_topk(items: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", key: str = "vec_id", block: int = 2_000) -> DataFrame:
+def vector_join_topk(items: DataFrame, queries: DataFrame, k: int = 5, vec: str = "embedding", key: str = "vec_id", block: int = 256) -> DataFrame:
     """(query_id, key, similarity, rank) of the ``k`` most similar items of each query vector (query_id,
     query_vec): a stated query set in blocks against all rows.
 
-    Each Arrow batch multiplies with the block of queries and keeps k rows a query, so what is shuffled is
-    bounded by batches x queries x k, never by pairs.
+    Items are packed into blocks where they lie; each meets each block of queries once, and k rows a query
+    leave the task. Neither side passes through the driver, and what is shuffled for the ranking is bounded
+    by item blocks x queries x k, never by pairs.
     """
     import numpy as np
     import pandas as pd
 
-    rows = [(r["query_id"], r["query_vec"]) for r in queries.where("query_id is not null and query_vec is not null").orderBy("query_id").toLocalIterator()]
     kt, qt = items.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    src = items.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(key, vec)
-    out = None
-    for at in range(0, max(len(rows), 1), block):
-        part = rows[at : at + block]
-
-        def run(batches, part=part):
-            ids = [i for i, _ in part]
-            q = np.array([v for _, v in part], dtype=np.float64)
-            if len(ids):
-                n = np.linalg.norm(q, axis=1, keepdims=True)
-                q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
-            for p in batches:
-                if not len(p) or not len(ids):
-                    continue
-                m = np.stack([np.asarray(v, dtype=np.float64) for v in p[vec]])
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-                s = q @ m.T
-                keys = p[key].to_numpy()
-                made = []
-                for i, row in zip(ids, s):
-                    top = np.lexsort((keys, -np.round(row, 12)))[:k]
-                    made += [(i, keys[t], float(row[t])) for t in top]
-                yield pd.DataFrame(made, columns=["query_id", key, "similarity"])
-
-        one = src.mapInPandas(run, f"query_id {qt}, {key} {kt}, similarity double")
-        out = one if out is None else out.unionByName(one)
+    src = items.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    q = queries.where("query_id is not null and query_vec is not null").select(F.col("query_id").alias("q"), F.col("query_vec").cast("array<double>").alias("v"))
+    parts = max(1, -(-q.count() // block))
+    qb = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(parts)).alias("b")).agg(F.collect_list("q").alias("qs"), F.collect_list("v").alias("qv"))
+
+    def pack(batches):
+        for p in batches:
+            for a in range(0, len(p), block):
+                x = p.iloc[a : a + block]
+                yield pd.DataFrame({"ks": [list(x["k"])], "kv": [[list(v) for v in x["v"]]]})
+
+    def unit(rows) -> np.ndarray:
+        m = np.array([np.asarray(v, dtype=np.float64) for v in rows])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(batches):
+        for p in batches:
+            made = []
+            for ks, kv, qs, qv in zip(p["ks"], p["kv"], p["qs"], p["qv"]):
+                keys, s = np.asarray(ks), unit(qv) @ unit(kv).T
+                for one, row in zip(qs, s):
+                    made += [(one, keys[t], float(row[t])) for t in np.lexsort((keys, -np.round(row, 12)))[:k]]
+            yield pd.DataFrame(made, columns=["query_id", key, "similarity"])
+
+    ib = src.mapInPandas(pack, f"ks array<{kt}>, kv array<array<double>>")
+    out = ib.crossJoin(broadcast_if_small(qb, 64)).select("ks", "kv", "qs", "qv").mapInPandas(run, f"query_id {qt}, {key} {kt}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

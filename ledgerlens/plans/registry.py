@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import quantities
+from ledgerlens.plans import quantities, retrieval_plans, statement_plans, text_plans
 
-MODULES = (quantities,)
+MODULES = (statement_plans, text_plans, retrieval_plans, quantities)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

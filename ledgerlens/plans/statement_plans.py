@@ -19,21 +19,24 @@ def yearly_facts(spark: SparkSession, d: str, quarter: bool = False) -> DataFram
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    # Exact decimals per line, so sums don't depend on their order.
+    price, disc, tax = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)"), F.col("l_tax").cast("decimal(4,2)")
     per = li.groupBy("l_orderkey").agg(
-        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.sum(F.col("l_extendedprice") * 0.6).alias("cost"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("expense"),
-        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") * 0.02).otherwise(0.0)).alias("interest"), F.sum("l_quantity").alias("quantity"),
+        F.sum(price * (F.lit(1).cast("decimal(4,2)") - disc)).alias("revenue"), F.sum(price * F.lit("0.6").cast("decimal(2,1)")).alias("cost"), F.sum(price * tax).alias("expense"),
+        F.sum(F.when(F.col("l_returnflag") == "R", price * F.lit("0.02").cast("decimal(3,2)"))).alias("interest"), F.sum("l_quantity").alias("quantity"),
     )
     j = per.join(o, per.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey"))
     keys = [F.col("c_nationkey"), F.year("o_orderdate").alias("fiscal_year"), *([F.quarter("o_orderdate").alias("fiscal_quarter")] if quarter else [])]
-    g = j.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("revenue", "cost", "expense", "interest", "quantity")])
+    g = j.groupBy(*keys).agg(*[F.coalesce(F.sum(x).cast("double"), F.lit(0.0)).alias(x) for x in ("revenue", "cost", "expense", "interest", "quantity")])
     return g.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "company")
 
 
 FACTS_SQL = """
 facts AS (
   SELECT n_name AS company, c_nationkey AS nk, year(o_orderdate) AS fiscal_year, {q} AS fiscal_quarter,
-    sum(l_extendedprice*(1-l_discount)) AS revenue, sum(l_extendedprice*0.6) AS cost, sum(l_extendedprice*l_tax) AS expense,
-    sum(CASE WHEN l_returnflag='R' THEN l_extendedprice*0.02 ELSE 0 END) AS interest, sum(l_quantity) AS quantity
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))*(1-CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))*CAST(0.6 AS DECIMAL(2,1))) AS DOUBLE) AS cost, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))*CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS expense,
+    CAST(coalesce(sum(CASE WHEN l_returnflag='R' THEN CAST(l_extendedprice AS DECIMAL(12,2))*CAST(0.02 AS DECIMAL(3,2)) END),0) AS DOUBLE) AS interest, sum(l_quantity) AS quantity
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
   GROUP BY ALL)"""
 YEAR_SQL, QUARTER_SQL = FACTS_SQL.format(q="NULL"), FACTS_SQL.format(q="quarter(o_orderdate)")
@@ -42,7 +45,7 @@ YEAR_SQL, QUARTER_SQL = FACTS_SQL.format(q="NULL"), FACTS_SQL.format(q="quarter(
 def line_items(spark: SparkSession, d: str) -> DataFrame:
     """Long line items of three statements a nation and year. Long-term debt of even nations is present but null."""
     f = yearly_facts(spark, d)
-    bal = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(F.greatest("c_acctbal", F.lit(0.0))).alias("pos"), F.sum(F.greatest(-F.col("c_acctbal"), F.lit(0.0))).alias("neg"))
+    bal = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(F.greatest(F.col("c_acctbal").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))).cast("double").alias("pos"), F.sum(F.greatest(-F.col("c_acctbal").cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))).cast("double").alias("neg"))
     f = f.join(F.broadcast(bal), "c_nationkey")
     k = (F.col("fiscal_year") - 1990) / 10.0
     ca, cl = F.col("pos") * k, F.col("neg") * k
@@ -62,7 +65,7 @@ def line_items(spark: SparkSession, d: str) -> DataFrame:
 
 ITEMS_SQL = f"""
 WITH {YEAR_SQL},
-bal AS (SELECT c_nationkey AS nk, sum(greatest(c_acctbal,0.0)) AS pos, sum(greatest(-c_acctbal,0.0)) AS neg FROM customer GROUP BY 1),
+bal AS (SELECT c_nationkey AS nk, CAST(sum(greatest(CAST(c_acctbal AS DECIMAL(12,2)),0)) AS DOUBLE) AS pos, CAST(sum(greatest(-CAST(c_acctbal AS DECIMAL(12,2)),0)) AS DOUBLE) AS neg FROM customer GROUP BY 1),
 w AS (SELECT company, fiscal_year, pos*((fiscal_year-1990)/10.0) AS ca, neg*((fiscal_year-1990)/10.0) AS cl, f.nk,
   revenue, revenue-cost AS gp, revenue-cost-expense AS oi, revenue-cost-expense-interest AS ni, interest, expense, quantity
   FROM facts f JOIN bal USING (nk)),
@@ -73,12 +76,12 @@ last AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY company ORDER B
 
 def latest_ratios(spark: SparkSession, d: str) -> DataFrame:
     r = S.latest_ratios(line_items(spark, d))
-    return r.select("company", "category", "ratio_key", F.round("value", 6).alias("value"), F.round("numerator", 2).alias("numerator"), F.round("denominator", 2).alias("denominator"), "is_percentage", "is_multiple")
+    return r.select("company", "category", "ratio_key", F.round("value", 6).alias("value"), F.round("numerator", 5).alias("numerator"), F.round("denominator", 5).alias("denominator"), "is_percentage", "is_multiple")
 
 
 _RATIO_SQL = [("liquidity", "current_ratio", "ca", "cl", False), ("liquidity", "quick_ratio", "ca-inv", "cl", False), ("liquidity", "cash_ratio", "cash", "cl", False), ("profitability", "gross_margin", "gp", "revenue", True), ("profitability", "operating_margin", "oi", "revenue", True), ("profitability", "net_profit_margin", "ni", "revenue", True), ("profitability", "return_on_assets", "ni", "ta", True), ("profitability", "return_on_equity", "ni", "te", True), ("solvency", "debt_to_equity", "debt", "te", False), ("solvency", "debt_ratio", "tl", "ta", True), ("solvency", "interest_coverage", "oi", "interest", False)]
 LATEST_RATIOS_SQL = ITEMS_SQL + " UNION ALL ".join(
-    f" SELECT company, '{c}' AS category, '{k}' AS ratio_key, round(({n})/nullif({d},0),6) AS value, round({n},2) AS numerator, round({d},2) AS denominator, {str(p).lower()} AS is_percentage, {str(not p).lower()} AS is_multiple FROM last" for c, k, n, d, p in _RATIO_SQL
+    f" SELECT company, '{c}' AS category, '{k}' AS ratio_key, round(({n})/nullif({d},0),6) AS value, round({n},5) AS numerator, round({d},5) AS denominator, {str(p).lower()} AS is_percentage, {str(not p).lower()} AS is_multiple FROM last" for c, k, n, d, p in _RATIO_SQL
 )
 
 
@@ -116,30 +119,30 @@ FROM statements"""
 def statement_unpivot(spark: SparkSession, d: str) -> DataFrame:
     """A table with years as columns (revenue per nation) turned into line items."""
     f = yearly_facts(spark, d)
-    wide = f.groupBy("company").pivot("fiscal_year", [1996, 1997, 1998]).agg(F.round(F.first("revenue"), 2))
+    wide = f.groupBy("company").pivot("fiscal_year", [1996, 1997, 1998]).agg(F.round(F.first("revenue"), 0))
     text = wide.select(F.lit("sales").alias("statement"), F.col("company").alias("label"), *[F.concat(F.lit("$ "), F.format_number(F.col(str(y)), 2)).alias(f"c{y}") for y in (1996, 1997, 1998)])
     return S.unpivot_table(text, "label", ["c1996", "c1997", "c1998"], ["statement"]).select("statement", "name", "raw_value", F.round("value", 2).alias("value"))
 
 
 STATEMENT_UNPIVOT_SQL = f"""
 WITH {YEAR_SQL} SELECT 'sales' AS statement, CASE WHEN fiscal_year=1996 THEN company ELSE company||' (c'||fiscal_year||')' END AS name,
-  '$ '||format('{{:,.2f}}', round(revenue,2)) AS raw_value, round(revenue,2) AS value FROM facts WHERE fiscal_year IN (1996,1997,1998)"""
+  '$ '||format('{{:,.2f}}', round(revenue,0)) AS raw_value, round(revenue,0) AS value FROM facts WHERE fiscal_year IN (1996,1997,1998)"""
 
 
 def balance_validation(spark: SparkSession, d: str) -> DataFrame:
     m = S.measures(S.pivot_items(line_items(spark, d).where("statement_type = 'balance_sheet'"), ["company", "fiscal_year"]))
-    return m.select("company", "fiscal_year", S.balance_valid(F.col("total_assets"), F.col("total_liabilities"), F.col("total_equity")).alias("valid"), F.round("debt", 2).alias("debt"))
+    return m.select("company", "fiscal_year", S.balance_valid(F.col("total_assets"), F.col("total_liabilities"), F.col("total_equity")).alias("valid"), F.round("debt", 5).alias("debt"))
 
 
-BALANCE_SQL = ITEMS_SQL + " SELECT company, fiscal_year, coalesce(abs(ta-(tl+te))<=0.001*ta,false) AS valid, round(debt,2) AS debt FROM m"
+BALANCE_SQL = ITEMS_SQL + " SELECT company, fiscal_year, coalesce(abs(ta-(tl+te))<=0.001*ta,false) AS valid, round(debt,5) AS debt FROM m"
 
 
 def cash_measures(spark: SparkSession, d: str) -> DataFrame:
     m = S.measures(S.pivot_items(line_items(spark, d).where("statement_type = 'cash_flow'"), ["company", "fiscal_year"]))
-    return m.select("company", "fiscal_year", F.round("operating_cash_flow", 2).alias("operating_cash_flow"), F.round("free_cash_flow", 2).alias("free_cash_flow"))
+    return m.select("company", "fiscal_year", F.round("operating_cash_flow", 5).alias("operating_cash_flow"), F.round("free_cash_flow", 5).alias("free_cash_flow"))
 
 
-CASH_SQL = ITEMS_SQL + " SELECT company, fiscal_year, round(ocf,2) AS operating_cash_flow, round(ocf-abs(capex),2) AS free_cash_flow FROM m"
+CASH_SQL = ITEMS_SQL + " SELECT company, fiscal_year, round(ocf,5) AS operating_cash_flow, round(ocf-abs(capex),5) AS free_cash_flow FROM m"
 
 
 def annual_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -168,9 +171,9 @@ x AS (SELECT company, 'revenue' AS metric, fiscal_year AS seq, revenue AS v, dat
 g AS (SELECT company, metric, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS sd, regr_slope(v,t)*stddev_pop(t) AS slope, corr(v,t) AS r, arg_min(v,seq) AS a, arg_max(v,seq) AS b FROM x GROUP BY 1,2),
 h AS (SELECT *, n-2 AS nu, abs(r)*sqrt((n-2)/(1-r*r)) AS tt FROM g WHERE n>=3),
 i AS (SELECT *, atan(tt/sqrt(nu)) AS th FROM h),
-k AS (SELECT *, list_sum(list_transform(range(1, CAST(CASE WHEN nu%2=1 THEN (nu-1)//2 ELSE nu//2 END AS BIGINT)+1), q -> CASE WHEN nu%2=1 THEN
-   cos(th)*pow(cos(th)*cos(th), q-1)*list_product(list_transform(range(1,q), z -> (2*z)/(2*z+1)))
-   ELSE pow(cos(th)*cos(th), q-1)*list_product(list_transform(range(1,q), z -> (2*z-1)/(2*z))) END)) AS s FROM i),
+k AS (SELECT *, list_sum(list_transform(range(1, CAST(CASE WHEN nu%2=1 THEN (nu-1)//2 ELSE nu//2 END AS BIGINT)+1), lambda q: CASE WHEN nu%2=1 THEN
+   cos(th)*pow(cos(th)*cos(th), q-1)*coalesce(list_product(list_transform(range(1,q), lambda z: (2*z)/(2*z+1))),1)
+   ELSE pow(cos(th)*cos(th), q-1)*coalesce(list_product(list_transform(range(1,q), lambda z: (2*z-1)/(2*z))),1) END)) AS s FROM i),
 p AS (SELECT *, CASE WHEN nu%2=1 THEN 1-(2/pi())*(th+sin(th)*coalesce(s,0)) ELSE 1-sin(th)*coalesce(s,0) END AS pv FROM k)
 SELECT company, metric, n, round(mean,2) AS mean, round(sd,2) AS std_dev, round(slope,2) AS slope, round(r*r,6) AS r_squared, round(pv,6) AS p_value, pv<0.05 AS is_significant,
   CASE WHEN sd>0.25*mean THEN 'volatile' WHEN abs(slope)<0.01*mean THEN 'stable' WHEN slope>0 THEN 'increasing' ELSE 'decreasing' END AS direction,
@@ -187,12 +190,12 @@ SELECT company, 'revenue' AS metric, fiscal_quarter, round(avg(revenue)/any_valu
 
 
 def anomalies_z(spark: SparkSession, d: str) -> DataFrame:
-    return T.anomalies(quarter_metrics(spark, d), K).select(*K, "seq", F.round("value", 2).alias("value"), F.round("z_score", 6).alias("z_score"))
+    return T.anomalies(quarter_metrics(spark, d), K).select(*K, "seq", F.round("value", 4).alias("value"), F.round("z_score", 6).alias("z_score"))
 
 
 ANOMALY_SQL = f"""
 WITH {QUARTER_SQL}, a AS (SELECT company, count(*) AS n, avg(revenue) AS m, stddev_pop(revenue) AS s FROM facts GROUP BY 1)
-SELECT company, 'revenue' AS metric, fiscal_year*4+fiscal_quarter AS seq, round(revenue,2) AS value, round((revenue-m)/s,6) AS z_score FROM facts JOIN a USING (company) WHERE n>=3 AND s>0 AND abs(revenue-m)/s>2"""
+SELECT company, 'revenue' AS metric, fiscal_year*4+fiscal_quarter AS seq, round(revenue,4) AS value, round((revenue-m)/s,6) AS z_score FROM facts JOIN a USING (company) WHERE n>=3 AND s>0 AND abs(revenue-m)/s>2"""
 
 
 def growth_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +231,7 @@ FORMATTED_SQL = f"WITH r AS ({LATEST_RATIOS_SQL.replace('round((', '((').replace
 
 def scaled_line_items(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "line_items").dropDuplicates(["item_id"])
-    return li.select("item_id", F.round(S.scaled_value(F.col("value"), F.col("scaling_factor")), 2).alias("scaled_value"))
+    return li.select("item_id", S.scaled_value(F.col("value"), F.col("scaling_factor")).alias("scaled_value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -239,6 +242,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "latest_ratios": LATEST_RATIOS_SQL, "latest_statement_dates": LATEST_DATES_SQL, "period_labels": PERIOD_LABELS_SQL, "statement_unpivot": STATEMENT_UNPIVOT_SQL, "balance_validation": BALANCE_SQL, "cash_measures": CASH_SQL,
-        "trend_by_company": TREND_SQL, "quarter_seasonality": SEASON_SQL, "anomalies_z": ANOMALY_SQL, "growth_rates": GROWTH_SQL, "formatted_ratios": FORMATTED_SQL, "scaled_line_items": "SELECT DISTINCT item_id, round(value*scaling_factor,2) AS scaled_value FROM line_items",
+        "trend_by_company": TREND_SQL, "quarter_seasonality": SEASON_SQL, "anomalies_z": ANOMALY_SQL, "growth_rates": GROWTH_SQL, "formatted_ratios": FORMATTED_SQL, "scaled_line_items": "SELECT DISTINCT item_id, value*scaling_factor AS scaled_value FROM line_items",
         "forecast_linear": FORECAST_SQL["linear"], "forecast_growth": FORECAST_SQL["growth_rate"], "forecast_average": FORECAST_SQL["average"],
     }

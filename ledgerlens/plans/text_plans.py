@@ -50,7 +50,7 @@ def chunk_detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TITLE = "CASE " + " ".join(f"WHEN regexp_matches(content, '{_re(p)}') THEN '{t}'" for t, p in V.STATEMENT_PATTERNS.items()) + " ELSE 'unknown' END"
-_TERM_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '(?i)\\b{t}\\b') THEN '{t}' END" for t in V.CHUNK_TERMS) + "], x -> x IS NOT NULL)"
+_TERM_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, '(?i)\\b{t}\\b') THEN '{t}' END" for t in V.CHUNK_TERMS) + "], lambda x: x IS NOT NULL)"
 _PERIOD = "coalesce(" + ", ".join(f"nullif(regexp_extract(content, '{_re(p)}', 0), '')" for p in V.PERIOD_PATTERNS) + ")"
 DETECT_SQL = f"WITH {CHUNKS_SQL} SELECT chunk_id, {_TITLE} AS title_type, regexp_matches(content, '{V.TABLE_PATTERN}') AS has_table, array_to_string({_TERM_LIST}, ',') AS terms, {_PERIOD} AS period FROM c WHERE content IS NOT NULL"
 
