@@ -72,7 +72,7 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
 
 
 HEADER = re.compile(r"(?:^|\n)(?:(?:[A-Z][A-Z\s]+[A-Z]\.?)|(?:\d+\.\s+[A-Z][a-zA-Z\s]+)|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+:))")
-NOTE = re.compile(r"(?:^|\n)(?:NOTE|Note)\s+(\d+)[\.:]?\s+([A-Z][A-Za-z\s]+)")
+NOTE = re.compile(r"(?:^|\n)(?:NOTE|Note)\s+(\d+)[\.:]?\s+([A-Z][A-Za-z \t]+)")
 _TITLES = [(t, re.compile(p)) for t, p in V.STATEMENT_PATTERNS.items()]
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocabulary as V
@@ -46,37 +46,35 @@ def statement_keywords(text: Column) -> tuple[Column, Column]:
     return kind, conf
 
 
-def task_counts(query: Column) -> dict[str, Column]:
-    return {t: reduce(lambda a, b: a + b, [F.regexp_count(query, _lit("(?i)" + p)) for p in ps]) for t, ps in V.TASK_PATTERNS.items()}
-
-
 def any_match(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike("(?i)" + p) for p in patterns])
 
 
-def task_route(query: Column, override: str | None = None) -> dict[str, Column]:
-    """task, share (of the chosen task) and provider of a question. A question without a context word is
-    non_financial; complex questions may be turned to a complex task with at least half the best share."""
-    counts = task_counts(query)
-    total = reduce(lambda a, b: a + b, counts.values())
-    share = {t: F.when(total > 0, c / total).otherwise(F.lit(0.0)) for t, c in counts.items()}
-    best = first_best(counts, "general_financial")
-    best_share = F.greatest(*share.values())
-    hits = reduce(lambda a, b: a + b, [query.rlike("(?i)" + p).cast("int") for p in V.COMPLEX_PATTERNS])
-    task = best
-    for t in reversed(V.COMPLEX_TASKS):
-        task = F.when((hits >= 2) & (share[t] > 0) & (share[t] >= 0.5 * best_share), F.lit(t)).otherwise(task)
-    context = any_match(query, V.CONTEXT_PATTERNS)
-    task = F.when(~context, F.lit("non_financial")).when(total == 0, F.lit("general_financial")).otherwise(task)
-    own = F.lit(1.0)
-    for t, s in share.items():
-        own = F.when(context & (total > 0) & (task == t), s).otherwise(own)
-    provider = F.lit("openai")
-    for t, p in V.TASK_PROVIDER.items():
-        provider = F.when(task == t, F.lit(p)).otherwise(provider)
-    rival = reduce(lambda a, b: a | b, [(s >= 0.25) & (provider != V.TASK_PROVIDER[t]) for t, s in share.items()])
-    provider = F.when(context & (total > 0) & ((own < 0.4) | rival), F.lit("hybrid")).otherwise(provider)
-    return {"task": task, "share": own, "provider": F.lit(override) if override else provider}
+def route_tasks(queries: DataFrame, query: str = "query", override: str | None = None) -> DataFrame:
+    """``queries`` with task, share (of the chosen task) and provider of each question.
+
+    A question without a context word is non_financial; one without any task match general_financial;
+    complex questions may be turned to a complex task with at least half the best share. The shares are one
+    array column, so no expression grows with the number of tasks.
+    """
+    q = F.col(query)
+    names = list(V.TASK_PATTERNS)
+    counts = F.array(*[reduce(lambda a, b: a + b, [F.regexp_count(q, _lit("(?i)" + p)) for p in ps]) for ps in V.TASK_PATTERNS.values()])
+    hits = reduce(lambda a, b: a + b, [q.rlike("(?i)" + p).cast("int") for p in V.COMPLEX_PATTERNS])
+    d = queries.withColumns({"__c": counts, "__hits": hits, "__context": any_match(q, V.CONTEXT_PATTERNS)})
+    d = d.withColumn("__total", F.aggregate("__c", F.lit(0), lambda s, x: s + x))
+    d = d.withColumn("__s", F.transform("__c", lambda x: F.coalesce(F.try_divide(x, F.col("__total")), F.lit(0.0))))
+    d = d.withColumn("__top", F.array_max("__s"))
+    order = F.array(*[F.lit(names.index(t) + 1) for t in V.COMPLEX_TASKS])
+    complex_k = F.when(F.col("__hits") >= 2, F.try_element_at(F.filter(order, lambda k: (F.element_at("__s", k) > 0) & (F.element_at("__s", k) >= 0.5 * F.col("__top"))), F.lit(1)))
+    d = d.withColumn("__k", F.coalesce(complex_k, F.array_position("__s", F.col("__top")).cast("int")))
+    plain = ~F.col("__context") | (F.col("__total") == 0)
+    d = d.withColumns({"task": F.when(~F.col("__context"), "non_financial").when(F.col("__total") == 0, "general_financial").otherwise(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__k"))), "share": F.when(plain, F.lit(1.0)).otherwise(F.element_at("__s", F.col("__k")))})
+    kinds = F.create_map(*[F.lit(x) for t, p in V.TASK_PROVIDER.items() for x in (t, p)])
+    d = d.withColumn("__p", kinds[F.col("task")])
+    rival = F.exists(F.arrays_zip(F.col("__s").alias("s"), F.array(*[F.lit(V.TASK_PROVIDER[n]) for n in names]).alias("p")), lambda x: (x["s"] >= 0.25) & (x["p"] != F.col("__p")))
+    d = d.withColumn("provider", F.lit(override) if override else F.when(~plain & ((F.col("share") < 0.4) | rival), "hybrid").otherwise(F.col("__p")))
+    return d.drop("__c", "__hits", "__context", "__total", "__s", "__top", "__k", "__p")
 
 
 def statement_title_type(text: Column) -> Column:

@@ -15,8 +15,8 @@ def p_value(r: Column, n: Column) -> Column:
     """Two-sided p of a regression slope with n - 2 degrees of freedom: the finite sum of Student's t for
     whole degrees; 0 for a perfect fit, null below three points."""
     v = (n - 2).cast("int")
-    t = F.abs(r) * F.sqrt(v / (1 - r * r))
-    th = F.atan(t / F.sqrt(v.cast("double")))
+    t = F.abs(r) * F.sqrt(F.try_divide(v.cast("double"), 1 - r * r))
+    th = F.atan(F.try_divide(t, F.sqrt(v.cast("double"))))
     c2, s, c = F.cos(th) * F.cos(th), F.sin(th), F.cos(th)
 
     def series(first: Column, terms: Column, step) -> Column:
@@ -36,7 +36,7 @@ def analyze_trends(metrics: DataFrame, keys: list[str], stable: float = 0.01, vo
     y = F.col("value")
     g = m.withColumn("__x", x).groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std_dev"), F.min(y).alias("min_value"), F.max(y).alias("max_value"),
-        F.regr_slope(y, F.col("__x")).alias("__b"), F.stddev_pop("__x").alias("__sx"), F.corr(y, F.col("__x")).alias("__r"), F.min_by("value", "seq").alias("__first"), F.max_by("value", "seq").alias("__last"),
+        F.regr_slope(y, F.col("__x")).alias("__b"), F.stddev_pop("__x").alias("__sx"), F.try_divide(F.covar_pop(y, F.col("__x")), F.stddev_pop(y) * F.stddev_pop("__x")).alias("__r"), F.min_by("value", "seq").alias("__first"), F.max_by("value", "seq").alias("__last"),
     ).where("n >= 3")
     r = F.when(F.col("std_dev") == 0, F.lit(0.0)).otherwise(F.col("__r"))
     out = g.withColumns({"slope": F.col("__b") * F.col("__sx"), "r_squared": r * r, "__rr": r})

@@ -184,8 +184,7 @@ ENRICH_SQL = f"WITH {CHUNKS_SQL}, u AS (SELECT doc_id, arg_max(file_name, upload
 def task_routing(spark: SparkSession, d: str) -> DataFrame:
     """Questions on each chunk's statement type and period, routed to a task."""
     q = chunks_once(spark, d).select("chunk_id", F.concat(F.lit("Can you explain the company "), F.translate(F.coalesce("statement_type", F.lit("statement")), "_", " "), F.lit(" and its "), F.coalesce(F.element_at("financial_entities", 1), F.lit("valuation")), F.lit("?")).alias("q"))
-    r = D.task_route(F.col("q"))
-    return q.select("chunk_id", r["task"].alias("task"), F.round(r["share"], 6).alias("share"), r["provider"].alias("provider"))
+    return D.route_tasks(q, "q").select("chunk_id", "task", F.round("share", 6).alias("share"), "provider")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

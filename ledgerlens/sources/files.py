@@ -1,7 +1,7 @@
 """Files as document rows: a scan of binary files, then one extractor per suffix inside the tasks.
 
 Defined results: unknown suffixes and unreadable files go to the rejects table with a message; empty files
-are documents with empty content; the id is stable for path and modification time.
+are not listed, as Spark's file scan skips them; the id is stable for path and modification time.
 """
 
 from __future__ import annotations
