@@ -152,6 +152,8 @@ class CanonicalMapper:
 
         self.at_least = at_least
         self.auto: dict[str, object] = {}
+        self.words: dict[str, dict[str, set[str]]] = {}
+        self.holding: dict[str, dict[str, list[int]]] = {}
         self.names: dict[str, list[tuple[int, list[str], str]]] = {}
         for gid in {g for _, g, _ in entries}:
             auto = ahocorasick.Automaton()
@@ -168,9 +170,15 @@ class CanonicalMapper:
             if pats:
                 auto.make_automaton()
                 self.auto[gid] = auto
+            self.words[gid] = {w: set(w) for _, n in own for x in [n, *aliases.get(n, [])] for w in words_of(x)}
             self.names[gid] = [(i, [w for w in words_of(x)], "".join(words_of(x))) for i, n in own for x in [n, *aliases.get(n, [])]]
+        for gid, names in self.names.items():
+            held = self.holding.setdefault(gid, {})
+            for e, (_, own, _) in enumerate(names):
+                for w in dict.fromkeys(own):
+                    held.setdefault(w, []).append(e)
         self.map = lru_cache(maxsize=200_000)(self._map)
-        self.word_like = lru_cache(maxsize=500_000)(self._word_like)
+        self.alike_words = lru_cache(maxsize=300_000)(self.alike)
 
     def mentions(self, group: str, words: list[str]) -> list[tuple[int, int, int]]:
         """(start, end, id) of the longest non-overlapping mentions, in characters of the joined words."""
@@ -203,8 +211,9 @@ class CanonicalMapper:
         best = self.similar(group, content)
         return (best[0], "token_set", best[1]) if best[1] >= self.at_least else (0, "none", best[1])
 
-    def _word_like(self, a: str, b: str) -> float:
-        """Likeness of two words: equal, abbreviation, prefix of at least three letters, or few edits."""
+    @staticmethod
+    def _word_like(a: str, b: str) -> float:
+        """Likeness of two words: equal, an abbreviation, or few edits."""
         if a == b:
             return 1.0
         if b in SHORT.get(a, ()) or a in SHORT.get(b, ()):
@@ -214,32 +223,49 @@ class CanonicalMapper:
         d = edits(a, b, most)
         return 1 - 0.6 * d / n if d <= most else 0.0
 
+    def alike(self, group: str, word: str) -> tuple[tuple[str, float], ...]:
+        """The words of a group's names that ``word`` can stand for, with their likeness."""
+        n, letters, out = len(word), set(word), []
+        for v, own in self.words[group].items():
+            long = max(n, len(v))
+            most = 0 if long < 4 else 1 if long < 6 else 2 if long < 10 else 3
+            short = v in SHORT.get(word, ()) or word in SHORT.get(v, ())
+            if v == word or short or (abs(n - len(v)) <= most and len(letters ^ own) <= 2 * most):
+                s = self._word_like(word, v)
+                if s > 0.5:
+                    out.append((v, s))
+        return tuple(out)
+
     def similar(self, group: str, words: list[str]) -> tuple[int, float]:
-        """The entry whose token set is most like the words', by summed letters of matched words."""
-        joined = "".join(words)
+        """The entry whose token set is most like the words', by summed weight of paired words. Only entries
+        that share an alike word are scored; the others' likeness is 0."""
+        like = {w: dict(self.alike_words(group, w)) for w in dict.fromkeys(words)}
+        touched = sorted({e for m in like.values() for v in m for e in self.holding[group].get(v, ())})
         best, at = 0.0, 0
-        for i, own, squashed in self.names[group]:
-            score = self.token_set(words, own)
-            n = max(len(joined), len(squashed))
-            if n >= 6 and score < 1:
-                most = max(1, n // 7)
-                far = len(set(joined) ^ set(squashed)) > 2 * most
-                d = most + 1 if far else edits(joined, squashed, most)
-                if d <= most:
-                    score = max(score, 1 - 0.6 * d / n)
+        for e in touched:
+            i, own, _ = self.names[group][e]
+            score = self.token_set(words, own, like)
             if score > best + 1e-12:
                 best, at = score, i
+        joined = "".join(words)
+        if best < self.at_least and len(joined) >= 6:  # written together or with blanks astray
+            for i, _, squashed in self.names[group]:
+                n = max(len(joined), len(squashed))
+                most = max(1, n // 7)
+                if abs(len(joined) - len(squashed)) <= most and len(set(joined) ^ set(squashed)) <= 2 * most:
+                    d = edits(joined, squashed, most)
+                    if d <= most and 1 - 0.6 * d / n > best + 1e-12:
+                        best, at = 1 - 0.6 * d / n, i
         return at, best
 
-    def token_set(self, a: list[str], b: list[str]) -> float:
-        """Weighted share of the two sets' letters that pair up; words match at most once."""
+    @staticmethod
+    def token_set(a: list[str], b: list[str], like: dict[str, dict[str, float]]) -> float:
+        """Weighted share of the two sets' words that pair up; words match at most once."""
         wa = [(w, 0.2 if w in NOISE else 1.0) for w in dict.fromkeys(a)]
         wb = [(w, 0.2 if w in NOISE else 1.0) for w in dict.fromkeys(b)]
-        pairs = sorted(((self.word_like(x, y), i, j) for i, (x, _) in enumerate(wa) for j, (y, _) in enumerate(wb)), key=lambda p: (-p[0], p[1], p[2]))
+        pairs = sorted(((like[x][y], i, j) for i, (x, _) in enumerate(wa) for j, (y, _) in enumerate(wb) if y in like[x]), key=lambda p: (-p[0], p[1], p[2]))
         ua, ub, got = set(), set(), 0.0
         for s, i, j in pairs:
-            if s <= 0.5:
-                break
             if i not in ua and j not in ub:
                 ua.add(i)
                 ub.add(j)
