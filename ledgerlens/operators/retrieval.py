@@ -6,6 +6,10 @@ query or index gives no rows; repeated postings count once.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,9 +117,6 @@ def vector_join_topk(items: DataFrame, queries: DataFrame, k: int = 5, vec: str
     leave the task. Neither side passes through the driver, and what is shuffled for the ranking is bounded
     by item blocks x queries x k, never by pairs.
     """
-    import numpy as np
-    import pandas as pd
-
     kt, qt = items.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     src = items.where(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"))
     q = queries.where("query_id is not null and query_vec is not null").select(F.col("query_id").alias("q"), F.col("query_vec").cast("array<double>").alias("v"))
@@ -156,21 +157,43 @@ def hybrid_merge(index_hits: DataFrame, vector_hits: DataFrame, n: int, key: str
     return both.orderBy(F.when(F.col("origin") == "index", 0).otherwise(1), "distance", key).limit(max(n, 0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, though the body uses it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unit(v: Column) -> Column:
+    """A vector at unit length; zeros stay."""
+    return let(v, lambda a: let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)))
+
+
 def hash_embedding(text: Column, width: int = 64) -> Column:
-    """A deterministic unit vector of a text's words by signed feature hashing: the offline stand-in for a
-    learned encoder. Empty text gives zeros."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    hs = F.transform(words, lambda w: F.xxhash64(w))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(width)) == i), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 40) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))))
-    n = norm(raw)
-    return F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw)
+    """A deterministic unit vector of a text's words by signed feature hashing, in Arrow batches: the
+    offline stand-in for a learned encoder. Null and empty text give zeros."""
+    @F.pandas_udf("array<double>")
+    def embed(s: pd.Series) -> pd.Series:
+        import xxhash
+
+        memo: dict[str, tuple[int, float]] = {}
+        out = []
+        for t in s:
+            v = np.zeros(width)
+            for w in re.findall(r"[^\W_]+", t.lower()) if isinstance(t, str) else []:
+                if w not in memo:
+                    h = xxhash.xxh64_intdigest(w.encode())
+                    memo[w] = (h % width, 1.0 if (h >> 40) & 1 else -1.0)
+                at, sign = memo[w]
+                v[at] += sign
+            n = np.linalg.norm(v)
+            out.append((v / n if n > 0 else v).tolist())
+        return pd.Series(out)
+
+    return embed(text)
 
 
 def fit_width(v: Column, width: int = 768) -> Column:
     """A vector cut or padded with zeros to ``width`` and scaled to unit length (zeros stay)."""
-    w = F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width)
-    n = norm(w)
-    return F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)
+    return unit(F.slice(F.concat(v, F.array_repeat(F.lit(0.0), width)), 1, width))
 
 
 def term_weight(text: Column) -> Column:
@@ -182,8 +205,7 @@ def term_weight(text: Column) -> Column:
 
 def apply_term_weight(text: Column, v: Column) -> Column:
     """The vector scaled by 0.7 + 0.3 times the text's term weight; unchanged without terms."""
-    w = term_weight(text)
-    return F.when(w.isNotNull(), F.transform(v, lambda x: x * (0.7 + 0.3 * w))).otherwise(v)
+    return let(term_weight(text), lambda w: F.when(w.isNotNull(), F.transform(v, lambda x: x * (0.7 + 0.3 * w))).otherwise(v))
 
 
 def project(v: Column, weights: list[list[float]], bias: list[float]) -> Column:
