@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.tagging import format_ratio
+from ledgerlens.operators import insights as N
 from ledgerlens.operators import statements as S
 from ledgerlens.operators import trends as T
 from ledgerlens.sources.tables import table
@@ -229,19 +230,28 @@ def formatted_ratios(spark: SparkSession, d: str) -> DataFrame:
 FORMATTED_SQL = f"WITH r AS ({LATEST_RATIOS_SQL.replace('round((', '((').replace(',0),6) AS value', ',0)) AS value')}) SELECT company, ratio_key, CASE WHEN value IS NULL THEN 'N/A' WHEN is_percentage THEN format('{{:.2f}}%', round(value,9)*100) ELSE format('{{:.2f}}x', round(value,9)) END AS formatted_value FROM r"
 
 
+def ratio_findings(spark: SparkSession, d: str) -> DataFrame:
+    f = N.ratio_findings(S.latest_ratios(line_items(spark, d)), N.bounds_table(spark))
+    return f.select("company", "ratio_key", "rule_id", "finding")
+
+
+_BOUND_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() for x in row) + ")" for row in N.BOUNDS)
+FINDINGS_SQL = f"WITH r AS ({LATEST_RATIOS_SQL.replace('round((', '((').replace(',0),6) AS value', ',0)) AS value')}), b(rule_id, ratio_key, low, low_in, high, high_in, finding) AS (VALUES {_BOUND_ROWS}) SELECT company, ratio_key, rule_id, finding FROM r JOIN b USING (ratio_key) WHERE (low IS NULL OR value>low OR (low_in AND value=low)) AND (high IS NULL OR value<high OR (high_in AND value=high))"
+
+
 def scaled_line_items(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "line_items").dropDuplicates(["item_id"])
     return li.select("item_id", S.scaled_value(F.col("value"), F.col("scaling_factor")).alias("scaled_value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, scaled_line_items)
+    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, ratio_findings, scaled_line_items)
     return {f.__name__: f for f in fs} | {"forecast_linear": _forecast("linear"), "forecast_growth": _forecast("growth_rate"), "forecast_average": _forecast("average")}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "latest_ratios": LATEST_RATIOS_SQL, "latest_statement_dates": LATEST_DATES_SQL, "period_labels": PERIOD_LABELS_SQL, "statement_unpivot": STATEMENT_UNPIVOT_SQL, "balance_validation": BALANCE_SQL, "cash_measures": CASH_SQL,
-        "trend_by_company": TREND_SQL, "quarter_seasonality": SEASON_SQL, "anomalies_z": ANOMALY_SQL, "growth_rates": GROWTH_SQL, "formatted_ratios": FORMATTED_SQL, "scaled_line_items": "SELECT DISTINCT item_id, value*scaling_factor AS scaled_value FROM line_items",
+        "trend_by_company": TREND_SQL, "quarter_seasonality": SEASON_SQL, "anomalies_z": ANOMALY_SQL, "growth_rates": GROWTH_SQL, "formatted_ratios": FORMATTED_SQL, "ratio_findings": FINDINGS_SQL, "scaled_line_items": "SELECT DISTINCT item_id, value*scaling_factor AS scaled_value FROM line_items",
         "forecast_linear": FORECAST_SQL["linear"], "forecast_growth": FORECAST_SQL["growth_rate"], "forecast_average": FORECAST_SQL["average"],
     }

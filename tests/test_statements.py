@@ -105,3 +105,29 @@ def test_seasons_anomalies_forecasts(spark):
 def test_formatting(spark):
     d = spark.createDataFrame([(0.125, True, False), (2.675, False, True), (None, False, True), (1.0, False, False)], "v double, p boolean, m boolean")
     assert [r[0] for r in d.select(format_ratio(F.col("v"), F.col("p"), F.col("m"))).collect()] == ["12.50%", "2.67x", "N/A", "1.00"]
+
+
+def test_findings(spark):
+    from ledgerlens.operators import insights as N
+
+    got = {r["rule_id"] for r in N.ratio_findings(S.latest_ratios(items(spark, F1)), N.bounds_table(spark)).collect()}
+    assert got == {"current_strong", "quick_good", "margin_strong", "leverage_low", "coverage_strong"}
+    edge = spark.createDataFrame([("return_on_equity", 0.0), ("return_on_equity", 0.05), ("current_ratio", 1.5), ("quick_ratio", None)], "ratio_key string, value double")
+    assert sorted(r["rule_id"] for r in N.ratio_findings(edge, N.bounds_table(spark)).collect()) == ["current_adequate", "roe_negative"]
+
+
+def test_document_columns(spark):
+    from ledgerlens.operators import insights as N
+    from ledgerlens.operators.retrieval import hash_embedding
+
+    p = spark.createDataFrame([("d", "\n\n".join(f"p{k}" for k in range(10)))], "doc_id string, text string")
+    t = spark.createDataFrame([("d", 0), ("d", 1)], "doc_id string, table_index int")
+    assert [r["context"].count("p") for r in N.table_context(p, t).orderBy("table_index").collect()] == [7, 7]
+    c = spark.createDataFrame([("a",), ("b",), (None,)], "text string")
+    cache = c.where("text = 'a'").select(F.sha2("text", 256).alias("text_key"), F.array(F.lit(9.0)).alias("embedding"))
+    e = {r["text"]: r["embedding"] for r in N.cached_embeddings(c, cache, lambda x: hash_embedding(x, 4)).collect()}
+    assert e["a"] == [9.0] and len(e["b"]) == 4 and e[None] == [0.0] * 4
+    q = spark.createDataFrame([("give an overview", "x"), ("revenue profit debt", ""), ("hello", "")], "q string, h string").select(N.query_type(F.col("q"), F.col("h"))).collect()
+    assert [r[0] for r in q] == ["summarization", "analysis", "query"]
+    m = spark.createDataFrame([({"source": "s", "secret": "x"},)], "m map<string,string>").select(N.context_metadata(F.col("m"))).first()[0]
+    assert m == '{"source":"s"}'
