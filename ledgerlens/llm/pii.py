@@ -42,6 +42,8 @@ ID_CUES = set("id ssn passport tax number nino nif nie dni employee identity nat
 PHONE_CUES = set("tel telephone phone fax mobile mob cell call reached ring dial tél telefon handy".split())
 NUMBER_CUES = set("account invoice no ref reg registration version room clause model range sec note contract p page order".split())
 
+LABELS = frozenset((ID_CUES | PHONE_CUES | {"address", "name", "contact", "room", "report", "notes"}) - {"ring"})
+
 _TOK = re.compile(r"[^\W\d_]+(?:['’](?![sS]\b)[^\W\d_]+)*|\d+|[^\w\s]|_")
 _AT = re.compile(r"\s*(?:[@＠]|[\(\[{]\s*at\s*[\)\]}])\s*", re.I)
 _EMAIL = re.compile(r"[\w+-]+(?:\.[\w+-]+)*\s*(?:[@＠]|[\(\[{]\s*at\s*[\)\]}])\s*[\w-]+(?:\s*(?:\.|[\(\[{]\s*dot\s*[\)\]}]|\bdot\b)\s*[\w-]+)+", re.I)
@@ -50,8 +52,8 @@ _POSTCODES = re.compile(r"[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}|[A-Z]{2}\s*\d{5}(
 _ADDR_FORMS = {
     "uk": re.compile(r"(?:(?:flat|unit|apt|apartment|suite)\s*\d+\w?\s*,\s*)?\d+\w?\s+(?:[NSEW]\.?\s+|st\.?\s+)?[\w'’.]+(?:\s+[\w'’.]+){0,3}\s*[,\n]\s*[\w ]+?\s+[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}", re.I),
     "us": re.compile(r"\d+\w?\s+(?:[NSEW]\.?\s+|st\.?\s+)?[\w'’.]+(?:\s+[\w'’.]+){0,3}(?:\s*,\s*(?:apt|unit|suite|flat)\.?\s*\d+\w?)?\s*[,\n]\s*[\w ]+?,?\s+[A-Z]{2}\s+\d{5}(?:-\d{4})?", re.I),
-    "de": re.compile(r"(?:am|an der|an|im|zum|auf dem|unter den)?\s*[^\W\d]+(?:[ -][^\W\d]+){0,3}\.?\s+\d+\w?\s*[,\n]\s*\d{5}\s+[^\W\d]+(?:\s+[^\W\d]+){0,2}", re.I),
-    "it": re.compile(r"\d+(?:\s*(?:bis|ter|[a-d]))?\s*,?\s+(?:via|viale|piazza|rue|avenue|calle|chemin)\s+[^\W\d]+(?:\s+[^\W\d]+){0,4}\s*[,\n]\s*\d{5}\s+[^\W\d]+(?:\s+[^\W\d]+){0,2}", re.I),
+    "de": re.compile(r"(?:am|an der|an|im|zum|auf dem|unter den)?\s*[^\W\d][\w'’-]*(?:[ -][^\W\d][\w'’-]*){0,3}\.?\s+\d+\w?\s*[,\n]\s*\d{5}\s+[^\W\d][\w'’-]*(?:\s+[^\W\d][\w'’-]*){0,2}", re.I),
+    "it": re.compile(r"\d+(?:\s*(?:bis|ter|[a-d]))?\s*,?\s+(?:via|viale|piazza|rue|avenue|calle|chemin)\s+[^\W\d][\w'’-]*(?:\s+[^\W\d][\w'’-]*){0,4}\s*[,\n]\s*\d{5}\s+[^\W\d][\w'’-]*(?:\s+[^\W\d][\w'’-]*){0,2}", re.I),
 }
 
 
@@ -79,7 +81,7 @@ class Doc:
             return x
         if w in GIVEN:
             return "G" if x[0].isupper() else "g"
-        if w in PARTICLES and x[0].islower():
+        if w in PARTICLES and (x[0].islower() or (len(x) > 1 and x.isupper() and k > 0 and self.t[k - 1].isupper())):
             return "P"
         if len(x) == 1 and x.isupper() and k + 1 < self.n and self.t[k + 1] == "." and self.e[k] == self.s[k + 1]:
             return "I"
@@ -123,7 +125,7 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                         break
                     if digits > 18:
                         break
-                    if k[j] == "d" and 7 <= digits:
+                    if k[j] == "d" and 7 <= digits and one_dot(t, d.low, i, j):
                         out.append((i, j + 1, "phone"))
         if k[i] == "d" or (x.isupper() and len(x) <= 2 and x.isalpha()):
             chars = digits = 0
@@ -140,7 +142,7 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     break
                 if chars > 18:
                     break
-                if y.isalnum() and 7 <= chars and digits >= 5:
+                if y.isalnum() and 7 <= chars and digits >= 5 and one_dot(t, d.low, i, j):
                     out.append((i, j + 1, "national_id"))
         if k[i] == "d" or d.low[i] in UNITS or (x[0].isupper() and x.isalpha() and (d.low[i] in STREET_FIRST or (i + 5 < n and any(k[q] == "d" for q in range(i + 1, i + 4))))):
             words = digit = lines = run_small = 0
@@ -160,10 +162,13 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                 digit += k[j] == "d"
                 if j - i >= 4 and words >= 2 and digit >= 2 and y.isalnum() and not (j + 1 < n and not d.sp[j + 1] and t[j + 1].isalnum()):
                     out.append((i, j + 1, "street_address"))
-        if k[i] in "GSUIgsu":
+        if k[i] in "GSUIgsu" or (k[i] == "P" and i + 1 < n):
+            joined = k[i] != "P" or t[i + 1] == "-"  # a particle leads a name only before a hyphen or a comma
             full = bool(i) and (t[i - 1][0].isupper() and d.low[i - 1] in TITLES or t[i - 1] == "." and i > 1 and t[i - 2][0].isupper() and d.low[i - 2] in TITLES)
             for j in range(i, min(n, i + LONGEST["person_name"])):
                 c = k[j]
+                if j > i and d.nl[j] and d.text[d.e[j - 1] : d.s[j]].count("\n") > 1:
+                    break
                 if c in "GSUIgsuP":
                     full = full or c in "GSgsI"
                 elif c == "." and k[j - 1] == "I" or c == "-" or c in "'’":
@@ -172,11 +177,16 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     pass
                 else:
                     break
-                if c in "GSUgsu" and full:
+                if c in "GSUgsu" and full and (joined or "," in t[i:j]):
                     out.append((i, j + 1, "person_name"))
     return out
 
 
+def one_dot(t: list[str], low: list[str], i: int, j: int) -> bool:
+    """False for a span with a single full stop, as in a decimal, that no 'ext.' explains."""
+    return sum(t[x] == "." and low[x - 1] not in ("ext", "x", "extn") for x in range(i, j + 1)) != 1
+
+
 def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
     """Features of a whole span in its place."""
     f = [f"{typ}:bias"]
@@ -186,7 +196,9 @@ def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
     q = low[b] if b < d.n else "$"
     pk = k[a - 1] if a else "^"
     qk = k[b] if b < d.n else "$"
-    before = {low[x] for x in range(max(0, a - 4), a) if low[x][0].isalpha()}
+    near = range(max(0, a - 4), a)
+    stops = [x for x in near if t[x] == "." and x and len(t[x - 1]) > 4]  # a sentence's end, no abbreviation
+    before = {low[x] for x in near if low[x][0].isalpha() and (not stops or x > stops[-1])}
     glue_p, glue_q = a > 0 and not d.sp[a], b < d.n and not d.sp[b]
     if typ == "email":
         f.append("email:full" if _EMAIL.fullmatch(span) else "email:part")
@@ -276,6 +288,8 @@ def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
             f.append("person_name:org_after")
         if p in ("@", "&") or q in ("@", "＠") or (q == "." and glue_q and b + 1 < d.n and not d.sp[b + 1]) or (q in "_+" and glue_q) or (glue_p and p in "._+-@/"):
             f.append("person_name:in_address")
+        if set(low[a:b]) & LABELS:
+            f.append("person_name:label")
         if any(k[x] == "I" and not d.sp[x] for x in range(a + 1, b)):
             f.append("person_name:glued_initials")
         if any(d.nl[x] for x in range(a + 1, b)):

@@ -13,9 +13,9 @@ from pathlib import Path
 
 from ledgerlens.llm.pii import GIVEN, PLAIN_WORD, SURNAME_ENDS, Doc, SemiCrf
 
-TEXTS, HELD_OUT, EPOCHS, SEED = 2600, 400, 6, 5
+TEXTS, HELD_OUT, EPOCHS, SEED = 4000, 400, 6, 5
 ROOTS = "ash bel cald dar el far gren hal ing jor kel lor mor nev or pen quar ros sel tor ul van wyn yar zel thorn lind oak marl fen brad stav kess orr".split()
-TOWNS = ["Ashbrook", "North Velden", "Carrow Bay", "Eastmoor", "Litten", "Great Sallow Cross", "Hartmoor", "Oakhaven", "Velmouth", "Upper Tarn"]
+TOWNS = ["Ashbrook", "Penwick Falls", "Little Marrow Cross", "Old Stanbury", "North Velden", "Carrow Bay", "Eastmoor", "Litten", "Great Sallow Cross", "Hartmoor", "Oakhaven", "Velmouth", "Upper Tarn"]
 STREET_NAMES = ["Mill", "Station", "Orchard", "Chapel", "Twelfth", "Harrow", "Bishop's", "Weaver's", "Kingfisher", "Old Bridge", "Lower Dock", "Juniper", "Meadow", "Grand Harbour"]
 KINDS = ["Street", "Lane", "Road", "Drive", "Walk", "Close", "Ave.", "Blvd", "St", "Row", "Court"]
 COMPANY = ["Velmar", "Tonsil", "Karvun", "Bremlo", "Zanwil", "Pelgan"]
@@ -48,8 +48,8 @@ class Maker:
         if r.random() < 0.08:
             s = s + "-" + self.surname()
         if r.random() < 0.05:
-            s = self.c(["van ", "de ", "von ", "de la ", "van der "]) + s
-        mid = "" if r.random() < 0.6 else self.letters(1) + ". " if r.random() < 0.7 else self.c(sorted(GIVEN)).capitalize() + " "
+            s = self.c(["van ", "de ", "von ", "de la ", "van der ", "al-", "al-"]) + s
+        mid = "" if r.random() < 0.6 else self.letters(1) + ". " if r.random() < 0.7 else (self.c(sorted(GIVEN)) if r.random() < 0.6 else self.c(ROOTS) + self.c(["ia", "ike", "ja", "el", "uk"])).capitalize() + " "
         x = r.random()
         if x < 0.5:
             n = f"{g} {mid}{s}"
@@ -109,7 +109,7 @@ class Maker:
         elif x < 0.9:
             a = f"{self.c(['Am Alten Markt', 'An der Mühle', 'Lange Gasse', 'Hauptstraße', 'Am Kanal', 'Zum Hafen', 'Unter den Erlen', 'Kirchweg', 'Erlenstr.', 'Gartenstr.', 'Talweg', 'Mühlgasse'])} {r.randint(1, 220)}{self.c(['', '', 'a', 'b'])}{brk}{n(5)} {town}"
         else:
-            a = f"{r.randint(1, 99)}{self.c(['', ' bis', ' ter'])}, {self.c(['via dei Mulini', 'rue de la Gare', 'via delle Rose', 'calle del Sol', 'rue du Moulin', 'piazza San Marco'])}{brk}{n(5)} {town}"
+            a = f"{r.randint(1, 99)}{self.c(['', ' bis', ' ter'])}, {self.c(['via dei Mulini', 'rue de la Gare', 'via delle Rose', 'calle del Sol', 'rue du Moulin', 'piazza San Marco', 'avenue du Beau-Lieu', 'rue Saint-Marc', 'avenue de la Haute-Rive'])}{brk}{n(5)} {town}"
         return a.upper() if r.random() < 0.14 else a
 
     def company(self) -> str:
@@ -121,14 +121,16 @@ class Maker:
         P, E, T, I, A = ("person_name", self.person()), ("email", self.email()), ("phone", self.phone()), ("national_id", self.nid()), ("street_address", self.address())
         o = lambda s: ("", s)
         title = self.c(["", "", "", "Mr ", "Ms ", "Dr. ", "Prof. ", "Herr ", "Mme ", "Mrs "])
+        accounts = [f"Account {n(4)} {n(4)} {n(2)} shows {self.c(['goodwill', 'revenue', 'net debt', 'free cash flow', 'stock'])} of {n(3)}.{n(1)} million.", f"Account\n{n(4)} {n(4)} {n(2)} shows revenue of {n(2)}.{n(1)} million.", f"Account {n(4)}\n{n(4)} {n(2)} shows stock of {n(2)}.{n(1)} million.", f"Account {n(4)} {n(4)} {n(2)} shows\nnet debt of {n(3)}.{n(2)} million."]
         plain = [
+            *accounts,
             f"Account {n(4)} {n(4)} {n(2)} shows goodwill of {n(3)}.{n(1)} million.", f"Invoice {n(3)}-{n(2)}-20{n(2)} was paid late.", f"Reg. No. {n(7)} covers the rental arm.", f"Room {n(3)}, level {n(1)}, holds {self.c(TOPICS)}.", f"Version {n(2)}.{n(1)}.{n(3)} of {self.c(TOPICS)} is final.",
             f"The {self.surname()} Act of 20{n(2)} limits dividends.", f"{self.surname()} & Sons Ltd sold the mill to {self.surname()} Holdings.", f"Range: {n(3)}-{n(2)} to {n(7)} units.", f"Handle @{self.c(COMPANY).lower()} was quoted in {self.c(TOPICS)}.", "The May and April counts of stock agree.", f"May Bridge and Grant Harbour are sites of {self.c(COMPANY)}.",
             f"Model {self.c(COMPANY)} {n(3)} was shipped on 20{n(2)}-0{self.c('123456789')}-1{n(1)}.", f"{self.company()} said that revenue would not recover before FY20{n(2)}.", f"In the northern depots, net debt moved by {n(2)}.{n(1)} points after a longer thaw on the river.", f"Under IFRS {n(2)}.{n(1)} goodwill is restated.", f"{self.c(ROLES).capitalize()} met on Oct. {r.randint(1, 28)}, 20{n(2)} at 9.30 a.m. and confirmed {self.c(TOPICS)}.",
-            f"As at 30.{self.c('123456789')}.20{n(2)}, {self.company()} and its associates (incl. {self.company()}) carried revenue of CHF {n(3)}.{n(1)} mn.", f"The data room at room.{self.c(COMPANY).lower()}.example lists v{n(1)}.{n(2)} of {self.c(TOPICS)} as final.", f"Stock rose by {n(1)},{n(3)},{n(3)} and {n(3)} {n(3)} {n(3)} in 20{n(2)}.", f"Approx. {n(2)}.{n(1)}% of stock relates to the desk, bought under contract No. {n(3)}.", f"Account\n{n(4)} {n(4)} {n(2)} shows stock of {n(3)}.{n(1)} million.", f"Account {n(4)} {n(4)} {n(2)}\nshows net debt of {n(2)}.{n(1)} million.", f"Account {n(4)} {n(4)}\n{n(2)} shows revenue of {n(2)}.{n(1)} million.", f"The remaining stake is held by {self.company()} I{self.c(COMPANY)} posted net debt of {n(2)}.{n(1)} million.", f"Model {self.c(COMPANY)} {n(3)} was shipped on 20{n(2)}-1{n(1)}-2{n(1)}. ({n(2)}.{n(1)}%)", f"({n(2)}.{n(1)}%) 20{n(2)}-0{n(1)}-1{n(1)}: net debt fell. (20{n(2)}-0{n(1)}-1{n(1)})", f"{self.company()} {self.company()} filed late.", f"Note {n(1)}.{n(1)} restates cost for Q3 20{n(2)} at EUR {n(3)}.{n(1)}m, while fig. {n(1)} shows EUR {n(3)}.{n(2)}m.",
+            f"As at 30.{self.c('123456789')}.20{n(2)}, {self.company()} and its associates (incl. {self.company()}) carried revenue of CHF {n(3)}.{n(1)} mn.", f"The data room at room.{self.c(COMPANY).lower()}.example lists v{n(1)}.{n(2)} of {self.c(TOPICS)} as final.", f"Stock rose by {n(1)},{n(3)},{n(3)} and {n(3)} {n(3)} {n(3)} in 20{n(2)}.", f"Approx. {n(2)}.{n(1)}% of stock relates to the desk, bought under contract No. {n(3)}.", f"Account\n{n(4)} {n(4)} {n(2)} shows stock of {n(3)}.{n(1)} million.", f"Account {n(4)} {n(4)} {n(2)}\nshows net debt of {n(2)}.{n(1)} million.", f"Account {n(4)} {n(4)}\n{n(2)} shows revenue of {n(2)}.{n(1)} million.", f"The remaining stake is held by {self.company()} I{self.c(COMPANY)} posted net debt of {n(2)}.{n(1)} million.", f"Model {self.c(COMPANY)} {n(3)} was shipped on 20{n(2)}-1{n(1)}-2{n(1)}. ({n(2)}.{n(1)}%)", f"({n(2)}.{n(1)}%) 20{n(2)}-0{n(1)}-1{n(1)}: net debt fell. (20{n(2)}-0{n(1)}-1{n(1)})", f"{self.company()} {self.company()} filed late.", f"Notes to the accounts (20{n(2)})   {n(3)}", f"20{n(2)}-0{self.c('123456789')}-1{n(1)} - {n(3)} | net debt", f"20{n(2)}-1{self.c('012')}-0{self.c('123456789')} - Invoice {n(3)}-{n(2)}-20{n(2)} was paid late.", f"Note {n(1)}.{n(1)} restates cost for Q3 20{n(2)} at EUR {n(3)}.{n(1)}m, while fig. {n(1)} shows EUR {n(3)}.{n(2)}m.",
         ]
-        if r.random() < 0.42:
-            return [o(self.c(plain))]
+        if r.random() < 0.45:
+            return [o(self.c(accounts if r.random() < 0.15 else plain))]
         poss = ("", "'s")
         made = [
             [o(f"{self.c(['Questions on', 'Requests for'])} {self.c(TOPICS)} go to "), P, o(", "), E, o(".")],
@@ -141,6 +143,7 @@ class Maker:
             [o(f"Notices under clause {n(3)} are served at "), A, o(".")], [o("Former home of the founder: "), A, o(".")],
             [o("The deed names "), A, o(" as registered residence of "), P, o(" and "), ("person_name", self.person()), o(".")],
             [o("signed "), P, o(", witness "), ("person_name", self.person())],
+            [o("signed "), P, o(", witness "), ("person_name", self.person()), o(" " + self.c([f"{self.c(COMPANY)} reported net debt of {n(2)}.{n(1)} million.", f"I{self.c(COMPANY)} posted stock of {n(2)}.{n(1)} million.", f"{self.company()} said that stock fell.", f"Send {self.c(TOPICS)} to the trustee.", f"Version {n(1)}.{n(2)} of {self.c(TOPICS)} is final.", f"Does {self.c(TOPICS)} matter here?"]))],
             [P, o(f" approved {self.c(TOPICS)} on {r.randint(1, 12)}.{r.randint(1, 30)}.20{n(2)}.")],
             [P, o(f"{self.c(poss[1:])} bonus depends on {self.c(['revenue', 'net debt', 'stock'])}.")],
             [o("Beneficial owner's tax number is "), I, o(".")], [o("Mailbox owner <"), E, o(f"> left in 20{n(2)}.")], [o("mailto:"), E, o(f"?subject=q{n(3)}")],
