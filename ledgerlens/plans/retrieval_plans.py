@@ -109,7 +109,7 @@ def label_accuracy(spark: SparkSession, d: str) -> DataFrame:
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     n = R.vector_join_topk(e, q, 4).where("query_id <> vec_id")
     lab = e.select("vec_id", "label")
-    j = n.join(lab, "vec_id").join(F.broadcast(q.select("query_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")), "query_id")
+    j = n.join(lab, "vec_id").join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")
     return j.groupBy("want").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("want")).cast("int")), 6).alias("accuracy")).withColumnRenamed("want", "label")
 
 

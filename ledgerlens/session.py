@@ -57,9 +57,29 @@ def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Repartition before a Python stage, so few input files still use every core.
+    """Repartition a small input before a Python stage, so few or small files still use every core.
 
-    With no columns rows go round robin, so no key can make one partition heavy.
+    An input that Catalyst sizes at a scan partition or more for every core already has enough partitions:
+    it is left as it lies, so a large corpus is never shuffled for this. With no columns rows go round
+    robin, so no key can make one partition heavy.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if not cols and _bytes(df) >= n * _bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")):
+        return df
     return df.repartition(n, *cols) if cols else df.repartition(n)
+
+
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's size of a plan's output; 0 where the session gives no access to it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return 0
+
+
+def _bytes_of(text: str) -> int:
+    """Bytes of a setting such as 134217728b, 128m or 1g."""
+    t = text.strip().lower().removesuffix("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
+    return int(t.rstrip("kmgt") or 0) * scale
