@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import bounded_rows
+from ledgerlens.session import bounded_rows, broadcast_if_small
 
 # Other names of accounts in common accounting usage.
 ALIASES = {
@@ -301,5 +301,5 @@ def account_mappings(items: DataFrame, accounts: DataFrame) -> DataFrame:
     """item_id, account_id of each item whose name is not letter for letter an account of its statement."""
     listed = accounts.select(F.col("statement").alias("statement_type"), F.col("account").alias("name")).where("name is not null").distinct()
     typed = items.where(F.col("name").isNotNull()).select("item_id", "statement_type", "name")
-    other = typed.join(F.broadcast(listed), ["statement_type", "name"], "left_anti")
+    other = typed.join(broadcast_if_small(listed, MOST_ENTRIES), ["statement_type", "name"], "left_anti")
     return map_names(other, accounts, "statement_type", "name", "statement", "account_id", "account", ["item_id"]).select("item_id", F.col("canonical_id").alias("account_id")).distinct()
