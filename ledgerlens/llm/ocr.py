@@ -1,8 +1,8 @@
 """Repair of text from scanned pages.
 
-A word that is not credible as printed is looked up completely: a Levenshtein automaton of the word is
-intersected with a trie of the corpus vocabulary, candidates that the optical confusions explain are
-ranked by frequency, channel and neighbours. Then page numbers and running headers are removed, words
+A word that is not credible as printed is looked up completely: an automaton of its optical confusions is
+intersected with a trie of the corpus vocabulary, and every word that up to two confusions explain, however
+many edits they need, is ranked by frequency, channel and neighbours. Then page numbers and running headers are removed, words
 split over line ends are joined and the lines reflowed into paragraphs.
 
 Only wrapped text (lines that end where the next word did not fit) is taken for a scan; other texts,
@@ -135,6 +135,32 @@ def explained(read: str, printed: str, most: int = 2) -> int | None:
     return best.get((len(read), len(printed)))
 
 
+def misread(read: str, trie: Trie, least: float = 0, most: int = 2) -> dict[str, tuple[int, int]]:
+    """(fewest confusions, count) of every word of the trie counted at least ``least`` times from which at
+    most ``most`` confusions make ``read``. A state is a place in ``read`` with the confusions so far, so one
+    of several letters (a ligature, rn for m) costs no more than any other."""
+    out: dict[str, tuple[int, int]] = {}
+    stack = [("", trie.root, 0, 0)]
+    while stack:
+        pre, node, i, c = stack.pop()
+        if i == len(read):
+            if node[1] and node[1] >= least and c < out.get(pre, (most + 1, 0))[0]:
+                out[pre] = (c, node[1])
+            continue
+        steps = [(read[i], 1, 0)]
+        if c < most:
+            steps += [(b, n, 1) for n in (1, 2) if i + n <= len(read) for b in _BY_READ.get(read[i : i + n], ())]
+        for b, n, k in steps:
+            nxt = node
+            for ch in b:
+                nxt = nxt[0].get(ch)
+                if nxt is None or nxt[2] < least:
+                    break
+            else:
+                stack.append((pre + b, nxt, i + n, c + k))
+    return out
+
+
 class Repairer:
     """Repair of single texts with a vocabulary, word pairs and header templates of the whole corpus."""
 
@@ -150,12 +176,8 @@ class Repairer:
         strange = not re.fullmatch(_WORD, word)
         base = float(max(own, 1)) if strange else self.ratio * (4.0 if len(word) < 4 else 1.0) * max(own, 0.5)
         out = []
-        # Two edits hold any single confusion, for none is longer.
-        for v, _, n in LevenshteinAutomaton(word, 2).within(self.trie, max(base, LEAST_COUNT)):
-            if v == word or len(v) < 2:
-                continue
-            k = explained(word, v)
-            if k is not None and (strange or n >= base * self.ratio ** (k - 1)):
+        for v, (k, n) in misread(word, self.trie, max(base, LEAST_COUNT)).items():
+            if v != word and len(v) > 1 and (strange or n >= base * self.ratio ** (k - 1)):
                 out.append((v, math.log(n) - 3.0 * k))
         return tuple(sorted(out, key=lambda x: (-x[1], x[0])))
 

@@ -94,6 +94,24 @@ def test_scan_repair():
     assert fixed == "The selling shareholders signed off on the lease register, mostly because of staff turnover in the ledger team.\n\nRevenue moved by 14.35% points after the change in rebate terms. It was"
 
 
+def test_two_confusions_of_several_letters_are_found():
+    rep = ocr.Repairer({w: 20000 for w in ("statement", "commission", "drawdown", "office", "affluent", "modern")}, {}, set())
+    for read, printed in (("staternemt", None), ("stalernent", "statement"), ("cornrnission", "commission"), ("clrawclown", "drawdown"), ("oﬃce", "office"), ("Oﬃee", "Office"), ("aﬄuent", "affluent"), ("rnoclern", "modern")):
+        assert rep.fix(read, "", "") == printed
+
+
+def test_misread_equals_brute_force():
+    r = random.Random(8)
+    bits = ["rn", "m", "cl", "d", "ii", "u", "li", "h", "vv", "w", "ffi", "e", "c", "o"]
+    vocab = {"".join(r.choice(bits) for _ in range(r.randint(1, 4))): r.randint(1, 9) for _ in range(400)}
+    trie = ocr.Trie(vocab)
+    for _ in range(150):
+        read = "".join(r.choice(bits + ["ﬃ"]) for _ in range(r.randint(1, 4)))
+        for least in (0, 5):
+            want = {v: (k, n) for v, n in vocab.items() if n >= least and (k := ocr.explained(read, v)) is not None}
+            assert ocr.misread(read, trie, least) == want
+
+
 def test_other_texts_stay():
     r = repairer()
     table = "Statement of cash\n2021\n2020\nRevenue                 4,924      39,239\nCosts                   1,111      22,222"
