@@ -219,25 +219,26 @@ def complete(p: list[dict]) -> bool:
     return bool(known(p, "trade")) if p[0]["k"] == "t" else bool(known(p, "line"))
 
 
+def signature(p: list[dict]) -> tuple:
+    """What a profile knows that another one can contradict."""
+    if p[0]["k"] == "c":
+        return "c", frozenset(known(p, "line")), frozenset(known(p, "form")), frozenset(v["num"] for v in p)
+    return p[0]["k"], frozenset(known(p, "typ")), frozenset(v["given"][0] for v in p if v["given"])
+
+
+@lru_cache(maxsize=500_000)
+def agree(a: tuple, b: tuple) -> bool:
+    """Whether nothing in two signatures contradicts."""
+    if a[0] != b[0]:
+        return False
+    if a[0] == "c":
+        return not any(x and y and not x & y for x, y in zip(a[1:3], b[1:3])) and (a[3] == b[3] or bool(a[3] & b[3]))
+    return not (a[1] and b[1] and not a[1] & b[1]) and all(given_fit([u], [v]) for u in a[2] for v in b[2])
+
+
 def profiles_fit(a: list[dict], b: list[dict]) -> bool:
     """Whether any two spellings fit and nothing that the profiles know contradicts."""
-    if a[0]["k"] != b[0]["k"]:
-        return False
-    if a[0]["k"] == "c":
-        for what in ("line", "form"):
-            x, y = known(a, what), known(b, what)
-            if x and y and not x & y:
-                return False
-        if {v["num"] for v in a} != {v["num"] for v in b} and not ({v["num"] for v in a} & {v["num"] for v in b}):
-            return False
-    else:
-        x, y = known(a, "typ"), known(b, "typ")
-        if x and y and not x & y:
-            return False
-        ga, gb = [v["given"] for v in a if v["given"]], [v["given"] for v in b if v["given"]]
-        if not all(given_fit(u, v) for u in ga for v in gb):
-            return False
-    return any(spellings_fit(u, v) for u in a for v in b)
+    return agree(signature(a), signature(b)) and any(spellings_fit(u, v) for u in a for v in b)
 
 
 def keys_of(p: list[dict]) -> set[str]:
@@ -300,6 +301,41 @@ def merge_block(rows: list[tuple[int, list[dict]]]) -> list[tuple[int, int]]:
     return links
 
 
+def across(left: list[tuple[int, list[dict]]], right: list[tuple[int, list[dict]]] | None, step: str) -> list[tuple[int, int]]:
+    """Every fit between two parts of a block (or within one, if ``right`` is None), told as little as the
+    step needs: ``complete`` the smallest fit of each profile; ``fits`` up to two complete profiles for each
+    incomplete one; ``loose`` the smallest fit of each profile among the smaller ones."""
+    own: dict[tuple, list[tuple[int, list[dict]]]] = {}
+    other: dict[tuple, list[tuple[int, list[dict]]]] = {}
+    for rows, by in ((left, own), (left if right is None else right, other)):
+        for e, p in rows:
+            by.setdefault((complete(p), signature(p)), []).append((e, p))
+    out: dict[int, set[int]] = {}
+
+    def add(x: int, y: int) -> None:
+        if step == "fits":
+            if len(out.setdefault(x, set())) < 2:
+                out[x].add(y)
+        elif step == "complete" or y < x:
+            out[x] = {min(y, *out.get(x, {y}))}
+
+    for (ca, sa), ps in own.items():
+        for (cb, sb), qs in other.items():
+            if (step == "fits") == (ca == cb) or not agree(sa, sb):
+                continue
+            for e, p in ps:
+                for f, q in qs:
+                    if e == f or right is None and step != "fits" and e > f or step == "fits" and len(out.get(f if ca else e, ())) > 1:
+                        continue
+                    if any(spellings_fit(u, v) for u in p for v in q):
+                        if step == "fits":
+                            add(*((f, e) if ca else (e, f)))
+                        else:
+                            add(e, f)
+                            add(f, e)
+    return [(x, y) for x, ys in out.items() for y in sorted(ys)]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of links (a, b): the smallest label travels until nothing changes."""
     both = shared_checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -326,8 +362,11 @@ def resolve_names(names: DataFrame, name: str = "name") -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = [(k, e, list(vs)) for e, vs in zip(p["ent"], p["vs"]) for k in sorted(keys_of([json.loads(v) for v in vs]))]
-            yield pd.DataFrame(out, columns=["key", "ent", "vs"])
+            out = []
+            for e, vs in zip(p["ent"], p["vs"]):
+                own = [json.loads(v) for v in vs]
+                out += [(k, e, complete(own), list(vs)) for k in sorted(keys_of(own))]
+            yield pd.DataFrame(out, columns=["key", "ent", "whole", "vs"])
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links of blocks that lie together in key order; a block may run over batches. Keys that hold the
@@ -353,15 +392,70 @@ def resolve_names(names: DataFrame, name: str = "name") -> DataFrame:
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         yield pd.DataFrame(links(rows), columns=["a", "b"]).astype("int64")
 
+    def crossed(hot: DataFrame, step: str) -> DataFrame:
+        """(key, a, b) of ``across`` for every pair of parts of the blocks, each pair a task of its own."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            decode = lru_cache(maxsize=100_000)(json.loads)
+
+            def fits(at: tuple, rows: list[tuple]) -> pd.DataFrame:
+                sides: dict[int, list] = {}
+                for part, e, vs in rows:
+                    sides.setdefault(part, []).append((e, [decode(v) for v in vs]))
+                one = at and at[1] == at[2]
+                got = across(sides.get(at[1], []), None if one else sides.get(at[2], []), step) if rows else []
+                return pd.DataFrame([(at[0], x, y) for x, y in got], columns=["key", "a", "b"]).astype({"a": "int64", "b": "int64"})
+
+            at, rows = None, []
+            for p in batches:
+                for key, i, j, part, e, vs in zip(p["key"], p["i"], p["j"], p["part"], p["ent"], p["vs"]):
+                    if (key, i, j) != at:
+                        if rows:
+                            yield fits(at, rows)
+                        at, rows = (key, i, j), []
+                    rows.append((part, int(e), tuple(vs)))
+            if rows:
+                yield fits(at, rows)
+
+        dealt = hot.withColumn("part", F.pmod(F.xxhash64("ent"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        laid = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ent", "vs")
+        return laid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "key string, a bigint, b bigint")
+
+    def missed(k: DataFrame, size: DataFrame) -> DataFrame | None:
+        """Links in blocks beyond BLOCK profiles that their parts did not show: first of complete profiles,
+        and only if there is none, of incomplete ones, whose fits are counted over the whole block."""
+        large = size.where("parts > 1")
+        if large.limit(1).count() == 0:
+            return None
+        hot = k.join(large.select("key", "parts"), "key")
+        same = hot.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("ent").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ent", F.lit(1))).alias("x"))
+        once = same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
+        hot = shared_checkpoint(hot.join(once, "key"))
+        least = shared_checkpoint(crossed(hot.where("whole"), "complete").groupBy("a").agg(F.min("b").alias("b")))
+        if least.limit(1).count():
+            # A profile below all its fits is compared with those that fit none smaller, as a block of its own.
+            hub = least.where("a < b").select(F.col("a").alias("hub"))
+            leaf = least.where("b < a").select("a", F.col("b").alias("hub")).join(hub, "hub")
+            star = leaf.select("hub", F.col("a").alias("ent")).unionByName(leaf.select("hub", F.col("hub").alias("ent")).distinct())
+            laid = star.join(prof, "ent").select(F.col("hub").cast("string").alias("key"), F.lit(0).alias("part"), "ent", "vs")
+            return shared_checkpoint(laid.repartition("key").sortWithinPartitions("key", "ent").mapInPandas(blocks, "a bigint, b bigint").distinct())
+        fits = shared_checkpoint(crossed(hot, "fits").groupBy("key", "a").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")))
+        loose = hot.where("not whole").join(fits.select("key", F.col("a").alias("ent")), ["key", "ent"], "left_anti")
+        near_loose = crossed(loose, "loose").groupBy("key", "a").agg(F.min("b").alias("b"))
+        return shared_checkpoint(fits.where("n = 1").select("a", "b").unionByName(near_loose.select("a", "b")).distinct())
+
     turn = 0
     while True:
-        k = prof.mapInPandas(keyed, "key string, ent bigint, vs array<string>")
+        k = prof.mapInPandas(keyed, "key string, ent bigint, whole boolean, vs array<string>")
         size = k.groupBy("key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int"))
-        # A block beyond BLOCK profiles is dealt out; what its parts merge meets again in the next round.
-        dealt = k.join(size.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("ent", F.lit(turn)), F.col("parts")))
+        # A block beyond BLOCK profiles is dealt out; what its parts merge meets again in the next round. A
+        # round without links ends it only after all pairs of parts have met.
+        dealt = k.join(size.select("key", "parts"), "key").where("whole or parts = 1").withColumn("part", F.pmod(F.xxhash64("ent", F.lit(turn)), F.col("parts")))
         laid = dealt.select("key", "part", "ent", "vs").repartition("key", "part").sortWithinPartitions("key", "part", "ent")
         links = shared_checkpoint(laid.mapInPandas(blocks, "a bigint, b bigint").distinct())
         if links.limit(1).count() == 0:
+            links = missed(k, size)
+        if links is None or links.limit(1).count() == 0:
             return owner.select("name", F.col("ent").alias("entity_id"))
         root = components(links)
         up = prof.join(root.select(F.col("node").alias("ent"), "root"), "ent", "left").select(F.coalesce("root", "ent").alias("ent"), "vs")

@@ -174,6 +174,23 @@ def test_hot_blocks_are_split_and_meet_again(spark, monkeypatch):
     assert len({x["entity_id"] for x in r}) == 1
 
 
+def test_result_does_not_depend_on_block_size(spark, monkeypatch):
+    r = random.Random(3)
+    given = {"James": "Jim", "Helen": "Nell", "Victor": "Vic", "Walter": "Walt", "Pamela": "Pam", "Gregory": "Greg", "Sarah": "Sally", "Dorothy": "Dot"}
+    trades = [f"{a}{b}" for a in ("Glo", "Bor", "Zim", "Tav") for b in ("ra", "ri", "xel", "mund")]
+    one = [f"{g} Kammar t/a {t} {w}" for g in given for t, w in zip(trades, ("Joinery", "Bakery", "Florist", "Salon") * 4)]
+    names = one + [f"{given[n.split()[0]]} {n.split(' ', 1)[1]}" for n in r.sample(one, 12)] + ["James Kammar", "Kammar Helen", "Sally Kammar", "Greg Kammar", "Henry Kammar", "Harry Kammar"]
+    found = []
+    for most in (3, 10_000):
+        monkeypatch.setattr(entities, "BLOCK", most)
+        by = {}
+        for x in entities.resolve_names(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+            by.setdefault(x["entity_id"], set()).add(x["name"])
+        found.append({frozenset(v) for v in by.values()})
+    assert found[0] == found[1] and len(found[0]) == len(one) + 5
+    assert {"James Kammar"} in found[0] and {"Henry Kammar", "Harry Kammar"} in found[0]
+
+
 def test_ambiguous_name_stays_alone():
     rows = [(k, [entities.parse(n)]) for k, n in enumerate(["Ab Cdef Energy S.A.".replace("Ab", "Abcde"), "Abcde Cdef Foods S.A.", "Abcde Cdef S.A."])]
     assert entities.merge_block(rows) == []
