@@ -92,7 +92,8 @@ class CgkSampler:
 
 def segments(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(item start, doc start, length) of ungapped runs of at least ``least`` words, at most one word in
-    REPLACED replaced, on each diagonal the longest."""
+    REPLACED replaced: on each diagonal the longest, then the longest left and right of it, and so on; besides
+    the two that together are longest, where these are others."""
     n = len(item)
     order = np.argsort(item, kind="stable")
     lo = np.searchsorted(item[order], doc, "left")
@@ -108,18 +109,37 @@ def segments(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, i
         ok = np.zeros(n, bool)
         ok[hits] = True
         pre = np.concatenate([[0], np.cumsum(np.where(ok, 1, 1 - REPLACED))])
-        best = (0, 0)
-        starts = [i for i in hits if i == 0 or not ok[i - 1]]
-        ends = [i + 1 for i in hits if i + 1 == n or not ok[i + 1]]
-        for a in sorted(starts):
-            for b in reversed(sorted(ends)):
-                if b - a <= best[1] - best[0]:
-                    break
-                if pre[b] - pre[a] >= 0:
-                    best = (a, b)
-                    break
-        if best[1] - best[0] >= least:
-            out.append((best[0], best[0] + d, best[1] - best[0]))
+        starts = sorted(i for i in hits if i == 0 or not ok[i - 1])
+        ends = sorted(i + 1 for i in hits if i + 1 == n or not ok[i + 1])
+
+        def longest(lo: int, hi: int) -> tuple[int, int]:
+            best = (0, 0)
+            for a in starts:
+                if a < lo:
+                    continue
+                for b in reversed(ends):
+                    if b > hi:
+                        continue
+                    if b - a <= best[1] - best[0]:
+                        break
+                    if pre[b] - pre[a] >= 0:
+                        best = (a, b)
+                        break
+            return best if best[1] - best[0] >= least else (0, 0)
+
+        runs: list[tuple[int, int]] = []
+        todo = [(0, n)]
+        while todo:
+            lo_i, hi_i = todo.pop()
+            a, b = longest(lo_i, hi_i)
+            if b:
+                runs.append((a, b))
+                todo += [(x, y) for x, y in ((lo_i, a), (b, hi_i)) if y - x >= least]
+        if runs:
+            pair = max(((longest(0, x), longest(x, n)) for x in starts[1:]), key=lambda p: sum(b - a for a, b in p), default=())
+            if sum(b - a for a, b in pair) > sum(sorted(b - a for a, b in runs)[-2:]):
+                runs += [r for r in pair if r[1] and r not in runs]
+        out += [(a, a + d, b - a) for a, b in runs]
     return out
 
 
@@ -127,8 +147,9 @@ def places(segs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
     """Runs joined over an inserted or dropped word: (item start, item end, doc start, doc end, words)."""
     out: list[list[int]] = []
     for i, d, ln in sorted(segs):
-        p = out[-1] if out else None
-        if p and 0 <= i - p[1] <= 3 and 0 <= d - p[3] <= 3:
+        # Runs at the same offset have too many words replaced between them to be one place.
+        p = next((p for p in reversed(out) if 0 <= i - p[1] <= 3 and 0 <= d - p[3] <= 3 and i - p[1] != d - p[3]), None)
+        if p:
             p[1], p[3], p[4] = i + ln, d + ln, p[4] + ln
         else:
             out.append([i, i + ln, d, d + ln, ln])
@@ -146,6 +167,8 @@ def coverage(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[float, int]
             best, num = p[4], 1
         for q in ps[:k] + ps[k + 1 :]:
             a = max(0, p[1] - q[0])  # overlap in the item counts once
+            if a and q[2] - q[0] == p[3] - p[1]:
+                continue  # two runs of one offset that overlap are no two places
             if q[0] >= p[0] and q[1] > p[1] and q[2] + a >= p[3] and q[4] > a and p[4] + q[4] - a > best:
                 best, num = p[4] + q[4] - a, 2
     return best / len(item), num

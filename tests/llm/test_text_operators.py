@@ -230,6 +230,28 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.find_leaks(ds.limit(0), its).count() == 0 and leakage.find_leaks(ds, its.limit(0)).count() == 0
 
 
+def test_coverage_of_one_offset_equals_brute_force():
+    import numpy as np
+
+    item = np.arange(1, 101).astype(np.uint64)
+    doc = item.copy()
+    doc[25:60] = doc[85:] = 999
+    assert leakage.coverage(item, doc, 6) == (0.5, 2)
+    r = random.Random(1)
+    for n in [40, 60, 80] * 25:
+        item = np.arange(1, n + 1).astype(np.uint64)
+        doc, pos = item.copy(), 0
+        while pos < n:
+            pos += r.randint(3, 20)
+            gap = r.randint(1, 12)
+            doc[pos : pos + gap] = 999
+            pos += gap
+        ok = [x == y for x, y in zip(item, doc)]
+        runs = [(a, b) for a in range(n) for b in range(a + 6, n + 1) if ok[a] and ok[b - 1] and 8 * (b - a - sum(ok[a:b])) <= b - a]
+        want = max([b - a for a, b in runs] + [b - a + d - c for a, b in runs for c, d in runs if c >= b], default=0)
+        assert leakage.coverage(item, doc, 6)[0] == pytest.approx(want / n)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     items, docs, want = leak_case()
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 5)
