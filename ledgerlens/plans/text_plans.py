@@ -62,9 +62,15 @@ def metric_amounts(spark: SparkSession, d: str) -> DataFrame:
 METRIC_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{k}' AS metric, regexp_extract(content, '{_re(p)}', 1) AS amount FROM c WHERE content IS NOT NULL" for k, p in V.METRIC_PATTERNS.items()) + ") SELECT * FROM m WHERE amount<>''"
 
 
-def key_info(spark: SparkSession, d: str) -> DataFrame:
+def key_info_all(spark: SparkSession, d: str) -> DataFrame:
+    """Number and first of the finds of every kind in each chunk, potential companies included."""
     k = chunks_once(spark, d).where("content is not null").select("chunk_id", F.explode(D.key_info(F.col("content"))).alias("kind", "found"))
-    return k.where("kind <> 'potential_companies'").select("chunk_id", "kind", F.size("found").alias("n"), F.element_at("found", 1).alias("first"))
+    return k.select("chunk_id", "kind", F.size("found").alias("n"), F.element_at("found", 1).alias("first"))
+
+
+def key_info(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds that its SQL states: ``key_info_all`` without potential companies."""
+    return key_info_all(spark, d).where("kind <> 'potential_companies'")
 
 
 KEY_INFO_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{k}' AS kind, list_distinct(regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1:10]) AS f, regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1] AS first FROM c WHERE content IS NOT NULL" for k in ("monetary_values", "dates", "percentages")) + ") SELECT chunk_id, kind, len(f) AS n, first FROM m WHERE len(f)>0"
@@ -188,7 +194,7 @@ def task_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (category_argmax, statement_keyword_type, chunk_detection, metric_amounts, key_info, text_periods, text_normalized, chunk_paragraphs, chunk_windows, chunk_by_strategy, table_row_chunks, where_filtered, metadata_filtered, collection_stats, type_shares, entity_frequency, entity_coverage, chunk_consistency, boundary_violations, chunk_enrichment, task_routing)
+    fs = (category_argmax, statement_keyword_type, chunk_detection, metric_amounts, key_info, key_info_all, text_periods, text_normalized, chunk_paragraphs, chunk_windows, chunk_by_strategy, table_row_chunks, where_filtered, metadata_filtered, collection_stats, type_shares, entity_frequency, entity_coverage, chunk_consistency, boundary_violations, chunk_enrichment, task_routing)
     return {f.__name__: f for f in fs}
 
 
