@@ -203,7 +203,7 @@ class Repairer:
                 return "-".join(fixed) if fixed != parts else None
             return None
         best, score = None, -1e9
-        for v, s in cands[:50]:
+        for v, s in cands:
             c = s + 1.5 * math.log1p(self.pairs.get((before, v), 0)) + 1.5 * math.log1p(self.pairs.get((v, after), 0))
             if c > score:
                 best, score = v, c

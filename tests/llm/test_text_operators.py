@@ -112,6 +112,18 @@ def test_misread_equals_brute_force():
             assert ocr.misread(read, trie, least) == want
 
 
+def test_neighbours_decide_among_all_candidates():
+    swap = {a: [b for x, b in ocr.CONFUSIONS if x == a and len(b) == 1] for a, _ in ocr.CONFUSIONS if len(a) == 1}
+    read = "oelatolifah"
+    one = {read[:i] + b + read[i + 1 :] for i in range(len(read)) for b in swap.get(read[i], [])}
+    two = {v[:i] + b + v[i + 1 :] for v in one for i in range(len(v)) for b in swap.get(read[i], []) if v[i] == read[i]}
+    words = sorted((one | two) - {read})
+    right = max(two - one)
+    rep = ocr.Repairer({w: 900 if w == right else 1000 for w in words}, {("the", right): 10**6}, set())
+    assert len(words) > 50 and [v for v, _ in rep.candidates(read)].index(right) >= 50
+    assert rep.fix(read, "the", "") == right
+
+
 def test_other_texts_stay():
     r = repairer()
     table = "Statement of cash\n2021\n2020\nRevenue                 4,924      39,239\nCosts                   1,111      22,222"
