@@ -44,7 +44,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 def script_of(text: str) -> str:
     c = Counter()
-    for ch in text[:20000]:
+    for ch in text:
         o = ord(ch)
         if 0x0E00 <= o < 0x0E80:
             c["th"] += 1

@@ -11,6 +11,7 @@ from ledgerlens.functions.tagging import format_ratio
 from ledgerlens.operators import insights as N
 from ledgerlens.operators import statements as S
 from ledgerlens.operators import trends as T
+from ledgerlens.session import bounded_rows
 from ledgerlens.sources.tables import table
 
 
@@ -117,12 +118,22 @@ SELECT DISTINCT statement_id, coalesce(label, CASE WHEN lower(period_type)='annu
 FROM statements"""
 
 
-def statement_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    """A table with years as columns (revenue per nation) turned into line items."""
+def _unpivot_years(facts: DataFrame, years: list[int]) -> DataFrame:
+    wide = facts.groupBy("company").pivot("fiscal_year", years).agg(F.round(F.first("revenue"), 0))
+    text = wide.select(F.lit("sales").alias("statement"), F.col("company").alias("label"), *[F.concat(F.lit("$ "), F.format_number(F.col(str(y)), 2)).alias(f"c{y}") for y in years])
+    return S.unpivot_table(text, "label", [f"c{y}" for y in years], ["statement"]).select("statement", "name", "raw_value", F.round("value", 2).alias("value"))
+
+
+def statement_unpivot_all(spark: SparkSession, d: str) -> DataFrame:
+    """A table with years as columns (revenue per nation) turned into line items, for every year present."""
     f = yearly_facts(spark, d)
-    wide = f.groupBy("company").pivot("fiscal_year", [1996, 1997, 1998]).agg(F.round(F.first("revenue"), 0))
-    text = wide.select(F.lit("sales").alias("statement"), F.col("company").alias("label"), *[F.concat(F.lit("$ "), F.format_number(F.col(str(y)), 2)).alias(f"c{y}") for y in (1996, 1997, 1998)])
-    return S.unpivot_table(text, "label", ["c1996", "c1997", "c1998"], ["statement"]).select("statement", "name", "raw_value", F.round("value", 2).alias("value"))
+    years = bounded_rows(f.where("fiscal_year is not null").select(F.col("fiscal_year").cast("int").alias("y")).distinct(), 1000, "years")
+    return _unpivot_years(f, sorted(r["y"] for r in years))
+
+
+def statement_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    """The years 1996 to 1998 that its SQL states; ``statement_unpivot_all`` has every year."""
+    return _unpivot_years(yearly_facts(spark, d), [1996, 1997, 1998])
 
 
 STATEMENT_UNPIVOT_SQL = f"""
@@ -245,7 +256,7 @@ def scaled_line_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, ratio_findings, scaled_line_items)
+    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, statement_unpivot_all, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, ratio_findings, scaled_line_items)
     return {f.__name__: f for f in fs} | {"forecast_linear": _forecast("linear"), "forecast_growth": _forecast("growth_rate"), "forecast_average": _forecast("average")}
 
 

@@ -349,3 +349,7 @@ def test_learned_model(spark):
     u = sentences.split_sentences(d, m)
     assert u.count() == 1200 and u.where("sentence like '%Dr.'").count() == 0
     assert sentences.split_sentences(d.limit(0), sentences.learn(d.limit(0))).count() == 0
+
+
+def test_script_of_the_whole_paragraph():
+    assert sentences.script_of("a" * 20_500 + "ก" * 30_000) == "th" and sentences.script_of("ก" * 20_500 + "a" * 30_000) == "latin"

@@ -131,3 +131,12 @@ def test_document_columns(spark):
     assert [r[0] for r in q] == ["summarization", "analysis", "query"]
     m = spark.createDataFrame([({"source": "s", "secret": "x"},)], "m map<string,string>").select(N.context_metadata(F.col("m"))).first()[0]
     assert m == '{"source":"s"}'
+
+
+def test_all_years_are_unpivoted(spark, small):
+    import __spark_entry__ as E
+    from ledgerlens.plans.statement_plans import yearly_facts
+
+    facts = yearly_facts(spark, small).where("revenue is not null").count()
+    every = E.queries()["statement_unpivot_all"](spark, small)
+    assert every.count() == facts > E.queries()["statement_unpivot"](spark, small).count()
