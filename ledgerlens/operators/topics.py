@@ -1,4 +1,7 @@
-"""Topics of a collection: TF-IDF, reduction, k-means, fitted once per collection.
+"""Topics of a collection: TF-IDF and k-means, fitted once per collection.
+
+The survey's method E10 reduces TF-IDF to 50 dimensions (SVD) before k-means. That step is not done here:
+k-means runs on the terms themselves, so chunks can fall into other topics than with E10.
 
 Defined results: empty and null texts carry no topic; fewer texts than topics give fewer topics; an empty
 input gives no rows.
