@@ -38,3 +38,49 @@ def test_mixture_flags_doubtful_scale(spark):
     out = {r["item_id"]: r for r in normalize_units(spark.createDataFrame(rows, SCHEMA), cat).collect()}
     assert out[900]["unit_posterior"] < out[901]["unit_posterior"]
     assert out[900]["unit_uncertain"] and not out[901]["unit_uncertain"]
+
+
+def _measured(spark, masked):
+    """Energy used by site: magnitudes of one measure, recorded in kWh, MWh or GJ; unit and currency of every third row masked."""
+    import random
+
+    r = random.Random(3)
+    units = {"kWh": 3.6, "MWh": 3600.0, "GJ": 1000.0, "MJ": 1.0}
+    rows, true = [], {}
+    for k in range(900):
+        name, mean = [("Depot", 7.0), ("Smelter", 11.5), ("Office", 4.5)][k % 3]
+        unit = r.choice(["kWh", "MWh"]) if name != "Office" else "MJ"
+        mj = 10 ** r.gauss(mean, 0.3)
+        hide = k % 3 == (k // 3) % 3 and masked
+        rows.append((k, None if hide else "EUR", mj / units[unit], None, None if hide else unit, 1.0 if r.random() < 0.5 else None, name))
+        if hide:
+            true[k] = (unit, mj)
+    cat = [("MJ", "energy", "MJ", 1.0), ("kWh", "energy", "MJ", 3.6), ("MWh", "energy", "MJ", 3600.0), ("GJ", "energy", "MJ", 1000.0), ("EUR", "money", "EUR", 1.0)]
+    return spark.createDataFrame(rows, SCHEMA + ", name string"), spark.createDataFrame(cat, "unit_code string, quantity string, common_unit string, factor double"), true
+
+
+def test_masked_units_are_assigned_by_posterior(spark):
+    items, cat, true = _measured(spark, True)
+    out = {r["item_id"]: r for r in normalize_units(items, cat, group="name").collect()}
+    assert len(true) == 300
+    right = [k for k, (u, mj) in true.items() if out[k]["resolved_unit"] == u and float(out[k]["amount"]) == pytest.approx(mj, rel=1e-6)]
+    assert len(right) >= 0.9 * len(true)
+    assert all(out[k]["unit_source"] == "mixture" and 0 < out[k]["unit_posterior"] <= 1 for k in true)
+    wrong = [k for k in true if k not in right]
+    assert not wrong or sum(out[k]["unit_posterior"] for k in wrong) / len(wrong) < sum(out[k]["unit_posterior"] for k in right) / len(right)
+
+
+def test_a_group_without_any_unit_stays_unread(spark):
+    cat = spark.createDataFrame(CATALOG, "unit_code string, quantity string, common_unit string, factor double")
+    out = normalize_units(spark.createDataFrame([(1, None, 5.0, None, None, None)], SCHEMA), cat).first()
+    assert out["amount"] is None and out["unit_source"] == "none"
+
+
+def test_lone_full_stop_is_read_by_the_likelier_magnitude(spark):
+    cat = spark.createDataFrame(CATALOG, "unit_code string, quantity string, common_unit string, factor double")
+    large = [(k, "USD", None, f"{k + 1}.234.567", "USD", 1.0) for k in range(60)]
+    small = [(1000 + k, "EUR", None, f"{k % 9 + 1},{k % 10}", "EUR", 1.0) for k in range(400)] + [(2000 + k, "EUR", None, f"1{k}01.234", "EUR", 1.0) for k in range(60)]
+    asked = [(9001, "USD", None, "765.432", "USD", 1.0), (9002, "EUR", None, "3.125", "EUR", 1.0)]
+    out = {r["item_id"]: r for r in normalize_units(spark.createDataFrame(large + small + asked, SCHEMA), cat).collect()}
+    assert float(out[9001]["amount"]) == 765432 and 0.5 <= out[9001]["unit_posterior"] <= 1
+    assert float(out[9002]["amount"]) == 3.125
