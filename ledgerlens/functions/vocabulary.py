@@ -56,6 +56,7 @@ STATEMENT_PATTERNS = {
     "management_discussion": r"(?i)(item\s+7\.?\s*)?management'?s?\s+discussion\s+and\s+analysis",
     "risk_factors": r"(?i)(item\s+1A\.?\s*)?risk\s+factors",
 }
+# Patterns of tables and periods, and the terms, of chunks.
 TABLE_PATTERN = r"(?:\s*\d+[\s,]*)(?:\s*\d+[\s,]*)(?:\s*\d+[\s,]*)"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 PERIOD_PATTERNS = [
@@ -65,18 +66,16 @@ PERIOD_PATTERNS = [
 ]
 CHUNK_TERMS = ["revenue", "income", "profit", "loss", "ebitda", "assets", "liabilities", "equity", "cash flow", "balance", "earnings", "eps", "dividend", "depreciation", "amortization", "tax", "interest", "debt", "capital", "expense", "margin"]
 
-_AMOUNT = r"(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)"
-_OF = r"(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*"
 # Amount patterns of metrics named in a text; the first match counts.
 METRIC_PATTERNS = {
-    "revenue": r"(?i)(?:revenue|sales|turnover)" + _OF + _AMOUNT,
-    "ebitda": r"(?i)EBITDA\s*(?:of|:)?\s*(?:US)?\$?\s*" + _AMOUNT,
-    "net_income": r"(?i)(?:net income|profit|earnings)" + _OF + _AMOUNT,
-    "assets": r"(?i)(?:total assets|assets)" + _OF + _AMOUNT,
-    "liabilities": r"(?i)(?:total liabilities|liabilities)" + _OF + _AMOUNT,
-    "equity": r"(?i)(?:equity|shareholder's equity|stockholder's equity)" + _OF + _AMOUNT,
+    "revenue": r"(?i)(?:revenue|sales|turnover)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
+    "ebitda": r"(?i)EBITDA\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
+    "net_income": r"(?i)(?:net income|profit|earnings)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
+    "assets": r"(?i)(?:total assets|assets)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
+    "liabilities": r"(?i)(?:total liabilities|liabilities)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
+    "equity": r"(?i)(?:equity|shareholder's equity|stockholder's equity)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
     "pe_ratio": r"(?i)(?:price[- ]to[- ]earnings|P/E|PE) ratio\s*(?:of|:)?\s*(\d+(?:\.\d+)?)",
-    "market_cap": r"(?i)(?:market capitalization|market cap)" + _OF + _AMOUNT,
+    "market_cap": r"(?i)(?:market capitalization|market cap)(?:s)?\s*(?:of|:)?\s*(?:US)?\$?\s*(\d+(?:,\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|m|b|M|B))?)",
 }
 
 # Task patterns of questions, in order of precedence.
@@ -98,6 +97,7 @@ TASK_PATTERNS = {
     "question_answering": [r"\bwhat\b.*\?", r"\bhow\b.*\?", r"\bwhen\b.*\?", r"\bwhere\b.*\?", r"\bwhy\b.*\?", r"\bcan you tell me\b", r"\bexplain\b", r"\bcould you provide\b"],
     "general_financial": [r"\bfinance\b", r"\bfinancial\b", r"\bmoney\b", r"\bcapital\b", r"\binvestment\b", r"\bdollar\b", r"\beuro\b", r"\bcurrency\b", r"\beconomic\b", r"\bmarket\b"],
 }
+# Patterns of complex questions and of financial context, and the complex tasks.
 COMPLEX_PATTERNS = [r"\bcompare\b", r"\banalyze\b", r"\bcorrelation\b", r"\bcausation\b", r"\bimpact of\b", r"\brelationship between\b", r"\btradeoff\b", r"\bscenario analysis\b", r"\bsensitivity analysis\b", r"\bwhat-if\b", r"\bcomplex\b", r"\badvanced\b", r"\bsophisticated\b", r"\bdetailed\b", r"\bnuanced\b", r"\bmultifaceted\b"]
 CONTEXT_PATTERNS = [r"\b\$\d+\b", r"\bdollars\b", r"\beuros\b", r"\byuans?\b", r"\byens?\b", r"\bpounds\b", r"\bcurrency\b", r"\bpercentage\b", r"\bcompany\b", r"\bcorporation\b", r"\benterprise\b", r"\bfirm\b", r"\borganization\b", r"\bbusiness\b"]
 COMPLEX_TASKS = ["valuation", "risk_assessment", "due_diligence", "red_flag_identification"]
@@ -108,6 +108,7 @@ TASK_PROVIDER = {
     "trend_analysis": "hybrid", "forecasting": "hybrid", "income_statement_analysis": "hybrid", "balance_sheet_analysis": "hybrid", "cash_flow_analysis": "hybrid",
     "general_financial": "openai", "non_financial": "openai",
 }
+# Entity patterns of questions.
 QUERY_ENTITY_PATTERNS = {
     "monetary_values": r"(?i)\$\s?[\d,]+(?:\.\d+)?(?:\s?(?:million|billion|m|b|k))?",
     "percentages": r"\d+(?:\.\d+)?\s?%",
@@ -130,11 +131,28 @@ TERM_WEIGHTS = {
     "risk": 1.5, "volatility": 1.5, "default": 1.6, "bankruptcy": 1.6, "material weakness": 1.8, "going concern": 1.8, "internal control": 1.6,
     "acquisition": 1.7, "merger": 1.7, "due diligence": 1.8, "synergy": 1.6, "target company": 1.7, "valuation": 1.7, "earn-out": 1.7, "purchase price": 1.6, "deal structure": 1.6,
 }
+# Phrases of titles, periods, dates, amounts and units that are tagged.
 STATEMENT_TITLES = r"\b(?:balance\s+sheet|statement\s+of\s+financial\s+position|income\s+statement|profit\s+and\s+loss|statement\s+of\s+operations|cash\s+flow\s+statement|statement\s+of\s+cash\s+flows|statement\s+of\s+changes\s+in\s+equity|statement\s+of\s+comprehensive\s+income)\b"
 PERIOD_PHRASES = r"\b(?:year(?:s)?\s+end(?:ed|ing)?|quarter(?:s)?\s+end(?:ed|ing)?|month(?:s)?\s+end(?:ed|ing)?|period\s+end(?:ed|ing)?|fiscal\s+year|(?:q[1-4]|fy\d{2,4}))\b"
 DATE_PHRASES = r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{2,4}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{2,4})\b"
 MONEY_PHRASES = r"(?:[$€£¥]|\b(?:USD|EUR|GBP|JPY|CAD|AUD|CHF)\b)\s*(?:\d{1,3}(?:,\d{3})+\.\d+|\d+\.\d+|\.\d+|\d{1,3}(?:,\d{3})+|\d+)(?:\s*(?:million|billion|trillion|m|b|t))?"
 UNIT_PHRASES = r"\b\d+(?:\.\d+)?(?:\s*(?:thousand|million|billion|trillion|percent|k|m|b|t|%))\b"
+# File types, metadata keys of a prompt, and entities expected in a collection.
 FILE_TYPES = [".pdf", ".docx", ".doc", ".xlsx", ".xls", ".csv", ".tsv", ".txt", ".md", ".pptx", ".ppt", ".html", ".json"]
 CONTEXT_KEYS = ["source", "filename", "file_type", "doc_category", "statement_type", "financial_period", "company", "date", "page", "section"]
 EXPECTED_ENTITIES = ["revenue", "income", "profit", "loss", "ebitda", "assets", "liabilities", "equity", "cash flow", "earnings", "eps", "dividend", "debt", "capital", "margin"]
+
+# Words of financial tables, and how an amount starts.
+TABLE_WORDS = ["assets", "liabilities", "equity", "revenue", "income", "expense", "cash", "profit", "loss", "total", "net", "gross", "operating", "current", "non-current", "long-term", "short-term"]
+AMOUNT_START = r"\$\s*[\d,]+\.?\d*|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+"
+
+# Patterns of periods in statements, and of company names and tickers.
+PERIOD_YEAR = r"(?:fiscal|year|fy|FY|Fiscal Year)?\s*(?:ended|ending)?\s*(?:in|on|,)?\s*(\d{4})"
+PERIOD_QUARTER = r"(?:Q|q)(\d)\s*(?:FY|fiscal year|fy|year)?[\s,]*(\d{4})"
+PERIOD_MONTHS = r"(?:three|six|nine|twelve|3|6|9|12)\s*months?\s*(?:ended|ending)\s*(?:in|on)?\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})"
+COMPANY_SUFFIX = r"((?:[A-Z][a-z]*\s*)+(?:Inc\.|Corporation|Corp\.|Company|Co\.|Ltd\.|Limited|LLC|LLP|LP|plc|PLC|Group|Holdings|Holding|N\.V\.|S\.A\.|SE|NV|SA))"
+COMPANY_LISTED = r"((?:[A-Z][a-z]*\s*)+)(?:\((?:NASDAQ|NYSE|OTCBB|OTCQB|OTCQX|LSE|TSX|CSE|HKEX|SSE|SZSE):?\s*([A-Z]+(?:\.[A-Z])?)\))"
+
+# Section headers and notes of reports.
+HEADER_PATTERN = r"(?:^|\n)(?:(?:[A-Z][A-Z\s]+[A-Z]\.?)|(?:\d+\.\s+[A-Z][a-zA-Z\s]+)|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+:))"
+NOTE_PATTERN = r"(?:^|\n)(?:NOTE|Note)\s+(\d+)[\.:]?\s+([A-Z][A-Za-z \t]+)"

@@ -71,8 +71,7 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     return out
 
 
-HEADER = re.compile(r"(?:^|\n)(?:(?:[A-Z][A-Z\s]+[A-Z]\.?)|(?:\d+\.\s+[A-Z][a-zA-Z\s]+)|(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+:))")
-NOTE = re.compile(r"(?:^|\n)(?:NOTE|Note)\s+(\d+)[\.:]?\s+([A-Z][A-Za-z \t]+)")
+HEADER, NOTE = re.compile(V.HEADER_PATTERN), re.compile(V.NOTE_PATTERN)
 _TITLES = [(t, re.compile(p)) for t, p in V.STATEMENT_PATTERNS.items()]
 
 
@@ -214,3 +213,12 @@ def chunk_table_rows(docs: DataFrame, content: str = "content", doc: str = "doc_
     parts = F.transform(starts, lambda s: F.struct(F.concat_ws("\n", F.when(s == 0, F.slice(lines, 1, rows)).otherwise(F.concat(F.slice(lines, 1, 1), F.slice(lines, s + 1, F.lit(rows))))).alias("chunk"), F.greatest(s, F.lit(1)).alias("first_row"), F.least(s + rows - 1, n - 1).alias("last_row")))
     keep = [c for c in docs.columns if c not in ("chunk_index", "chunk", "first_row", "last_row")]
     return docs.where(F.trim(content) != "").select(*keep, F.posexplode(parts).alias("chunk_index", "p")).select(*keep, "chunk_index", "p.chunk", "p.first_row", "p.last_row")
+
+
+def chunk_sheets(docs: DataFrame, content: str = "content", doc: str = "doc_id") -> DataFrame:
+    """Workbooks rendered with sheet markers: one chunk a sheet, with its name; as defined, a name with a hyphen
+    is no marker, so its lines stay out. Text before the first marker gives no chunk."""
+    keep = [c for c in docs.columns if c not in ("chunk_index", "chunk", "sheet")]
+    parts = F.transform(F.slice(F.split(F.col(content), "--- Sheet: "), 2, 1_000_000_000), lambda p: F.struct(F.regexp_extract(p, r"^([^-]+) ---", 1).alias("sheet"), F.trim(F.regexp_replace(p, r"^[^-]+ ---\n?", "")).alias("chunk")))
+    named = F.filter(parts, lambda p: p["sheet"] != "")
+    return docs.where(F.col(content).isNotNull()).select(*keep, F.posexplode(named).alias("chunk_index", "p")).select(*keep, "chunk_index", "p.sheet", "p.chunk")

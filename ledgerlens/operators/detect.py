@@ -30,7 +30,8 @@ def document_category(text: Column) -> Column:
     """Category whose indicator phrases occur most as whole words, else general_financial."""
     scores = {}
     for cat, words in V.CATEGORY_INDICATORS.items():
-        scores[cat] = reduce(lambda a, b: a + b, [F.regexp_count(text, _lit(r"(?iu)\b" + re.escape(w).replace(r"\ ", " ") + r"\b")) for w in words])
+        # A plain search first: the pattern runs only on texts that hold the phrase.
+        scores[cat] = reduce(lambda a, b: a + b, [F.when(F.contains(F.lower(text), F.lit(w.lower())), F.regexp_count(text, _lit(r"(?iu)\b" + re.escape(w).replace(r"\ ", " ") + r"\b"))).otherwise(0) for w in words])
     return first_best(scores, "general_financial")
 
 
@@ -102,7 +103,7 @@ def looks_tabular(text: Column) -> Column:
 
 def chunk_terms(text: Column) -> Column:
     """Which of the chunk terms occur as whole words, in their order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{re.escape(t).replace(chr(92) + ' ', ' ')}\b"), F.lit(t)) for t in V.CHUNK_TERMS]))
+    return F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(t)) & text.rlike(rf"(?i)\b{re.escape(t).replace(chr(92) + ' ', ' ')}\b"), F.lit(t)) for t in V.CHUNK_TERMS]))
 
 
 def entities(text: Column, literal_percent: bool = False) -> Column:
@@ -141,12 +142,12 @@ def periods(text: Column) -> Column:
     def row(t, y, q, e) -> Column:
         return F.struct(t.alias("period_type"), y.cast("int").alias("fiscal_year"), q.cast("int").alias("fiscal_quarter"), e.cast("date").alias("end_date")).cast(kind)
 
-    ys = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?:fiscal|year|fy|FY|Fiscal Year)?\s*(?:ended|ending)?\s*(?:in|on|,)?\s*(\d{4})"), F.lit(1)), lambda x: x.cast("int")), lambda y: y.between(1900, 2100))
+    ys = F.filter(F.transform(F.regexp_extract_all(text, F.lit(V.PERIOD_YEAR), F.lit(1)), lambda x: x.cast("int")), lambda y: y.between(1900, 2100))
     years = F.transform(ys, lambda y: row(F.lit("annual"), y, none, none))
-    qp = r"(?:Q|q)(\d)\s*(?:FY|fiscal year|fy|year)?[\s,]*(\d{4})"
+    qp = V.PERIOD_QUARTER
     qs = F.arrays_zip(F.regexp_extract_all(text, F.lit(qp), F.lit(1)).alias("q"), F.regexp_extract_all(text, F.lit(qp), F.lit(2)).alias("y"))
     quarters = F.transform(F.filter(qs, lambda x: x["q"].cast("int").between(1, 4) & x["y"].cast("int").between(1900, 2100)), lambda x: row(F.lit("quarterly"), x["y"], x["q"], none))
-    mp = r"(?:three|six|nine|twelve|3|6|9|12)\s*months?\s*(?:ended|ending)\s*(?:in|on)?\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})"
+    mp = V.PERIOD_MONTHS
     typ = F.when(text.rlike("three months|3 months"), "quarterly").when(text.rlike("six months|6 months"), "semi_annual").when(text.rlike("twelve months|12 months"), "annual").otherwise("custom")
     ends = F.filter(F.transform(F.regexp_extract_all(text, F.lit(mp), F.lit(1)), lambda x: F.try_to_timestamp(x, F.lit("MMMM d, yyyy")).cast("date")), lambda d: d.isNotNull())
     return F.concat(years, quarters, F.transform(ends, lambda d: row(typ, none, none, d)))
@@ -154,8 +155,7 @@ def periods(text: Column) -> Column:
 
 def company_info(text: Column) -> Column:
     """struct(name, ticker): a name with a legal suffix, overridden by a name with an exchange ticker."""
-    suffix = r"((?:[A-Z][a-z]*\s*)+(?:Inc\.|Corporation|Corp\.|Company|Co\.|Ltd\.|Limited|LLC|LLP|LP|plc|PLC|Group|Holdings|Holding|N\.V\.|S\.A\.|SE|NV|SA))"
-    listed = r"((?:[A-Z][a-z]*\s*)+)(?:\((?:NASDAQ|NYSE|OTCBB|OTCQB|OTCQX|LSE|TSX|CSE|HKEX|SSE|SZSE):?\s*([A-Z]+(?:\.[A-Z])?)\))"
+    suffix, listed = V.COMPANY_SUFFIX, V.COMPANY_LISTED
     t = F.nullif(F.regexp_extract(text, listed, 2), F.lit(""))
     n = F.when(t.isNotNull(), F.trim(F.regexp_extract(text, listed, 1))).otherwise(F.nullif(F.trim(F.regexp_extract(text, suffix, 1)), F.lit("")))
     return F.struct(F.coalesce(n, F.lit("Unknown Company")).alias("name"), t.alias("ticker"))
@@ -169,3 +169,31 @@ def expand_query(query: Column) -> Column:
     more = F.create_map(*[F.lit(x) for s, c in rev.items() for x in (s, " ".join(V.SYNONYMS[c]))])
     extra = F.array_compact(F.transform(F.split(F.lower(F.trim(query)), r"\s+"), lambda t: more[t]))
     return F.when(F.size(extra) > 0, F.concat(query, F.lit(" "), F.concat_ws(" ", extra))).otherwise(query)
+
+
+def document_metadata(text: Column) -> Column:
+    """Map of what is found in a text: its category, key information and metrics, each as an array; of equal keys
+    the later one wins."""
+    return F.map_concat(F.create_map(F.lit("doc_category"), F.array(document_category(text))), key_info(text), F.transform_values(metrics(text), lambda k, v: F.array(v)))
+
+
+def entity_spans(text: Column) -> Column:
+    """Array of (entity_type, start, end, text) of dictionary terms wherever they stand, whole words or not, in
+    order of type, term and place; null text gives null."""
+    kind = "struct<entity_type:string,start:int,end:int,text:string>"
+    low = F.lower(text)
+
+    def found(tag: str, term: str) -> Column:
+        cut, n = F.split(low, re.escape(term.lower())), len(term)
+
+        # What lies before the k-th find: the first k pieces and the finds between them.
+        def place(k: Column) -> Column:
+            return F.length(F.array_join(F.slice(cut, 1, k), "")) + (k - 1) * n
+
+        def span(k: Column) -> Column:
+            s = place(k)
+            return F.struct(F.lit(tag).alias("entity_type"), s.cast("int").alias("start"), (s + n).cast("int").alias("end"), F.substring(text, s + 1, F.lit(n)).alias("text")).cast(kind)
+
+        return F.when(F.contains(low, F.lit(term.lower())), F.transform(F.sequence(F.lit(1), F.size(cut) - 1), span)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.when(text.isNotNull(), F.flatten(F.array(*[found(tag, t) for tag, ts in V.FINANCIAL_TERMS.items() for t in ts])))

@@ -35,10 +35,33 @@ def ratio_findings(ratios: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.where(low & high).drop("low", "low_in", "high", "high_in")
 
 
-def trend_findings(trends: DataFrame) -> DataFrame:
-    """Significant rises and falls of a metric as findings."""
-    f = F.when(F.col("direction") == "increasing", "strength").when(F.col("direction") == "decreasing", "weakness").when(F.col("direction") == "volatile", "risk")
-    return trends.where("is_significant").withColumn("finding", f).where("finding is not null")
+# Fixed values: (rule, metric, direction, category) of significant trends.
+TREND_RULES = [
+    ("revenue_rising", "revenue", "increasing", "trend"), ("revenue_falling", "revenue", "decreasing", "risk"), ("net_income_rising", "net_income", "increasing", "trend"), ("net_income_falling", "net_income", "decreasing", "risk"),
+    ("operating_cash_rising", "operating_cash_flow", "increasing", "strength"), ("operating_cash_falling", "operating_cash_flow", "decreasing", "risk"),
+]
+
+
+def trend_findings(trends: DataFrame, keys: list[str], rules: list[tuple] | None = None) -> DataFrame:
+    """(keys, rule_id, finding) of trends (keys, metric, direction, is_significant): significant ones by the rules'
+    table, and comparisons of two metrics of a series. Metrics that a series lacks take part in no comparison."""
+    table = trends.sparkSession.createDataFrame(rules or TREND_RULES, "rule_id string, metric string, direction string, finding string")
+    single = trends.where("is_significant").join(broadcast_if_small(table, 10_000), ["metric", "direction"]).select(*keys, "rule_id", "finding")
+    # One row a series: a few directions side by side, summed before the shuffle.
+    side = trends.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.struct("direction", "is_significant"))).alias(m) for m in ("revenue", "net_income", "operating_cash_flow")])
+    up = lambda m: F.col(f"{m}.direction") == "increasing"
+    pairs = F.array(
+        F.when(up("net_income") & F.col("net_income.is_significant") & ~up("revenue"), F.struct(F.lit("income_without_revenue").alias("rule_id"), F.lit("strength").alias("finding"))),
+        F.when(up("net_income") & ~up("operating_cash_flow"), F.struct(F.lit("income_without_cash").alias("rule_id"), F.lit("risk").alias("finding"))),
+        F.when(~up("net_income") & up("operating_cash_flow"), F.struct(F.lit("cash_without_income").alias("rule_id"), F.lit("opportunity").alias("finding"))),
+    )
+    return single.unionByName(side.select(*keys, F.explode(F.array_compact(pairs)).alias("p")).select(*keys, "p.rule_id", "p.finding"))
+
+
+def all_findings(ratios: DataFrame, bounds: DataFrame, trends: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source, rule_id, finding) of the ratios' bounds and the trends' rules."""
+    r = ratio_findings(ratios, bounds).select(*keys, F.lit("ratio").alias("source"), "rule_id", "finding")
+    return r.unionByName(trend_findings(trends, keys).select(*keys, F.lit("trend").alias("source"), "rule_id", "finding"))
 
 
 def query_type(query: Column, hits: Column) -> Column:

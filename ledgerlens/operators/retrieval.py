@@ -217,3 +217,47 @@ def context_prompt(hits: DataFrame, text: str = "content", order: str = "rank",
     """One row: contexts joined by blank lines in rank order, cut at ``limit`` characters with a notice."""
     joined = F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]))
     return hits.agg(joined.alias("c")).select(F.when(F.length("c") > limit, F.concat(F.substring("c", 1, limit), F.lit("\n\n[Context truncated]"))).otherwise(F.col("c")).alias("context"))
+
+
+def search(chunks: DataFrame, postings: DataFrame, query: str, filters: dict[str, str] | None = None, most: int = 10) -> DataFrame:
+    """chunk_id, matches of a question in one plan: chunks that hold its entities, or, if none does, its keywords;
+    then the metadata filters, then the first ``most``. An empty question has no hits."""
+    spark = chunks.sparkSession
+    if not query or not query.strip():
+        return chunks.limit(0).select("chunk_id", F.lit(0).cast("bigint").alias("matches"))
+    asked = spark.range(1).select(F.explode(detect.entities(F.lit(query))).alias("entity_type", "es")).select("entity_type", F.explode("es").alias("entity_key"))
+    w = asked.select("entity_type", F.lower("entity_key").alias("entity_key")).distinct()
+    hits = postings.join(broadcast_if_small(w, SMALL_SIDE), ["entity_type", "entity_key"], "left_semi").groupBy("chunk_id").agg(F.count("*").alias("matches"))
+    low = F.lower(F.col("content"))
+    rev = {s: c for c, ss in V.SYNONYMS.items() for s in ss}
+    words = {x for x in query.lower().split() if x}
+    terms = sorted(words | {s for x in words if x in rev for s in [rev[x], *V.SYNONYMS[rev[x]]]})
+    n = sum((F.contains(low, F.lit(t)).cast("bigint") for t in terms), F.lit(0).cast("bigint"))
+    # The keyword branch yields rows only where the entity branch has none: its count is one row.
+    none = hits.agg(F.count("*").alias("n_hits")).where("n_hits = 0")
+    kw = chunks.where(F.col("content").isNotNull()).select("chunk_id", n.alias("matches")).where("matches > 0").join(F.broadcast(none)).select("chunk_id", "matches")
+    found = hits.unionByName(kw)
+    kept = found.join(chunks.where(metadata_pass(filters or {})).select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return kept.orderBy(F.desc("matches"), "chunk_id").limit(max(most, 0))
+
+
+def pair_similarity(pairs: DataFrame, a: str = "a", b: str = "b", strong: float = 0.6) -> DataFrame:
+    """``pairs`` of vectors with similarity and whether it is strong; null vectors give null and are not strong."""
+    s = cosine(F.col(a), F.col(b))
+    return pairs.withColumn("similarity", s).withColumn("strong", F.coalesce(F.col("similarity") > strong, F.lit(False)))
+
+
+def _scaled_part(v: Column, part: int, size: Column, scale: Column) -> Column:
+    return F.transform(v, lambda x, i: F.when((i >= part * size) & (i < (part + 1) * size), x * scale).otherwise(x))
+
+
+def weight_regions(text: Column, v: Column, weights: dict[str, float], regions: int = 10) -> Column:
+    """The vector with one of ``regions`` equal parts per entity type scaled by how much of the text its terms
+    cover: 1 + (weight - 1) * min(10 * coverage, 1), then at unit length. Types take the parts in their order."""
+    low, out = F.lower(text), v
+    for k, (tag, w) in enumerate(weights.items()):
+        held = sum((F.length(low) - F.length(F.replace(low, F.lit(t.lower()), F.lit(""))) for t in V.FINANCIAL_TERMS.get(tag, [])), F.lit(0))
+        scale = 1 + (w - 1) * F.least(10 * F.coalesce(F.try_divide(held, F.length(low)), F.lit(0.0)), F.lit(1.0))
+        size = F.floor(F.size(v) / regions)
+        out = _scaled_part(out, k % regions, size, scale)
+    return unit(out)

@@ -144,17 +144,20 @@ def ratio_rows(wide: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(*keys, "r.*")
 
 
-def latest_ratios(line_items: DataFrame, company: str = "company") -> DataFrame:
+def latest_ratios(line_items: DataFrame, company: str = "company", seq: str = "seq") -> DataFrame:
     """Ratios of each company's latest statements. Statement types are picked independently, so the date of
     each is kept by the caller if it matters. Input: company, statement_type, end_date, fiscal_year,
     fiscal_quarter, seq, name, value."""
     k = time_key(F.col("end_date"), F.col("fiscal_year"), F.col("fiscal_quarter"))
-    dated = line_items.withColumn("__k", k)
-    # The statement, not the row, is the latest: the greatest (date, statement number) of the type.
-    st = dated.groupBy(company, "statement_type").agg(F.max(F.struct("__k", "statement_seq")).alias("m"))
-    own = dated.join(st, [company, "statement_type"]).where((F.col("__k") == F.col("m.__k")) & (F.col("statement_seq") == F.col("m.statement_seq")))
-    flags = own.groupBy(company).agg(*[F.max((F.col("statement_type") == s).cast("int")).cast("boolean").alias(f"has_{s}") for s in STATEMENT_TYPES])
-    wide = measures(pivot_items(own, [company])).join(flags, company)
+    # One pass: each type's greatest (date, statement number) and each item's last row; an item counts only if
+    # its row is of that latest statement.
+    names = sorted({n for ns in ITEMS.values() for n in ns})
+    row = lambda *more: F.struct(k.alias("k"), F.col("statement_seq").alias("q"), *more)
+    per = line_items.groupBy(company, "statement_type").agg(F.max(row()).alias("m"), *[F.max(F.when(F.col("name") == n, row(F.col(seq).alias("s"), F.col("value").alias("v")))).alias(f"i_{_slug(n)}") for n in names])
+    item = lambda c: F.when((F.col(c)["k"] == F.col("m.k")) & (F.col(c)["q"] == F.col("m.q")), F.struct(F.col(c)["s"].alias("s"), F.col(c)["v"].alias("v")))
+    own = per.select(company, "statement_type", *[item(f"i_{_slug(n)}").alias(f"i_{_slug(n)}") for n in names])
+    flags = [F.max((F.col("statement_type") == s).cast("int")).cast("boolean").alias(f"has_{s}") for s in STATEMENT_TYPES]
+    wide = measures(own.groupBy(company).agg(*flags, *[F.max(f"i_{_slug(n)}").alias(f"i_{_slug(n)}") for n in names]))
     return ratio_rows(wide, [company])
 
 
@@ -195,3 +198,39 @@ def last_line_item(line_items: DataFrame, keys: list[str], seq: str = "seq") ->
 
 def chunk_count(chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
     return chunks.withColumn("chunk_count", F.count("*").over(Window.partitionBy(doc)))
+
+
+def of_company(statements: DataFrame, company: str | None, column: str = "company_name") -> DataFrame:
+    """Statements of a company, by exact name; an empty or null name filters nothing."""
+    return statements.where(F.col(column) == company) if company else statements
+
+
+def by_type(statements: DataFrame, kind: str | None = None) -> DataFrame:
+    """Statements of the three analysed types (other types are dropped), or of one of them."""
+    return statements.where(F.col("statement_type").isin(*STATEMENT_TYPES) if kind is None else F.col("statement_type") == kind)
+
+
+def period_faults(rows: DataFrame, checks: dict[str, tuple[int, int]]) -> DataFrame:
+    """Rows with ``fault``: the first column whose value lies outside its range; nulls are allowed."""
+    bad = [F.when(~F.col(c).between(lo, hi), F.lit(c)) for c, (lo, hi) in checks.items()]
+    return rows.withColumn("fault", F.coalesce(*bad)).where("fault is not null")
+
+
+def first_present(line_items: DataFrame, keys: list[str], names: list[str], seq: str = "seq") -> DataFrame:
+    """(keys, name, value): the first of ``names`` that a group has as an item, though its value may be null; of a
+    repeated name the last added wins."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
+    last = line_items.where(F.col("name").isin(names)).groupBy(*keys, "name").agg(F.max_by(F.struct("value"), F.col(seq)).alias("v"))
+    return last.groupBy(*keys).agg(F.min(F.struct(place.alias("p"), "name", "v")).alias("m")).select(*keys, "m.name", "m.v.value")
+
+
+def metric_points(measured: DataFrame, items: DataFrame, keys: list[str], metric: str | Column, label: str | None = None) -> DataFrame:
+    """(keys, metric, value) of a metric: a column of ``measured`` if it has one of that name, else line items of
+    that name, or any expression over ``measured``. Null values are left out with their period."""
+    if isinstance(metric, Column):
+        out = measured.select(*keys, F.lit(label or "custom_metric").alias("metric"), metric.cast("double").alias("value"))
+    elif metric in measured.columns:
+        out = measured.select(*keys, F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+    else:
+        out = items.where(F.col("name") == metric).select(*keys, F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
+    return out.where("value is not null")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.plans import quantities, retrieval_plans, statement_plans, text_plans
+from ledgerlens.plans import derived_plans, quantities, retrieval_plans, statement_plans, text_plans
 
-MODULES = (statement_plans, text_plans, retrieval_plans, quantities)
+MODULES = (statement_plans, text_plans, retrieval_plans, derived_plans, quantities)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,17 +22,12 @@ def posting_index(spark: SparkSession, d: str) -> DataFrame:
 POSTING_SQL = "SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) GROUP BY 1"
 
 
-def entity_index_all(spark: SparkSession, d: str) -> DataFrame:
+def entity_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and documents of every entity of every type, companies included."""
     return R.entity_postings(chunks_once(spark, d)).groupBy("entity_type", "entity_key").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-def entity_index(spark: SparkSession, d: str) -> DataFrame:
-    """The types that its SQL states: ``entity_index_all`` without companies."""
-    return entity_index_all(spark, d).where("entity_type <> 'companies'")
-
-
-_ENTITIES = " UNION ALL ".join(f"SELECT '{t}' AS entity_type, lower(unnest(regexp_extract_all(content, '{p}'))) AS entity_key, doc_id, chunk_id FROM c" for t, p in V.ENTITY_PATTERNS.items() if t != "companies")
+_ENTITIES = " UNION ALL ".join(f"SELECT '{t}' AS entity_type, lower(unnest(regexp_extract_all(content, '{p}'))) AS entity_key, doc_id, chunk_id FROM c" for t, p in V.ENTITY_PATTERNS.items())
 ENTITY_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT DISTINCT * FROM ({_ENTITIES})) SELECT entity_type, entity_key, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM p GROUP BY 1,2"
 
 
@@ -154,7 +149,7 @@ SESSIONS_SQL = "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (posting_index, entity_index, entity_index_all, related_documents, entity_search, keyword_search, topic_summary, document_index, vector_topk, vector_neighbours, label_accuracy, hybrid_retrieve, topics_fitted, events_hourly, event_sessions)
+    fs = (posting_index, entity_index, related_documents, entity_search, keyword_search, topic_summary, document_index, vector_topk, vector_neighbours, label_accuracy, hybrid_retrieve, topics_fitted, events_hourly, event_sessions)
     return {f.__name__: f for f in fs}
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.tagging import format_ratio
@@ -119,26 +119,32 @@ FROM statements"""
 
 
 def _unpivot_years(facts: DataFrame, years: list[int]) -> DataFrame:
+    """Cells of odd kinds stand among the years: the second year of nation names with A is a dash, with I blank,
+    with E negative in brackets."""
     wide = facts.groupBy("company").pivot("fiscal_year", years).agg(F.round(F.first("revenue"), 0))
-    text = wide.select(F.lit("sales").alias("statement"), F.col("company").alias("label"), *[F.concat(F.lit("$ "), F.format_number(F.col(str(y)), 2)).alias(f"c{y}") for y in years])
+    text = wide.select(F.lit("sales").alias("statement"), F.col("company").alias("label"), *[_cell(F.concat(F.lit("$ "), F.format_number(F.col(str(y)), 2)), k).alias(f"c{y}") for k, y in enumerate(years)])
     return S.unpivot_table(text, "label", [f"c{y}" for y in years], ["statement"]).select("statement", "name", "raw_value", F.round("value", 2).alias("value"))
 
 
-def statement_unpivot_all(spark: SparkSession, d: str) -> DataFrame:
+def _cell(money: Column, k: int) -> Column:
+    if k != 1:
+        return money
+    first = F.substring("company", 1, 1)
+    return F.when(first == "A", "-").when(first == "I", " ").when(first == "E", F.concat(F.lit("("), money, F.lit(")"))).otherwise(money)
+
+
+def statement_unpivot(spark: SparkSession, d: str) -> DataFrame:
     """A table with years as columns (revenue per nation) turned into line items, for every year present."""
     f = yearly_facts(spark, d)
     years = bounded_rows(f.where("fiscal_year is not null").select(F.col("fiscal_year").cast("int").alias("y")).distinct(), 1000, "years")
     return _unpivot_years(f, sorted(r["y"] for r in years))
 
 
-def statement_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    """The years 1996 to 1998 that its SQL states; ``statement_unpivot_all`` has every year."""
-    return _unpivot_years(yearly_facts(spark, d), [1996, 1997, 1998])
-
-
 STATEMENT_UNPIVOT_SQL = f"""
-WITH {YEAR_SQL} SELECT 'sales' AS statement, CASE WHEN fiscal_year=1996 THEN company ELSE company||' (c'||fiscal_year||')' END AS name,
-  '$ '||format('{{:,.2f}}', round(revenue,0)) AS raw_value, round(revenue,0) AS value FROM facts WHERE fiscal_year IN (1996,1997,1998)"""
+WITH {YEAR_SQL}, y AS (SELECT *, min(fiscal_year) OVER () AS y0, '$ '||format('{{:,.2f}}', round(revenue,0)) AS money FROM facts),
+z AS (SELECT *, fiscal_year=y0+1 AS odd, left(company,1) AS f FROM y)
+SELECT 'sales' AS statement, CASE WHEN fiscal_year=y0 THEN company ELSE company||' (c'||fiscal_year||')' END AS name,
+  CASE WHEN odd AND f='E' THEN '('||money||')' ELSE money END AS raw_value, CASE WHEN odd AND f='E' THEN -round(revenue,0) ELSE round(revenue,0) END AS value FROM z WHERE NOT (odd AND f IN ('A','I'))"""
 
 
 def balance_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -256,7 +262,7 @@ def scaled_line_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, statement_unpivot_all, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, ratio_findings, scaled_line_items)
+    fs = (latest_ratios, latest_statement_dates, period_labels, statement_unpivot, balance_validation, cash_measures, trend_by_company, quarter_seasonality, anomalies_z, growth_rates, formatted_ratios, ratio_findings, scaled_line_items)
     return {f.__name__: f for f in fs} | {"forecast_linear": _forecast("linear"), "forecast_growth": _forecast("growth_rate"), "forecast_average": _forecast("average")}
 
 

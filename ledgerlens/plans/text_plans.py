@@ -62,18 +62,14 @@ def metric_amounts(spark: SparkSession, d: str) -> DataFrame:
 METRIC_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{k}' AS metric, regexp_extract(content, '{_re(p)}', 1) AS amount FROM c WHERE content IS NOT NULL" for k, p in V.METRIC_PATTERNS.items()) + ") SELECT * FROM m WHERE amount<>''"
 
 
-def key_info_all(spark: SparkSession, d: str) -> DataFrame:
+def key_info(spark: SparkSession, d: str) -> DataFrame:
     """Number and first of the finds of every kind in each chunk, potential companies included."""
     k = chunks_once(spark, d).where("content is not null").select("chunk_id", F.explode(D.key_info(F.col("content"))).alias("kind", "found"))
-    return k.select("chunk_id", "kind", F.size("found").alias("n"), F.element_at("found", 1).alias("first"))
-
-
-def key_info(spark: SparkSession, d: str) -> DataFrame:
-    """The kinds that its SQL states: ``key_info_all`` without potential companies."""
-    return key_info_all(spark, d).where("kind <> 'potential_companies'")
+    return k.select("chunk_id", "kind", F.size("found").alias("n"), F.get("found", 0).alias("first"))
 
 
-KEY_INFO_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{k}' AS kind, list_distinct(regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1:10]) AS f, regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1] AS first FROM c WHERE content IS NOT NULL" for k in ("monetary_values", "dates", "percentages")) + ") SELECT chunk_id, kind, len(f) AS n, first FROM m WHERE len(f)>0"
+_KIND = {"companies": "potential_companies"}
+KEY_INFO_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_id, '{_KIND.get(k, k)}' AS kind, list_distinct(regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1:10]) AS f, regexp_extract_all(content, '{_re(V.ENTITY_PATTERNS[k])}')[1] AS first FROM c WHERE content IS NOT NULL" for k in ("companies", "monetary_values", "dates", "percentages")) + ") SELECT chunk_id, kind, len(f) AS n, first FROM m WHERE len(f)>0"
 
 
 def text_periods(spark: SparkSession, d: str) -> DataFrame:
@@ -168,12 +164,13 @@ CONSISTENCY_SQL = f"WITH {CHUNKS_SQL} SELECT topic_id, count(*) AS n, round(avg(
 
 
 def boundary_violations(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks_once(spark, d).withColumn("page", F.col("metadata")["page"].cast("int")).withColumn("section", F.lit(None).cast("string"))
+    """Type changes between successive chunks of a document; those with the same period stand for one section."""
+    c = chunks_once(spark, d).withColumn("page", F.col("metadata")["page"].cast("int")).withColumn("section", F.col("financial_period"))
     # Successive chunks of a document stand for successive pages.
     return Q.boundary_violations(c.drop("page").withColumnRenamed("chunk_index", "page"), "doc_id", "page", "statement_type", "section").select("doc_id", "chunk_id", "page", "prev_kind", F.col("statement_type").alias("kind"))
 
 
-BOUNDARY_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT doc_id, chunk_id, chunk_index AS page, statement_type AS kind, lag(chunk_index) OVER w AS pp, lag(statement_type) OVER w AS prev_kind FROM c WHERE chunk_index IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)) SELECT doc_id, chunk_id, page, prev_kind, kind FROM p WHERE page-pp=1 AND kind<>prev_kind"
+BOUNDARY_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT doc_id, chunk_id, chunk_index AS page, statement_type AS kind, lag(chunk_index) OVER w AS pp, lag(statement_type) OVER w AS prev_kind, coalesce(financial_period,'')=coalesce(lag(financial_period) OVER w,'') AS same FROM c WHERE chunk_index IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index, chunk_id)) SELECT doc_id, chunk_id, page, prev_kind, kind FROM p WHERE page-pp=1 AND kind<>prev_kind AND same"
 
 
 def chunk_enrichment(spark: SparkSession, d: str) -> DataFrame:
@@ -189,17 +186,48 @@ ENRICH_SQL = f"WITH {CHUNKS_SQL}, u AS (SELECT doc_id, arg_max(file_name, upload
 
 def task_routing(spark: SparkSession, d: str) -> DataFrame:
     """Questions on each chunk's statement type and period, routed to a task."""
-    q = chunks_once(spark, d).select("chunk_id", F.concat(F.lit("Can you explain the company "), F.translate(F.coalesce("statement_type", F.lit("statement")), "_", " "), F.lit(" and its "), F.coalesce(F.element_at("financial_entities", 1), F.lit("valuation")), F.lit("?")).alias("q"))
+    q = chunks_once(spark, d).select("chunk_id", F.concat(F.lit("Can you explain the company "), F.translate(F.coalesce("statement_type", F.lit("statement")), "_", " "), F.lit(" and its "), F.coalesce(F.get("financial_entities", 0), F.lit("valuation")), F.lit("?")).alias("q"))
     return D.route_tasks(q, "q").select("chunk_id", "task", F.round("share", 6).alias("share"), "provider")
 
 
+def _counted(ps: list[str]) -> str:
+    return "(" + "+".join(f"len(regexp_extract_all(q, '(?i){_re(p)}'))" for p in ps) + ")"
+
+
+_TASKS = list(V.TASK_PATTERNS)
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+ROUTING_SQL = f"""WITH {CHUNKS_SQL}, q AS (SELECT chunk_id, 'Can you explain the company '||replace(coalesce(statement_type,'statement'),'_',' ')||' and its '||coalesce(financial_entities[1],'valuation')||'?' AS q FROM c),
+n AS (SELECT chunk_id, [{', '.join(_counted(ps) for ps in V.TASK_PATTERNS.values())}] AS n, {'+'.join(f"CAST(regexp_matches(q, '(?i){_re(p)}') AS INT)" for p in V.COMPLEX_PATTERNS)} AS hits, {' OR '.join(f"regexp_matches(q, '(?i){_re(p)}')" for p in V.CONTEXT_PATTERNS)} AS ctx FROM q),
+s AS (SELECT *, list_sum(n) AS total, list_transform(n, lambda x: coalesce(x/nullif(list_sum(n),0),0)) AS s FROM n),
+k AS (SELECT *, list_max(s) AS top, coalesce(CASE WHEN hits>=2 THEN list_filter([{', '.join(str(_TASKS.index(t) + 1) for t in V.COMPLEX_TASKS)}], lambda j: s[j]>0 AND s[j]>=0.5*list_max(s))[1] END, list_position(s, list_max(s))) AS k FROM s),
+t AS (SELECT *, NOT ctx OR total=0 AS plain, CASE WHEN NOT ctx THEN 'non_financial' WHEN total=0 THEN 'general_financial' ELSE {_LIST(_TASKS)}[k] END AS task, CASE WHEN NOT ctx OR total=0 THEN 1.0 ELSE s[k] END AS share FROM k),
+p AS (SELECT *, {_LIST(V.TASK_PROVIDER.values())}[list_position({_LIST(V.TASK_PROVIDER)}, task)] AS p FROM t)
+SELECT chunk_id, task, round(share,6) AS share, CASE WHEN NOT plain AND (share<0.4 OR len(list_filter(range(1,{len(_TASKS) + 1}), lambda j: s[j]>=0.25 AND {_LIST(V.TASK_PROVIDER[t] for t in _TASKS)}[j]<>p))>0) THEN 'hybrid' ELSE p END AS provider FROM p"""
+_YEARS = "list_transform(list_filter(list_transform(regexp_extract_all(content, '" + _re(V.PERIOD_YEAR) + "', 1), lambda x: CAST(x AS INT)), lambda y: y BETWEEN 1900 AND 2100), lambda y: {'t': 'annual', 'y': y, 'q': NULL::INT, 'e': NULL::DATE})"
+_QUARTERS = "list_transform(list_filter(list_zip(regexp_extract_all(content, '" + _re(V.PERIOD_QUARTER) + "', 1), regexp_extract_all(content, '" + _re(V.PERIOD_QUARTER) + "', 2)), lambda z: CAST(z[1] AS INT) BETWEEN 1 AND 4 AND CAST(z[2] AS INT) BETWEEN 1900 AND 2100), lambda z: {'t': 'quarterly', 'y': CAST(z[2] AS INT), 'q': CAST(z[1] AS INT), 'e': NULL::DATE})"
+_ENDS = "list_transform(list_filter(list_transform(regexp_extract_all(content, '" + _re(V.PERIOD_MONTHS) + "', 1), lambda x: CAST(try_strptime(x, '%B %d, %Y') AS DATE)), lambda e: e IS NOT NULL), lambda e: {'t': CASE WHEN regexp_matches(content,'three months|3 months') THEN 'quarterly' WHEN regexp_matches(content,'six months|6 months') THEN 'semi_annual' WHEN regexp_matches(content,'twelve months|12 months') THEN 'annual' ELSE 'custom' END, 'y': NULL::INT, 'q': NULL::INT, 'e': e})"
+PERIODS_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT chunk_id, list_concat(list_concat({_YEARS}, {_QUARTERS}), {_ENDS}) AS p FROM c WHERE content IS NOT NULL), u AS (SELECT chunk_id, unnest(range(1, len(p)+1)) AS i, p FROM p) SELECT chunk_id, CAST(i-1 AS INT) AS pos, p[i].t AS period_type, p[i].y AS fiscal_year, p[i].q AS fiscal_quarter, p[i].e AS end_date FROM u"
+PARAGRAPHS_SQL = """WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x)<>'') AS s FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, s, 1 AS i, CAST(length(s[1]) AS BIGINT) AS len, 0 AS no FROM s WHERE len(s)>0
+  UNION ALL SELECT doc_id, s, i+1, CASE WHEN len>0 AND len+length(s[i+1])>1000 THEN length(s[i+1]) ELSE len+length(s[i+1]) END, CASE WHEN len>0 AND len+length(s[i+1])>1000 THEN no+1 ELSE no END FROM r WHERE i<len(s)),
+c AS (SELECT doc_id, no, string_agg(s[i], chr(10)||chr(10) ORDER BY i) AS t FROM r GROUP BY 1,2)
+SELECT doc_id, CAST(no AS INT) AS chunk_index, doc_id||'_chunk_'||no AS chunk_id, length(t) AS n_chars, md5(t) AS digest FROM c"""
+WINDOWS_SQL = """WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, t, n, CAST(0 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b FROM d WHERE n>0
+  UNION ALL SELECT doc_id, t, n, CASE WHEN b<0 THEN a ELSE greatest(b-200, a+1) END,
+    (SELECT CASE WHEN least(x+1000,n)<n AND contains(substr(t,x+1,1000),'.') AND x+1000-strpos(reverse(substr(t,x+1,1000)),'.')>x+500 THEN x+1000-strpos(reverse(substr(t,x+1,1000)),'.')+1 ELSE least(x+1000,n) END FROM (SELECT CASE WHEN b<0 THEN a ELSE greatest(b-200, a+1) END AS x))
+  FROM r WHERE b<n),
+w AS (SELECT doc_id, a, substr(t, a+1, b-a) AS w FROM r WHERE b>=0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a)-1 AS INT) AS chunk_index, length(w) AS n_chars, md5(w) AS digest FROM w WHERE regexp_matches(w,'\\S')"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (category_argmax, statement_keyword_type, chunk_detection, metric_amounts, key_info, key_info_all, text_periods, text_normalized, chunk_paragraphs, chunk_windows, chunk_by_strategy, table_row_chunks, where_filtered, metadata_filtered, collection_stats, type_shares, entity_frequency, entity_coverage, chunk_consistency, boundary_violations, chunk_enrichment, task_routing)
+    fs = (category_argmax, statement_keyword_type, chunk_detection, metric_amounts, key_info, text_periods, text_normalized, chunk_paragraphs, chunk_windows, chunk_by_strategy, table_row_chunks, where_filtered, metadata_filtered, collection_stats, type_shares, entity_frequency, entity_coverage, chunk_consistency, boundary_violations, chunk_enrichment, task_routing)
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "category_argmax": CATEGORY_SQL, "statement_keyword_type": KEYWORD_SQL, "chunk_detection": DETECT_SQL, "metric_amounts": METRIC_SQL, "key_info": KEY_INFO_SQL, "table_row_chunks": TABLE_ROWS_SQL, "where_filtered": WHERE_SQL, "metadata_filtered": METADATA_SQL, "collection_stats": STATS_SQL,
-        "type_shares": SHARES_SQL, "entity_frequency": FREQUENCY_SQL, "entity_coverage": COVERAGE_SQL, "chunk_consistency": CONSISTENCY_SQL, "boundary_violations": BOUNDARY_SQL, "chunk_enrichment": ENRICH_SQL,
+        "type_shares": SHARES_SQL, "entity_frequency": FREQUENCY_SQL, "entity_coverage": COVERAGE_SQL, "chunk_consistency": CONSISTENCY_SQL, "boundary_violations": BOUNDARY_SQL, "chunk_enrichment": ENRICH_SQL, "task_routing": ROUTING_SQL, "text_periods": PERIODS_SQL, "chunk_paragraphs": PARAGRAPHS_SQL, "chunk_windows": WINDOWS_SQL,
     }

@@ -31,11 +31,14 @@ def build_session(app: str = "ledgerlens", master: str | None = None, **conf: st
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is used.
+    Where that setting is absent, one machine alone (a local master, as in tests) uses a temporary folder; a
+    cluster raises, for a folder of one machine is no use to the others.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerlens-"))
     return df.checkpoint(eager=True)
 
@@ -51,9 +54,11 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast hint only if a count shows at most ``most`` rows; else a plain (shuffled) join side."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def broadcast_if_small(df: DataFrame, most: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only if at most ``most`` rows of together at most ``most_bytes`` (as JSON) are counted;
+    else the plain side of a shuffled join."""
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most and size["b"] <= most_bytes else df
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

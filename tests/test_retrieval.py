@@ -66,9 +66,6 @@ def test_companies_are_in_the_whole_index(spark, small):
     texts = {r["chunk_id"]: r["content"] for r in spark.read.parquet(f"{small}/chunks.parquet").where("content is not null").select("chunk_id", "content").collect()}
     q = E.queries()
     for name, column, kind in (("entity_index", "entity_type", "companies"), ("key_info", "kind", "potential_companies")):
-        some, every = ([tuple(r) for r in q[n](spark, small).collect()] for n in (name, f"{name}_all"))
-        at = q[name](spark, small).columns.index(column)
-        assert sorted(r for r in every if r[at] != kind) == sorted(some)
-        assert [r for r in every if r[at] == kind]
+        assert q[name](spark, small).where(F.col(column) == kind).count() > 0
     found = {c: len(dict.fromkeys(m[:10])) for c, t in texts.items() if (m := re.findall(V.ENTITY_PATTERNS["companies"], t, re.A))}
-    assert {r["chunk_id"]: r["n"] for r in q["key_info_all"](spark, small).where("kind = 'potential_companies'").collect()} == found
+    assert {r["chunk_id"]: r["n"] for r in q["key_info"](spark, small).where("kind = 'potential_companies'").collect()} == found
