@@ -118,7 +118,7 @@ def parse_company(t: str) -> dict:
             form = f
             continue
         if w in ROMAN and len(w) > 1 or w.isdigit():
-            num = ROMAN.get(w) or int(w[:9])
+            num = ROMAN.get(w) or int(w)
             continue
         n = kind_word(w, LINES)
         if n and line is None and len(words) > 1:
@@ -360,26 +360,24 @@ def resolve_names(names: DataFrame, name: str = "name") -> DataFrame:
     prof = shared_checkpoint(recs.groupBy("ent").agg(F.array(F.first("v")).alias("vs")))
     owner = recs.select("name", "ent")
 
+    parts = max(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), names.sparkSession.sparkContext.defaultParallelism)
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Keys with the profile's id alone; profiles are fetched once a block that is compared."""
         for p in batches:
             out = []
             for e, vs in zip(p["ent"], p["vs"]):
                 own = [json.loads(v) for v in vs]
-                out += [(k, e, complete(own), list(vs)) for k in sorted(keys_of(own))]
-            yield pd.DataFrame(out, columns=["key", "ent", "whole", "vs"])
+                whole = complete(own)
+                out += [(k, e, whole) for k in sorted(keys_of(own))]
+            yield pd.DataFrame(out, columns=["key", "ent", "whole"])
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links of blocks that lie together in key order; a block may run over batches. Keys that hold the
-        same profiles are compared once."""
+        """Links of blocks that lie together in key order; a block may run over batches."""
         decode = lru_cache(maxsize=100_000)(json.loads)
-        seen: set[tuple[int, ...]] = set()
 
         def links(rows: list[tuple[int, tuple[str, ...]]]) -> list[tuple[int, int]]:
-            ents = tuple(e for e, _ in rows)
-            if len(rows) < 2 or ents in seen:
-                return []
-            seen.add(ents)
-            return merge_block([(e, [dict(decode(v)) for v in vs]) for e, vs in rows])
+            return [] if len(rows) < 2 else merge_block([(e, [dict(decode(v)) for v in vs]) for e, vs in rows])
 
         at, rows = None, []
         for p in batches:
@@ -419,18 +417,19 @@ def resolve_names(names: DataFrame, name: str = "name") -> DataFrame:
 
         dealt = hot.withColumn("part", F.pmod(F.xxhash64("ent"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         laid = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ent", "vs")
-        return laid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "key string, a bigint, b bigint")
+        return laid.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "key string, a bigint, b bigint")
+
+    def once(blocks: DataFrame) -> DataFrame:
+        """One key of those that hold the same profiles (by number and two hashes of their ids)."""
+        return blocks.groupBy("n", "s", "x").agg(F.min("key").alias("key"))
 
     def missed(k: DataFrame, size: DataFrame) -> DataFrame | None:
         """Links in blocks beyond BLOCK profiles that their parts did not show: first of complete profiles,
         and only if there is none, of incomplete ones, whose fits are counted over the whole block."""
-        large = size.where("parts > 1")
+        large = size.where(F.col("n") > BLOCK)
         if large.limit(1).count() == 0:
             return None
-        hot = k.join(large.select("key", "parts"), "key")
-        same = hot.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("ent").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ent", F.lit(1))).alias("x"))
-        once = same.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-        hot = shared_checkpoint(hot.join(once, "key"))
+        hot = shared_checkpoint(k.join(once(large).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("key", "parts"), "key").join(prof, "ent").select("key", "parts", "ent", "whole", "vs"))
         least = shared_checkpoint(crossed(hot.where("whole"), "complete").groupBy("a").agg(F.min("b").alias("b")))
         if least.limit(1).count():
             # A profile below all its fits is compared with those that fit none smaller, as a block of its own.
@@ -438,33 +437,43 @@ def resolve_names(names: DataFrame, name: str = "name") -> DataFrame:
             leaf = least.where("b < a").select("a", F.col("b").alias("hub")).join(hub, "hub")
             star = leaf.select("hub", F.col("a").alias("ent")).unionByName(leaf.select("hub", F.col("hub").alias("ent")).distinct())
             laid = star.join(prof, "ent").select(F.col("hub").cast("string").alias("key"), F.lit(0).alias("part"), "ent", "vs")
-            return shared_checkpoint(laid.repartition("key").sortWithinPartitions("key", "ent").mapInPandas(blocks, "a bigint, b bigint").distinct())
+            return shared_checkpoint(laid.repartition(parts, "key").sortWithinPartitions("key", "ent").mapInPandas(blocks, "a bigint, b bigint").distinct())
         fits = shared_checkpoint(crossed(hot, "fits").groupBy("key", "a").agg(F.count_distinct("b").alias("n"), F.min("b").alias("b")))
         loose = hot.where("not whole").join(fits.select("key", F.col("a").alias("ent")), ["key", "ent"], "left_anti")
         near_loose = crossed(loose, "loose").groupBy("key", "a").agg(F.min("b").alias("b"))
         return shared_checkpoint(fits.where("n = 1").select("a", "b").unionByName(near_loose.select("a", "b")).distinct())
 
-    turn = 0
+    turn, fresh = 0, None
+    k = shared_checkpoint(prof.mapInPandas(keyed, "key string, ent bigint, whole boolean"))
     while True:
-        k = prof.mapInPandas(keyed, "key string, ent bigint, whole boolean, vs array<string>")
-        size = k.groupBy("key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int"))
+        size = shared_checkpoint(k.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("ent").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("ent", F.lit(1))).alias("x")).where("n > 1"))
+        # After the first round only blocks with a merged profile can show anything new.
+        open_ = size if fresh is None else size.join(fresh.select("key").distinct(), "key", "left_semi")
         # A block beyond BLOCK profiles is dealt out; what its parts merge meets again in the next round. A
         # round without links ends it only after all pairs of parts have met.
-        dealt = k.join(size.select("key", "parts"), "key").where("whole or parts = 1").withColumn("part", F.pmod(F.xxhash64("ent", F.lit(turn)), F.col("parts")))
-        laid = dealt.select("key", "part", "ent", "vs").repartition("key", "part").sortWithinPartitions("key", "part", "ent")
+        chosen = once(open_).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).select("key", "parts")
+        dealt = k.join(chosen, "key").where("whole or parts = 1").withColumn("part", F.pmod(F.xxhash64("ent", F.lit(turn)), F.col("parts")))
+        laid = dealt.join(prof, "ent").select("key", "part", "ent", "vs").repartition(parts, "key", "part").sortWithinPartitions("key", "part", "ent")
         links = shared_checkpoint(laid.mapInPandas(blocks, "a bigint, b bigint").distinct())
         if links.limit(1).count() == 0:
             links = missed(k, size)
         if links is None or links.limit(1).count() == 0:
             return owner.select("name", F.col("ent").alias("entity_id"))
-        root = components(links)
-        up = prof.join(root.select(F.col("node").alias("ent"), "root"), "ent", "left").select(F.coalesce("root", "ent").alias("ent"), "vs")
-        prof = shared_checkpoint(up.groupBy("ent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("vs")))
-        owner = shared_checkpoint(owner.join(root.select(F.col("node").alias("ent"), "root"), "ent", "left").select("name", F.coalesce("root", "ent").alias("ent")))
+        root = components(links).select(F.col("node").alias("ent"), "root")
+        up = prof.join(root, "ent").select(F.col("root").alias("ent"), "vs")
+        merged = shared_checkpoint(up.groupBy("ent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("vs")))
+        prof = shared_checkpoint(prof.join(root.select("ent"), "ent", "left_anti").unionByName(merged))
+        owner = shared_checkpoint(owner.join(root, "ent", "left").select("name", F.coalesce("root", "ent").alias("ent")))
+        fresh = shared_checkpoint(merged.mapInPandas(keyed, "key string, ent bigint, whole boolean"))
+        k = shared_checkpoint(k.join(root.select("ent"), "ent", "left_anti").select("key", "ent", "whole").unionByName(fresh))
         turn += 1
 
 
-def name_pairs(resolved: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b, of the different strings of each entity."""
-    a, b = resolved.select("entity_id", F.col("name").alias("name_a")), resolved.select("entity_id", F.col("name").alias("name_b"))
-    return a.join(b, "entity_id").where("name_a < name_b").select("name_a", "name_b")
+def name_pairs(resolved: DataFrame, most: int = 2000) -> DataFrame:
+    """(name_a, name_b), name_a < name_b, of the different strings of each entity. An entity of more than ``most``
+    strings is split: each part of its first side meets all of the second, so no task holds all its pairs."""
+    parts = resolved.groupBy("entity_id").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    r = resolved.join(parts, "entity_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = r.select("entity_id", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("name_a"))
+    b = r.select("entity_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("name_b"))
+    return a.join(b, ["entity_id", "part"]).where("name_a < name_b").select("name_a", "name_b")
