@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import bounded_rows, broadcast_if_small, shared_checkpoint, spread
 
-TOKENIZER = os.environ.get("LEDGERLENS_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the public pre-tokenisation pattern of that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 1 << 14
 MOST_SOURCES = 100_000
-MOST_CHARS = 200_000
+#: Texts are encoded in parts of about so many characters.
+PART_CHARS = 200_000
 
 
 def source_key(c: Column) -> Column:
@@ -34,29 +34,38 @@ def source_key(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.lower(c)), r"[\s\-_]+", "_"), F.lit(""))
 
 
-def count_tokens(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """``docs`` with ``n_tokens`` of the tokenizer at ``path`` (a rank file). Very long texts are encoded in
-    parts cut at blanks, which changes no token but those at a cut."""
+def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``n_tokens`` of the tokenizer at ``path`` (a rank file of the driver, sent to every executor).
+
+    Long texts are encoded in parts that end where a match of the pre-tokenisation pattern ends; no token spans
+    two matches, so the count is that of the whole text at any length.
+    """
     schema = docs.schema.simpleString()[7:-1] + ",n_tokens:bigint"
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import regex
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        piece = regex.compile(PATTERN)
 
         def size(t: object) -> int:
             if not isinstance(t, str):
                 return 0
-            n, at = 0, 0
-            while at < len(t):
-                end = len(t) if len(t) - at <= MOST_CHARS else max(t.rfind(" ", at + 1, at + MOST_CHARS), at + 1)
-                if end == at + 1 and len(t) - at > MOST_CHARS:
-                    end = at + MOST_CHARS
-                n += len(enc.encode_ordinary(t[at:end]))
-                at = end
-            return n
+            if len(t) <= PART_CHARS:
+                return len(enc.encode_ordinary(t))
+            n = at = 0
+            for m in piece.finditer(t):
+                # A part that ended with a blank would read its last blanks otherwise than the whole text does.
+                if m.end() - at >= PART_CHARS and not t[m.end() - 1].isspace():
+                    n += len(enc.encode_ordinary(t[at : m.end()]))
+                    at = m.end()
+            return n + len(enc.encode_ordinary(t[at:]))
 
         for p in batches:
             p["n_tokens"] = [size(t) for t in p[text]]
@@ -102,17 +111,17 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total: float | None = Non
     return spark.createDataFrame(rows, "source_key string, target_share double, max_repeats int, n_records bigint, n_tokens_available bigint, tokens_wanted double, tokens_given double, repeats double")
 
 
-def mix_records(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", total: float | None = None, seed: int = 11, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix_records(docs: DataFrame, targets: DataFrame, path: str, doc_id: str = "doc_id", total: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(chosen records with n_tokens and repeats, report of the shares really reached).
 
     A source's extra part is cut in seeded hash order: sums over BUCKETS hash ranges find the range of the
     cut, and only records of that one range are ordered, so no source is sorted as a whole.
     """
-    sized = count_tokens(spread(docs.select(F.col(doc_id).alias("doc_id"), F.col("source"), F.col("text"))).withColumn("source_key", source_key(F.col("source")))).drop("text").where("n_tokens > 0 and source_key is not null")
+    sized = count_tokens(spread(docs.select(F.col(doc_id).alias("doc_id"), F.col("source"), F.col("text"))).withColumn("source_key", source_key(F.col("source"))), path).drop("text").where("n_tokens > 0 and source_key is not null")
     sized = shared_checkpoint(sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int")).withColumn("ord", F.xxhash64(F.lit(seed + 1), "doc_id")))
     plan = plan_mixture(sized, targets, total)
     p = plan.select("source_key", F.floor("repeats").cast("int").alias("whole"), ((F.col("repeats") - F.floor("repeats")) * F.col("n_tokens_available")).alias("extra"))
-    own = sized.join(F.broadcast(p), "source_key")
+    own = sized.join(broadcast_if_small(p, MOST_SOURCES), "source_key")
     per = own.groupBy("source_key", "bucket").agg(F.sum("n_tokens").alias("bt"), F.first("extra").alias("bx"))
     w = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per.withColumn("before", F.coalesce(F.sum("bt").over(w), F.lit(0))).select("source_key", "bucket", "before", (F.col("before") + F.col("bt") <= F.col("bx")).alias("within"), ((F.col("before") < F.col("bx")) & (F.col("before") + F.col("bt") > F.col("bx"))).alias("cut"))
@@ -123,5 +132,5 @@ def mix_records(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tot
     chosen = rest.unionByName(edge).withColumn("repeats", F.col("whole") + F.col("more")).where("repeats > 0").select("doc_id", "source_key", "n_tokens", "repeats")
     used = chosen.groupBy("source_key").agg(F.count("*").alias("records_used"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     every = Window.partitionBy(F.lit(1))  # over the report's rows, one a target
-    report = plan.join(F.broadcast(used), "source_key", "left").withColumn("all_tokens", F.sum("tokens_used").over(every)).select("source_key", "target_share", "max_repeats", "n_records", "n_tokens_available", F.coalesce("records_used", F.lit(0)).alias("records_used"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
+    report = plan.join(used, "source_key", "left").withColumn("all_tokens", F.sum("tokens_used").over(every)).select("source_key", "target_share", "max_repeats", "n_records", "n_tokens_available", F.coalesce("records_used", F.lit(0)).alias("records_used"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
     return chosen, report

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import canonical, entities, leakage, mixing, ocr, pii, sentences
 from ledgerlens.sources.tables import table
 
+#: The vocabulary file of a public tokenizer, on the driver.
+TOKENIZER = os.environ.get("LEDGERLENS_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def _pii_texts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct (src, rec_id, text) of chunk content and entity context."""
@@ -68,15 +72,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Items that leaked: in how many documents, and the largest part held."""
     f = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return f.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("coverage"), 6).alias("largest_part"))
+    return f.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("coverage"), 6).alias("largest_part"), F.min("edits").alias("fewest_edits"))
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_records(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixing.mix_records(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)[1]
 
 
 def p7_records(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_records(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix_records(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)[0]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

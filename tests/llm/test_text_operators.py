@@ -13,6 +13,8 @@ def held_out():
     return pii_train.made_texts(250, 77)
 
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 def test_pii_held_out_accuracy(held_out):
     acc = pii_train.accuracy(pii.load_weights(), held_out)
     assert all(p > 0.9 and r > 0.9 for p, r in acc.values()), acc
@@ -284,6 +286,56 @@ def test_cgk_keeps_close_strings_close():
     assert (k(a) == k(a)).all() and (k(a) == k(b)).any() and not (k(a) == k(c)).any()
 
 
+def test_walks_reach_their_recall():
+    import numpy as np
+
+    for w in (9, 20, 45):
+        assert leakage.walks_for(w) < leakage.MOST_WALKS
+        rng, sam = np.random.default_rng(99), leakage.CgkSampler(w, walks=leakage.walks_for(w))
+        hit = 0
+        for _ in range(300):
+            a = rng.integers(1, 1 << 62, w).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(w, w // 8, replace=False)] = 7
+            hit += (sam.keys(a, np.arange(1)) == sam.keys(b, np.arange(1))).any()
+        assert hit >= 0.9 * 300
+
+
+def test_items_of_every_length_and_two_places_on_one_offset(spark):
+    r = random.Random(4)
+    words = ["v%d" % k for k in range(900)]
+    items, docs, want = [], [], set()
+    for k, n in enumerate((18, 30, 60, 110, 200, 400) * 3):
+        w = [r.choice(words) for _ in range(n)]
+        items.append((k, " ".join(w)))
+        half = -(-n * 5 // 20)  # two places of a quarter each, the words between overwritten one by one
+        x = w[:half] + ["zz%d" % j for j in range(n // 4)] + w[half + n // 4 : 2 * half + n // 4]
+        docs.append((k, " ".join(["before"] * 9 + x + ["after"] * 9)))
+        want.add((k, k))
+    sub = lambda t: spark.createDataFrame(t, "doc_id bigint, text string")
+    got = leakage.find_leaks(sub(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and {x["places"] for x in got} == {2} and {x["edits"] for x in got} == {0}
+
+
+def test_banded_alignment_equals_the_full_one():
+    import numpy as np
+
+    def full(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    r = random.Random(5)
+    for _ in range(200):
+        a = [r.randint(1, 4) for _ in range(r.randint(0, 12))]
+        b = [r.randint(1, 4) for _ in range(r.randint(0, 12))]
+        assert leakage.aligned_edits(np.array(a, np.uint64), np.array(b, np.uint64), 4) == min(5, full(a, b))
+
+
 # Mixing ---------------------------------------------------------------------------------------------
 
 def test_water_filling():
@@ -298,14 +350,14 @@ def test_mixture(spark):
     docs = [(k, "News Wire" if k % 3 == 0 else "memo", "word " * (k % 40 + 1)) for k in range(600)] + [(900, None, "x"), (901, "memo", None), (902, "memo", ""), (903, "blog", "y")]
     d = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
     t = spark.createDataFrame([("news_wire", 0.6, 3), ("memo", 0.4, 1), ("none", 0.0, 2)], "source string, target_share double, max_repeats int")
-    chosen, report = mixing.mix_records(d, t)
+    chosen, report = mixing.mix_records(d, t, TOKENIZER)
     rep = {r["source_key"]: r for r in report.collect()}
     assert abs(rep["news_wire"]["actual_share"] - 0.6) < 0.01 and rep["news_wire"]["most_repeats"] <= 3 and rep["memo"]["most_repeats"] <= 1
     used = chosen.groupBy("source_key").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).collect()
     assert {r["source_key"]: r["t"] for r in used} == {s: r["tokens_used"] for s, r in rep.items() if r["tokens_used"]}
-    again = mixing.mix_records(d, t)[0]
+    again = mixing.mix_records(d, t, TOKENIZER)[0]
     assert chosen.exceptAll(again).count() == 0
-    assert mixing.mix_records(d.limit(0), t)[0].count() == 0
+    assert mixing.mix_records(d.limit(0), t, TOKENIZER)[0].count() == 0
 
 
 # Sentences ------------------------------------------------------------------------------------------
@@ -353,3 +405,17 @@ def test_learned_model(spark):
 
 def test_script_of_the_whole_paragraph():
     assert sentences.script_of("a" * 20_500 + "ก" * 30_000) == "th" and sentences.script_of("ก" * 20_500 + "a" * 30_000) == "latin"
+
+
+def test_token_counts_of_long_texts_are_exact(spark, monkeypatch):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(TOKENIZER, "rb") if x.strip())}
+    enc = tiktoken.Encoding("ranks", pat_str=mixing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(mixing, "PART_CHARS", 50)
+    r = random.Random(6)
+    texts = ["".join(r.choice(["word", " a", "  ", "\n\n", "’s", "'ll", "12", "%", "é", "x" * 70, "\t"]) for _ in range(400)) for _ in range(20)] + ["", " " * 500, "y" * 500]
+    got = mixing.count_tokens(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), TOKENIZER).collect()
+    assert {x["k"]: x["n_tokens"] for x in got} == {k: len(enc.encode_ordinary(t)) for k, t in enumerate(texts)}
