@@ -21,61 +21,87 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import bounded_rows, shared_checkpoint, spread
-
-# Frequent function words, to tell the languages of one script apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for was by with as from which not are were be its this".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als wegen wurde".split(),
-    "fr": "le la les des et du un une est que dans pour pas par sur au a n'a qui ne ce".split(),
-    "es": "el los las y del que un una en por se con para no la al lo como más su".split(),
-}
+from ledgerlens.session import bounded_rows, broadcast_if_small, shared_checkpoint, spread
+
 ENDERS = ".!?。！？…।|؟｡．"
 HARD = "!?。！？।|؟｡．"
 OPEN = {"“": "”", "«": "»", "(": ")", "（": "）", "「": "」", "『": "』", "„": "“", "[": "]", "‘": "’"}
 CLOSE = set("”»)）」』]’")
 BULLETS = "•*-–—·‣▪◦"
-MOST_MODEL = 400_000
+MOST_MODEL, MOST_LANGUAGES = 400_000, 200_000
 HEADING_CHARS = 70
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}（）「」『』]+")
 _MARK = re.compile(r"[.!?。！？…।|؟｡．“”„«»()（）「」『』\[\]\"]")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def script_of(text: str) -> str:
-    c = Counter()
-    for ch in text:
-        o = ord(ch)
-        if 0x0E00 <= o < 0x0E80:
-            c["th"] += 1
-        elif 0x0900 <= o < 0x0980:
-            c["hi"] += 1
-        elif 0x0600 <= o < 0x0700:
-            c["ar"] += 1
-        elif 0x3040 <= o < 0x3100:
-            c["ja"] += 3
-        elif 0x4E00 <= o < 0xA000:
-            c["zh"] += 2
-        elif 0x0400 <= o < 0x0500:
-            c["ru"] += 1
-        elif ch.isalpha():
-            c["latin"] += 1
-    if c["ja"] and c["ja"] * 4 >= c["zh"]:
-        c["ja"] += c.pop("zh", 0)
-    return max(c, key=lambda k: (c[k], k)) if c else "latin"
+# Scripts by their letters; kana weighs more than the Han characters that Japanese shares.
+_SCRIPTS = {"th": ("\u0e00-\u0e7f", 1), "hi": ("\u0900-\u097f", 1), "ar": ("\u0600-\u06ff", 1), "ja": ("\u3040-\u30ff", 3), "zh": ("\u4e00-\u9fff", 2), "ru": ("\u0400-\u04ff", 1)}
+_OTHERS = "".join(r for r, _ in _SCRIPTS.values())
+_OTHER, _THAI = re.compile(f"[{_OTHERS}]"), re.compile("[\u0e00-\u0e7f]")
+_RUNS = {k: (re.compile(f"[{r}]+"), w) for k, (r, w) in _SCRIPTS.items()}
+_LATIN = re.compile(f"[^\\W\\d_{_OTHERS}]+")
+_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: A word tells a language if it is at least this part of its label's short words.
+TELLING = 0.001
+UNSEEN = -11.5
 
 
-def language_of(text: str, label: str | None) -> str:
-    s = script_of(text)
-    if s != "latin":
-        return s
-    words = Counter(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text.lower()))
-    votes = {k: sum(words[w] for w in ws) for k, ws in FUNCTION_WORDS.items()}
-    best = max(votes, key=lambda k: (votes[k], k == (label or "")[:2].lower(), k))
-    if votes[best]:
-        return best
-    base = (label or "en")[:2].lower()
-    return base if base in FUNCTION_WORDS else "en"
+def script_of(text: str) -> str:
+    """The script with most letters in the whole text; latin if it has none of the others."""
+    if not _OTHER.search(text):
+        return "latin"
+    c = {k: w * sum(map(len, r.findall(text))) for k, (r, w) in _RUNS.items()}
+    c["latin"] = sum(map(len, _LATIN.findall(text)))
+    if c["ja"] and c["ja"] * 4 >= c["zh"]:
+        c["ja"] += c.pop("zh")
+    return max(c, key=lambda k: (c[k], k))
+
+
+class Languages:
+    """Tells the languages of the Latin script apart by the words their labels use: {label: {word: log share}}."""
+
+    def __init__(self, rows: dict[str, dict[str, float]]):
+        self.rows = rows
+        self.by_word: dict[str, list[tuple[str, float]]] = {}
+        for label, ws in rows.items():
+            for w, v in ws.items():
+                # What a word adds to a label over the share of an unseen word.
+                self.by_word.setdefault(w, []).append((label, v - UNSEEN))
+
+    def of(self, text: str, label: str | None) -> str:
+        s = script_of(text)
+        if s != "latin":
+            return s
+        own = (label or "")[:2].lower()
+        votes: dict[str, float] = {}
+        for w, n in Counter(_WORDS.findall(text.lower().replace("’", "'"))).items():
+            for lang, v in self.by_word.get(w, ()):
+                votes[lang] = votes.get(lang, 0.0) + v * n
+        if votes:
+            return max(votes, key=lambda k: (votes[k], k == own, k))
+        return own if own in self.rows else "en"
+
+
+def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, w, value): the short words (up to six letters) of each label with at least TELLING of its short words,
+    and the log of their share; at most 1 / TELLING words a label. Labels whose texts are mostly in another
+    script are left out. Counts cover all documents."""
+    label = F.regexp_extract(F.lower(lang), "^([a-z]{2})(?:$|[^a-z])", 1)
+    src = docs.where(F.col(text).isNotNull()).select(label.alias("lang"), F.col(text).alias("t")).where("lang <> ''")
+    latin = src.groupBy("lang").agg(F.avg(F.col("t").rlike(f"[{_OTHERS}]{{1}}").cast("int")).alias("o")).where("o < 0.5").select("lang")
+    words = F.filter(F.regexp_extract_all(F.lower(F.translate("t", "’", "'")), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)), lambda w: F.length(w) <= 6)
+    cnt = src.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    cnt = cnt.join(broadcast_if_small(latin, 10_000), "lang", "left_semi")
+    tot = cnt.groupBy("lang").agg(F.sum("n").alias("t"))
+    return cnt.join(broadcast_if_small(tot, 10_000), "lang").where(F.col("n") >= TELLING * F.col("t")).select("lang", "w", F.log(F.col("n") / F.col("t")).alias("value"))
+
+
+def _languages(rows: list) -> Languages:
+    by: dict[str, dict[str, float]] = {}
+    for r in rows:
+        by.setdefault(r["lang"], {})[r["w"]] = r["value"]
+    return Languages(by)
 
 
 def blocks_of(text: str) -> list[list[tuple[int, int, str]]]:
@@ -135,14 +161,14 @@ def kind_of(tok: str) -> str:
     return t
 
 
-def observe(text: str, label: str | None, counts: Counter) -> None:
+def observe(text: str, label: str | None, counts: Counter, langs: Languages) -> None:
     """Adds the corpus counts of one text: keys (language, measure, word, next word)."""
     for block in blocks_of(text):
         if block[0][2] != "text":
             continue
         a, b = block[0][0], block[-1][1]
         para = text[a:b]
-        lang = language_of(para, label)
+        lang = langs.of(para, label)
         if lang == "th":
             for st, en, _ in block:
                 for n, ch in enumerate(re.split(r"\s+", text[st:en])):
@@ -197,15 +223,18 @@ def _llr(k1: str, n1: str, k2: str, n2: str) -> str:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The model: rows (lang, what, word, next, value) of abbreviations, enders, starters, collocations and
-    Thai openers. Counts cover every document; batches pre-aggregate before the shuffle."""
+    """The model: rows (lang, what, word, next, value) of the languages' words, abbreviations, enders, starters,
+    collocations and Thai openers. Counts cover every document; batches pre-aggregate before the shuffle."""
+    told = shared_checkpoint(learn_languages(docs, text, lang))
+    told_rows = bounded_rows(told, MOST_LANGUAGES, "telling words of all labels")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs = _languages(told_rows)
         for p in batches:
             c: Counter = Counter()
             for t, label in zip(p["t"], p["l"]):
                 if isinstance(t, str) and t.strip():
-                    observe(t, label if isinstance(label, str) else None, c)
+                    observe(t, label if isinstance(label, str) else None, c, langs)
             yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "m", "w", "x", "n"])
 
     raw = spread(docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")).mapInPandas(run, "lang string, m string, w string, x string, n bigint")
@@ -214,10 +243,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     measures = ["all", "stop", "line_end", "goes_on", "start", "lower", "upper_mid", "open", "chunk"]
     word = cnt.where("m <> 'pair'").groupBy("lang", "w").pivot("m", measures).agg(F.sum("n")).na.fill(0)
     tot = word.groupBy("lang").agg(*[F.sum(m).cast("double").alias(f"t_{m}") for m in measures])
-    word = word.join(F.broadcast(tot), "lang")
+    word = shared_checkpoint(word.join(broadcast_if_small(tot, MOST_LANGUAGES), "lang"))
     # Abbreviations: full stops stick to the word (against a share of 0.99), the word is short, and it goes on.
     word = word.withColumn("len", F.length(F.regexp_replace("w", "[.]", ""))).withColumn("dots", F.regexp_count("w", F.lit("[.]")) + 1)
-    p0, alone = "(t_stop/t_all)", "(all-stop)"
+    p0, alone = "(t_stop/greatest(t_all,1))", "(all-stop)"
     null_l = f"(stop*ln(greatest({p0},1e-9)) + {alone}*ln(greatest(1-{p0},1e-9)))"
     alt_l = f"(stop*ln(0.99) + {alone}*ln(0.01))"
     word = word.withColumn("punkt", F.expr(f"-2*({null_l}-{alt_l}) * exp(-len) * dots * pow(greatest(len,1), -least({alone}, 50))"))
@@ -229,8 +258,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     short = abbr.select("lang", "w").unionByName(word.where("length(w) = 1 and w not like '#%'").select("lang", "w")).distinct()
     after = cnt.where("m = 'pair'").join(short, ["lang", "w"], "left_semi").groupBy("lang", F.col("x").alias("w")).agg(F.sum("n").alias("after"))
     word = word.join(after, ["lang", "w"], "left").withColumn("start", F.greatest(F.col("start") - F.coalesce("after", F.lit(0)), F.lit(0))).drop("t_start")
-    word = word.join(F.broadcast(word.groupBy("lang").agg(F.sum("start").cast("double").alias("t_start"))), "lang")
-    starters = word.where(f"start >= 3 and w not like '#%' and start/all > t_start/t_all and ({_llr('start', 'all', '(t_start-start)', '(t_all-all)')}) > 30").withColumn("what", F.lit("start")).withColumn("value", F.lit(1.0))
+    word = shared_checkpoint(word)
+    word = word.join(broadcast_if_small(word.groupBy("lang").agg(F.sum("start").cast("double").alias("t_start")), MOST_LANGUAGES), "lang")
+    starters = word.where(f"start >= 3 and w not like '#%' and start/all > t_start/greatest(t_all,1) and ({_llr('start', 'all', '(t_start-start)', '(t_all-all)')}) > 30").withColumn("what", F.lit("start")).withColumn("value", F.lit(1.0))
     lowered = word.where("lower >= 2 and lower > upper_mid").withColumn("what", F.lit("lower")).withColumn("value", F.lit(1.0)).where("start > 0")
     opens = word.where("open >= 1 and open >= 0.01*(open+chunk)").withColumn("what", F.lit("open")).withColumn("value", F.lit(1.0))
     singles = [x.select("lang", "what", "w", F.lit("").alias("x"), "value") for x in (abbr, starters, lowered, opens)]
@@ -242,8 +272,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     # A word before numbers ("No. 5") though it has uses without a full stop.
     numbered = cnt.where("m = 'pair' and w not like '#%' and x like '#%'").groupBy("lang", "w").agg(F.sum("n").alias("n12")).join(left, ["lang", "w"]).where("n12 >= 3 and n12 >= 0.5*n1")
     singles.append(numbered.select("lang", F.lit("coll").alias("what"), "w", F.lit("#").alias("x"), F.lit(1.0).alias("value")))
-    out = singles[0]
-    for s in singles[1:]:
+    out = told.select("lang", F.lit("lang").alias("what"), "w", F.lit("").alias("x"), "value")
+    for s in singles:
         out = out.unionByName(s)
     return out
 
@@ -251,12 +281,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 class Splitter:
     """Classifies the marks of a text by a learned model."""
 
-    def __init__(self, rows: list[tuple[str, str, str, str, float]]):
+    def __init__(self, rows: list[tuple[str, str, str, str, float]], langs: Languages | None = None):
         self.abbr: dict[tuple[str, str], bool] = {}
         self.latin: dict[str, bool] = {}
         self.sets: dict[str, set] = {"start": set(), "lower": set(), "coll": set(), "open": set()}
+        told: dict[str, dict[str, float]] = {}
         for lang, what, w, x, v in rows:
-            if what == "abbr":
+            if what == "lang":
+                told.setdefault(lang, {})[w] = v
+            elif what == "abbr":
                 self.abbr[(lang, w)] = v > 0
                 if len(w) <= 6:
                     self.latin[w] = self.latin.get(w, False) or v > 0
@@ -264,6 +297,7 @@ class Splitter:
                 self.sets["coll"].add((w, x))
             else:
                 self.sets[what].add((lang, w))
+        self.langs = langs or Languages(told)
 
     def units(self, text: str, label: str | None = None) -> list[tuple[int, int]]:
         """(start, end) of the units in order; together they hold every character but blanks and bullets."""
@@ -274,7 +308,7 @@ class Splitter:
                 out.append((a, b))
                 continue
             para = text[a:b]
-            lang = language_of(para, label)
+            lang = self.langs.of(para, label)
             cuts = [c for c in self.cuts(para, lang, block, a)]
             starts = [0, *cuts]
             for k, s in enumerate(starts):
@@ -292,7 +326,7 @@ class Splitter:
         spans = self.enclosed(para)
         k = 0
         n = len(para)
-        thai = script_of(para) == "th" or any("฀" <= c < "຀" for c in para)
+        thai = _THAI.search(para) is not None
         marks = sorted({m.start() for m in re.finditer(r"[.!?。！？…।|؟｡．]+", para)} | ({m.start() for m in re.finditer(r"\s+", para)} if thai else set()))
         for at in marks:
             if at < k:
@@ -459,19 +493,61 @@ class Splitter:
         return bool(known)
 
 
+def keys_of(text: str) -> set[str]:
+    """Every word of a text under which the classification may look something up."""
+    out: set[str] = set()
+    for tok in _TOKEN.findall(text):
+        core = tok.rstrip(",;:")
+        out |= {kind_of(core.rstrip(ENDERS)), kind_of(tok.rstrip(",;:" + ENDERS))}
+        for m in re.finditer(r"[.]", tok):
+            out.add(kind_of(tok[: m.start()]))
+        out |= set(re.split(r"[.\-'’]", tok))
+    for ch in re.split(r"\s+", text) if _THAI.search(text) else ():
+        out.add(ch[:5])
+    out.discard("")
+    return out
+
+
 def split_sentences(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, unit_no (from 0, in order), start_char, end_char, sentence."""
-    rows = [tuple(r) for r in bounded_rows(model.select("lang", "what", "w", "x", "value"), MOST_MODEL, "sentence model")]
+    """doc_id, unit_no (from 0, in order), start_char, end_char, sentence.
+
+    A model of up to MOST_MODEL rows travels with every task. A larger one stays where it is: each distinct text
+    gets the rows of its own words by a join, with the same result.
+    """
+    model = model.select("lang", "what", "w", "x", "value")
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, unit_no int, start_char int, end_char int, sentence string"
+    src = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).where("d is not null and t is not null"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp = Splitter(rows)
+    def rows_of(sp: Splitter, d: object, t: str, label: object) -> list[tuple]:
+        return [(d, k, a, b, t[a:b]) for k, (a, b) in enumerate(sp.units(t, label if isinstance(label, str) else None))]
+
+    columns = ["doc_id", "unit_no", "start_char", "end_char", "sentence"]
+    if model.limit(MOST_MODEL + 1).count() <= MOST_MODEL:
+        rows = [tuple(r) for r in bounded_rows(model, MOST_MODEL, "sentence model")]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sp = Splitter(rows)
+            for p in batches:
+                yield pd.DataFrame([r for d, t, label in zip(p["d"], p["t"], p["l"]) for r in rows_of(sp, d, t, label)], columns=columns)
+
+        return src.mapInPandas(run, schema)
+
+    told = bounded_rows(model.where("what = 'lang'"), MOST_LANGUAGES, "telling words of all labels")
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = []
-            for d, t, label in zip(p["d"], p["t"], p["l"]):
-                for k, (a, b) in enumerate(sp.units(t, label if isinstance(label, str) else None)):
-                    out.append((d, k, a, b, t[a:b]))
-            yield pd.DataFrame(out, columns=["doc_id", "unit_no", "start_char", "end_char", "sentence"])
+            yield pd.DataFrame([(h, w) for h, t in zip(p["h"], p["t"]) for w in sorted(keys_of(t))], columns=["h", "w"])
 
-    src = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).where("d is not null and t is not null"))
-    return src.mapInPandas(run, schema)
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs = _languages(told)
+        for p in batches:
+            out = []
+            for d, t, label, own in zip(p["d"], p["t"], p["l"], p["m"]):
+                sp = Splitter([tuple(r[k] for k in ("lang", "what", "w", "x", "value")) for r in (own if own is not None else [])], langs)
+                out += rows_of(sp, d, t, label)
+            yield pd.DataFrame(out, columns=columns)
+
+    keyed = src.withColumn("h", F.xxhash64("t"))
+    need = keyed.select("h", "t").dropDuplicates(["h"]).mapInPandas(words, "h bigint, w string")
+    per = need.join(model.where("what <> 'lang'"), "w").groupBy("h").agg(F.collect_list(F.struct("lang", "what", "w", "x", "value")).alias("m"))
+    return keyed.join(per, "h", "left").select("d", "t", "l", "m").mapInPandas(joined, schema)

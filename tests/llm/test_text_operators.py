@@ -419,3 +419,31 @@ def test_token_counts_of_long_texts_are_exact(spark, monkeypatch):
     texts = ["".join(r.choice(["word", " a", "  ", "\n\n", "’s", "'ll", "12", "%", "é", "x" * 70, "\t"]) for _ in range(400)) for _ in range(20)] + ["", " " * 500, "y" * 500]
     got = mixing.count_tokens(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), TOKENIZER).collect()
     assert {x["k"]: x["n_tokens"] for x in got} == {k: len(enc.encode_ordinary(t)) for k, t in enumerate(texts)}
+
+
+def _speech(spark):
+    r = random.Random(8)
+    small = {"it": "il la che di non per una con del nella".split(), "pl": "jest nie się na do że przez oraz tylko jak".split(), "en": "the of and to in is that for was by".split()}
+    rows = []
+    for k in range(240):
+        lang = ("it", "pl", "en")[k % 3]
+        body = " ".join(r.choice(small[lang]) + " " + "".join(r.choice("aeioubcdlmnrst") for _ in range(7)) for _ in range(8))
+        short = {"it": "avv.", "pl": "prof.", "en": "dept."}[lang]
+        rows.append((k, f"{body.capitalize()} {short} Rossi {r.choice(small[lang])}. {body.capitalize()} x.", lang if k % 7 else None))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+
+
+def test_languages_are_learned_from_labels(spark):
+    rows = sentences.learn_languages(_speech(spark)).collect()
+    langs = sentences._languages(rows)
+    assert {"it", "pl", "en"} <= set(langs.rows)
+    assert langs.of("nie tylko przez", None) == "pl" and langs.of("che non per una", "en") == "it" and langs.of("the of and", "pl") == "en"
+    assert langs.of("", "pl") == "pl" and langs.of("", None) == "en"
+
+
+def test_large_sentence_models_are_joined(spark, monkeypatch):
+    d = _speech(spark).unionByName(spark.createDataFrame([(900, "ก" * 6 + " ข" * 9, "th"), (901, "", "en"), (902, None, None), (3, "One. Two.", "en"), (3, "One. Two.", "en")], "doc_id bigint, text string, lang string"))
+    m = sentences.learn(d)
+    small = sorted(tuple(x) for x in sentences.split_sentences(d, m).collect())
+    monkeypatch.setattr(sentences, "MOST_MODEL", 10)
+    assert sorted(tuple(x) for x in sentences.split_sentences(d, m).collect()) == small and len(small) > 400
