@@ -26,13 +26,13 @@ TYPES = ("email", "phone", "national_id", "street_address", "person_name")
 LONGEST = {"email": 26, "phone": 16, "national_id": 16, "street_address": 22, "person_name": 10}
 
 # Words that mark kinds of tokens.
-GIVEN = set("""james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven andrew paul joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott frank gregory samuel benjamin patrick alexander theodore frederick peter henry
-mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen katherine alexandra victoria anna emma maria
-josé juan carlos luis javier ximena valentina dragana mirela cosmin tadeusz jarek leocadia katarzyna ilse anneliese gudrun ingrid solveig renske quentin baptiste zoë chloé françois fionnuala siobhan aoife
-nkechi emeka ayodele oyelaran thandiwe kofi kwame amina zainab yusra rasheed hamza omar fatima şenay mehmet priyanka arjun ananya haruka kenji yuki seoyeon minjun wenling xiaoming olga ivan dmitri björn søren""".split())
-SURNAME_ENDS = ("wick", "mere", "bury", "stow", "hart", "olde", "quist", "ström", "strom", "enko", "adze", "dze", "ovic", "etsky", "sky", "ski", "imoto", "moto", "ingay", "elli", "ini", "eau", "arro", "ander", "ance", "son", "sen", "ley", "ton", "ford", "man", "mann", "berg", "stein", "ez", "escu", "oğlu", "nen", "wala", "ham", "well", "worth")
+GIVEN = set("""james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark steven andrew paul joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott frank gregory samuel benjamin patrick alexander frederick peter henry adam simon oliver
+mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen katherine alexandra victoria anna emma maria julia sophie claire alice
+josé juan carlos luis javier miguel antonio lucía carmen elena marco giulia luca francesca hans klaus jürgen ursula heike stefan petra anneliese ingrid sven björn søren astrid pierre jean chloé françois hélène zoë piotr agnieszka katarzyna tadeusz jan eva zsuzsa istván
+siobhan aoife liam niamh kofi kwame amina fatima omar hamza mehmet ayşe priyanka arjun ananya rahul kenji yuki haruka seoyeon minjun wei xiaoming olga ivan dmitri svetlana nkechi emeka""".split())
+SURNAME_ENDS = ("wick", "mere", "bury", "quist", "ström", "strom", "enko", "dze", "ovic", "sky", "ski", "moto", "elli", "ini", "eau", "son", "sen", "ley", "ton", "ford", "man", "mann", "berg", "stein", "ez", "escu", "oğlu", "nen", "wala", "ham", "well", "worth")
 TITLES = set("mr mrs ms miss dr prof professor sir dame herr frau monsieur madame mme mlle señor señora sr sra m".split())
-NAME_CUES = set("signed witness attention attn contact contacto name guarantor by von auskunft ist es signataire owner of to with from was not und and director since regards extract replaced and go demeure call".split())
+NAME_CUES = set("signed witness attention attn contact contacto name by von mit ist es avec con for to with from was not und and since regards dear caller tenant patient teacher author sender".split())
 ORG_NEXT = set("act holdings ltd limited plc inc llc gmbh corp group company co sons bros brothers partners law treaty harbour mill bridge".split())
 PARTICLES = set("van der den de la le von zu bin al el da dos di del ter".split())
 STREETS = set("street st road rd lane ln avenue ave drive dr walk close court ct row way place pl square sq terrace boulevard blvd crescent gardens hill mews parade quay strasse straße str platz weg allee rue via viale piazza calle plaza avenida camino impasse chemin".split())
@@ -46,6 +46,8 @@ LABELS = frozenset((ID_CUES | PHONE_CUES | {"address", "name", "contact", "room"
 
 _TOK = re.compile(r"[^\W\d_]+(?:['’](?![sS]\b)[^\W\d_]+)*|\d+|[^\w\s]|_")
 _AT = re.compile(r"\s*(?:[@＠]|[\(\[{]\s*at\s*[\)\]}])\s*", re.I)
+_DOMAIN = re.compile(r"[\w-]+(?:\s*(?:\.|[\(\[{]\s*dot\s*[\)\]}]|\bdot\b)\s*[\w-]+)+", re.I)
+_LABEL = re.compile(r"[\w-]+(?=\W|$)")
 _EMAIL = re.compile(r"[\w+-]+(?:\.[\w+-]+)*\s*(?:[@＠]|[\(\[{]\s*at\s*[\)\]}])\s*[\w-]+(?:\s*(?:\.|[\(\[{]\s*dot\s*[\)\]}]|\bdot\b)\s*[\w-]+)+", re.I)
 _PHONE = re.compile(r"(?:\+|00)?\(?\d[\d\s().\-/]*\d(?:\s*(?:ext|x|extn|Durchwahl)\.?\s*\d{1,5})?", re.I)
 _POSTCODES = re.compile(r"[A-Z]{1,2}\d{1,2}[A-Z]?\s*\d[A-Z]{2}|[A-Z]{2}\s*\d{5}(?:-\d{4})?|\b\d{5}(?:-\d{4})?\b")
@@ -98,17 +100,19 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
     at = {s: i for i, s in enumerate(d.s)}
     end = {e: i + 1 for i, e in enumerate(d.e)}
     for m in _AT.finditer(d.text):
-        left = d.text[max(0, m.start() - 80) : m.start()]
-        lm = re.search(r"[\w.+-]+$", left)
-        rm = re.match(r"[\w-]+(?:\s*(?:\.|[\(\[{]\s*dot\s*[\)\]}]|\bdot\b)\s*[\w-]+){1,5}", d.text[m.end() : m.end() + 120], re.I)
-        if not lm or not rm:
+        # Both sides run to the end of their characters, however long.
+        a0 = m.start()
+        while a0 and (d.text[a0 - 1].isalnum() or d.text[a0 - 1] in "_.+-"):
+            a0 -= 1
+        rm = _DOMAIN.match(d.text, m.end())
+        if a0 == m.start() or not rm:
             continue
-        a0 = m.start() - len(lm.group())
         starts = [p for p in range(a0, m.start()) if p in at and (p == a0 or d.text[p - 1] in ".+-")]
-        ends = [m.end() + x.end() for x in re.finditer(r"[\w-]+(?=\W|$)", rm.group())]
-        for a in starts:
-            for b in ends:
-                if a in at and b in end and end[b] - at[a] <= LONGEST["email"] and end[b] > at[a]:
+        ends = [x.end() for x in _LABEL.finditer(d.text, m.end(), rm.end())]
+        # The whole address, and its cuts where the span may be shorter; the longest is always among them.
+        for a in starts[:LONGEST["email"]]:
+            for b in [*ends[: LONGEST["email"]], *ends[-1:]]:
+                if b in end and end[b] > at[a]:
                     out.append((at[a], end[b], "email"))
     for i in range(n):
         x = t[i]
@@ -146,8 +150,11 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     out.append((i, j + 1, "national_id"))
         if k[i] == "d" or d.low[i] in UNITS or (x[0].isupper() and x.isalpha() and (d.low[i] in STREET_FIRST or (i + 5 < n and any(k[q] == "d" for q in range(i + 1, i + 4))))):
             words = digit = lines = run_small = 0
+            code = False  # whether a token that postcodes have was met
             for j in range(i, min(n, i + LONGEST["street_address"])):
                 y = t[j]
+                if k[j] == "d":
+                    code = code or (j > i and (len(y) == 5 or (not d.sp[j] and len(t[j - 1]) <= 2 and t[j - 1].isalpha())))
                 if d.nl[j] and j > i:
                     lines += 1
                 if lines > 1 or (not y.isalnum() and y not in ",.-'’" and not y.replace("'", "").replace("’", "").isalpha()):
@@ -160,13 +167,18 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     break
                 words += y[0].isalpha()
                 digit += k[j] == "d"
-                if j - i >= 4 and words >= 2 and digit >= 2 and y.isalnum() and not (j + 1 < n and not d.sp[j + 1] and t[j + 1].isalnum()):
+                if code and j - i >= 4 and words >= 2 and digit >= 2 and y.isalnum() and not (j + 1 < n and not d.sp[j + 1] and t[j + 1].isalnum()):
                     out.append((i, j + 1, "street_address"))
-        if k[i] in "GSUIgsu" or (k[i] == "P" and i + 1 < n):
+        titled = bool(i) and (d.low[i - 1] in TITLES and t[i - 1][0].isupper() or t[i - 1] == "." and i > 1 and d.low[i - 2] in TITLES and t[i - 2][0].isupper())
+        if k[i] in "GSUIgsu" or (k[i] == "P" and i + 1 < n) or (k[i] == "K" and (titled or i + 2 < n and t[i + 1] == "," and k[i + 2] in "GI")):
             joined = k[i] != "P" or t[i + 1] == "-"  # a particle leads a name only before a hyphen or a comma
             full = bool(i) and (t[i - 1][0].isupper() and d.low[i - 1] in TITLES or t[i - 1] == "." and i > 1 and t[i - 2][0].isupper() and d.low[i - 2] in TITLES)
+            words_in = 0  # two unknown words written large may be a name no list helps with
             for j in range(i, min(n, i + LONGEST["person_name"])):
                 c = k[j]
+                # A known word written large can be a surname beside a given name, an initial or a title.
+                if c == "K" and (j > i and (k[j - 1] in "GI" or k[j - 1] == "." and k[j - 2] == "I" or k[j - 1] in "-,") or j + 1 < n and (t[j + 1] == "," and j + 2 < n and k[j + 2] in "GI") or titled):
+                    c = "U"
                 if j > i and d.nl[j] and d.text[d.e[j - 1] : d.s[j]].count("\n") > 1:
                     break
                 if c in "GSUIgsuP":
@@ -177,7 +189,8 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     pass
                 else:
                     break
-                if c in "GSUgsu" and full and (joined or "," in t[i:j]):
+                words_in += c == "U"
+                if c in "GSUgsu" and (full or words_in > 1) and (joined or "," in t[i:j]):
                     out.append((i, j + 1, "person_name"))
     return out
 
@@ -270,6 +283,13 @@ def features(d: Doc, a: int, b: int, typ: str) -> list[str]:
             f.append("person_name:surname")
         if any(c in "Uu" for c in pat):
             f.append("person_name:unknown")
+        if not any(c in "GgSsI" for c in pat):
+            cue = "cue" if before & NAME_CUES or p in ":|(;" else "none"
+            f += ["person_name:unlisted", f"person_name:unlisted_before={'^' if p == '^' or d.nl[a] else cue}", f"person_name:unlisted_after={qk if qk in ',.;|(:' else 'l' if qk in 'lus' else 'o'}"]
+        if "K" in pat:
+            f.append("person_name:known")
+            f += [f"person_name:known_listed={any(c in 'GI' for c in pat)}", f"person_name:known_place={low[b - 1] in STREETS or low[b - 1] in ORG_NEXT}", f"person_name:known_after={qk if qk in ',.;|(:-' else 'l' if qk in 'lus' else 'o'}", f"person_name:known_before={'^' if p == '^' or d.nl[a] else 'cue' if before & NAME_CUES or p in ':|(;,' else 'none'}"]
+            f.append("person_name:known_" + ("last" if pat[-1] == "K" else "first" if pat[0] == "K" else "inside") + ("_street" if low[b - 1] in STREETS else ""))
         if "," in pat:
             f.append("person_name:comma_" + ("given" if pat.split(",")[1][:1] in "GgI" and "S" in pat.split(",")[0].upper() else "other"))
         if (a and t[a - 1][0].isupper() and p in TITLES) or (p == "." and a > 1 and t[a - 2][0].isupper() and low[a - 2] in TITLES):
@@ -416,41 +436,64 @@ def load_weights() -> dict[str, float]:
 
 
 MOST_KNOWN = 500_000
+#: Sightings that a word's share of small writing is shrunk by.
+SHRINK = 3
 #: A word that is no part of an address on the net.
 PLAIN_WORD = r"(?<![\p{L}\p{N}@＠._+\-])\p{L}+(?![\p{L}\p{N}@＠_+\-]|\.\p{L}|\s*(?:@|＠|\(at\)|\[at\]))"
 
 
 def known_words(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(w) words that the corpus mostly or often writes small, so a capital makes no name of them."""
+    """(w) words that the corpus writes small at least as often as not, so a capital alone makes no name of them.
+    The share is shrunk by SHRINK sightings, so that one or two say nothing; at any size it is a share."""
     w = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PLAIN_WORD), F.lit(0))).alias("x"))
     c = w.groupBy(F.lower("x").alias("w")).agg(F.count("*").alias("n"), F.sum((F.col("x") == F.lower("x")).cast("int")).alias("small"))
-    return c.where("n >= 3 and small >= 0.5 * n and length(w) >= 2").select("w")
+    return c.where(f"small >= 0.5 * (n + {SHRINK}) and length(w) >= 2").select("w")
+
+
+def _with_known(texts: DataFrame, text: str) -> tuple[DataFrame, frozenset[str] | None]:
+    """Up to MOST_KNOWN known words travel with the tasks. More stay where they are: each distinct text gets those
+    of its own words by a join, as ``__known``, with the same result."""
+    known = known_words(texts, text)
+    if known.limit(MOST_KNOWN + 1).count() <= MOST_KNOWN:
+        return spread(texts), frozenset(r["w"] for r in bounded_rows(known, MOST_KNOWN, "known words"))
+    src = texts.withColumn("__h", F.xxhash64(text))
+    own = src.select("__h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).distinct()
+    per = own.join(known, "w").groupBy("__h").agg(F.collect_list("w").alias("__known"))
+    return src.join(per, "__h", "left").drop("__h"), None
+
+
+def _finders(known: frozenset[str] | None, weights: dict[str, float] | None):
+    """A function from a row's own known words to its finder."""
+    crf = SemiCrf(weights if weights is not None else load_weights())
+    shared = PiiFinder(known, crf.w) if known is not None else None
+    return lambda own: shared if shared is not None else PiiFinder(frozenset(own if own is not None else ()), crf.w)
 
 
 def find_pii(texts: DataFrame, ids: list[str], text: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
     """Columns ``ids``, pii_type, start_char, end_char, mention; one row a mention, over whole texts."""
-    src = texts.select(*ids, F.col(text).alias("__text")).where("__text is not null")
-    known = frozenset(r["w"] for r in bounded_rows(known_words(src, "__text"), MOST_KNOWN, "known words"))
+    src, known = _with_known(texts.select(*ids, F.col(text).alias("__text")).where("__text is not null"), "__text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*ids).schema) + ", pii_type string, start_char int, end_char int, mention string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = PiiFinder(known, weights)
+        finder = _finders(known, weights)
         for p in batches:
-            out = [(*row[:-1], y, a, b, row[-1][a:b]) for row in p.itertuples(index=False, name=None) for a, b, y in finder.find(row[-1])]
+            own = p["__known"] if "__known" in p else [None] * len(p)
+            out = [(*row, y, a, b, t[a:b]) for row, t, w in zip(p[ids].itertuples(index=False, name=None), p["__text"], own) for a, b, y in finder(w).find(t)]
             yield pd.DataFrame(out, columns=[*ids, "pii_type", "start_char", "end_char", "mention"])
 
-    return spread(src).mapInPandas(run, schema)
+    return src.mapInPandas(run, schema)
 
 
 def redact_pii(texts: DataFrame, text: str = "text", into: str = "redacted", weights: dict[str, float] | None = None) -> DataFrame:
     """``texts`` with a column ``into``: the text with typed placeholders, else unchanged."""
-    known = frozenset(r["w"] for r in bounded_rows(known_words(texts, text), MOST_KNOWN, "known words"))
     base = texts.drop(into)
+    src, known = _with_known(base, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = PiiFinder(known, weights)
+        finder = _finders(known, weights)
         for p in batches:
-            p[into] = [finder.redact(t) if isinstance(t, str) else None for t in p[text]]
-            yield p
+            own = p["__known"] if "__known" in p else [None] * len(p)
+            p[into] = [finder(w).redact(t) if isinstance(t, str) else None for t, w in zip(p[text], own)]
+            yield p.drop(columns="__known", errors="ignore")
 
-    return spread(base).mapInPandas(run, base.schema.simpleString()[7:-1] + f",{into}:string")
+    return src.mapInPandas(run, base.schema.simpleString()[7:-1] + f",{into}:string")

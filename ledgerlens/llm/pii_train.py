@@ -1,8 +1,10 @@
 """Training texts and weights of the personal-information model.
 
-Texts are made from phrases and invented persons, with labels by construction; nothing is taken from a
-data table. ``python -m ledgerlens.llm.pii_train`` fits the weights by AdaGrad on the log-likelihood and
-writes ``pii_weights.json``; the number of texts is TEXTS, a bound that doesn't depend on any corpus.
+Texts are made from everyday phrases (letters, forms, lists, tickets, notices) and invented persons, with
+labels by construction; no phrase, role or name is taken from a data table. ``python -m
+ledgerlens.llm.pii_train`` fits the weights by AdaGrad on the log-likelihood and writes ``pii_weights.json``;
+the number of texts is TEXTS, a bound that doesn't depend on any corpus. ``unseen_texts`` holds phrases that
+training never uses, to measure recall on other wording.
 """
 
 from __future__ import annotations
@@ -11,16 +13,17 @@ import json
 import random
 from pathlib import Path
 
-from ledgerlens.llm.pii import GIVEN, PLAIN_WORD, SURNAME_ENDS, Doc, SemiCrf
+from ledgerlens.llm.pii import GIVEN, PLAIN_WORD, SHRINK, SURNAME_ENDS, Doc, SemiCrf
 
-TEXTS, HELD_OUT, EPOCHS, SEED = 4000, 400, 6, 5
+TEXTS, HELD_OUT, EPOCHS, SEED = 8000, 400, 8, 5
 ROOTS = "ash bel cald dar el far gren hal ing jor kel lor mor nev or pen quar ros sel tor ul van wyn yar zel thorn lind oak marl fen brad stav kess orr".split()
 TOWNS = ["Ashbrook", "Penwick Falls", "Little Marrow Cross", "Old Stanbury", "North Velden", "Carrow Bay", "Eastmoor", "Litten", "Great Sallow Cross", "Hartmoor", "Oakhaven", "Velmouth", "Upper Tarn"]
 STREET_NAMES = ["Mill", "Station", "Orchard", "Chapel", "Twelfth", "Harrow", "Bishop's", "Weaver's", "Kingfisher", "Old Bridge", "Lower Dock", "Juniper", "Meadow", "Grand Harbour"]
 KINDS = ["Street", "Lane", "Road", "Drive", "Walk", "Close", "Ave.", "Blvd", "St", "Row", "Court"]
-COMPANY = ["Velmar", "Tonsil", "Karvun", "Bremlo", "Zanwil", "Pelgan"]
-TOPICS = ["the interim accounts", "the budget file", "the lease list", "the quality review", "the loan covenant", "the tax schedule", "the supplier ledger", "the minutes of the board"]
-ROLES = ["the audit committee", "the trustee", "local management", "the lead bank", "the tax team", "an outside expert", "the buyer's counsel", "the finance director"]
+COMPANY = ["Norvale", "Quintessa", "Brightloom", "Pellworth", "Castorra", "Umbrel", "Tavenor"]
+TOPICS = ["the parcel", "the reading list", "the boiler repair", "the holiday rota", "the seating plan", "the prescription", "the library card", "the bus timetable", "the choir concert", "the garden fence"]
+ROLES = ["our reception desk", "the school office", "the landlord", "the clinic", "the night shift", "the travel agent", "the housing team", "the sports club", "the caretaker"]
+COMMON_SURNAMES = ["Price", "Banks", "Hill", "Grant", "Field", "Baker", "Marsh", "Wood", "Stone", "Rivers", "Church", "Small", "Long", "Young", "King", "Cook", "Page", "Bell"]
 
 
 class Maker:
@@ -37,14 +40,16 @@ class Maker:
         return "".join(self.c("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
 
     def surname(self) -> str:
-        s = (self.c(ROOTS) + self.c(SURNAME_ENDS[:24])).capitalize() if self.r.random() < 0.85 else (self.c(ROOTS) + self.c(ROOTS) + self.c(["a", "o", "is", "un"])).capitalize()
+        s = (self.c(ROOTS) + self.c(SURNAME_ENDS)).capitalize() if self.r.random() < 0.7 else (self.c(ROOTS) + self.c(ROOTS) + self.c(["a", "o", "is", "un", "er", "ing", "ol", "et"])).capitalize()
         return s
 
     def person(self) -> str:
         r = self.r
         g, s = self.c(sorted(GIVEN)).capitalize(), self.surname()
-        if r.random() < 0.25:  # a given name no list holds
-            g = (self.c(ROOTS) + self.c(["ia", "el", "ine", "uk", "ano", "isol"])).capitalize()
+        if r.random() < 0.45:  # a given name no list holds
+            g = (self.c(ROOTS) + self.c(["ia", "el", "ine", "uk", "ano", "isol", "ey", "ward", "bert", "rin"])).capitalize()
+        if r.random() < 0.12:  # a surname that is a common word, beside a given name of the list
+            g, s = self.c(sorted(GIVEN)).capitalize(), self.c(COMMON_SURNAMES)
         if r.random() < 0.08:
             s = s + "-" + self.surname()
         if r.random() < 0.05:
@@ -120,40 +125,30 @@ class Maker:
         r, n = self.r, self.num
         P, E, T, I, A = ("person_name", self.person()), ("email", self.email()), ("phone", self.phone()), ("national_id", self.nid()), ("street_address", self.address())
         o = lambda s: ("", s)
-        title = self.c(["", "", "", "Mr ", "Ms ", "Dr. ", "Prof. ", "Herr ", "Mme ", "Mrs "])
-        accounts = [f"Account {n(4)} {n(4)} {n(2)} shows {self.c(['goodwill', 'revenue', 'net debt', 'free cash flow', 'stock'])} of {n(3)}.{n(1)} million.", f"Account\n{n(4)} {n(4)} {n(2)} shows revenue of {n(2)}.{n(1)} million.", f"Account {n(4)}\n{n(4)} {n(2)} shows stock of {n(2)}.{n(1)} million.", f"Account {n(4)} {n(4)} {n(2)} shows\nnet debt of {n(3)}.{n(2)} million."]
+        title = self.c(["", "", "", "Mr ", "Ms ", "Dr. ", "Prof. ", "Herr ", "Mme ", "Mrs ", "Señora ", "Sig. ", "Mr. "])
+        X, d2, y4 = self.c(TOPICS), f"{r.randint(1, 28)}", f"20{n(2)}"
+        who, firm = self.c(ROLES), self.company()
+        amount = self.c([f"{n(2)}.{n(1)}", f"{n(3)}.{n(2)}", f"{n(1)},{n(3)}", f"{n(3)}"])
         plain = [
-            *accounts,
-            f"Account {n(4)} {n(4)} {n(2)} shows goodwill of {n(3)}.{n(1)} million.", f"Invoice {n(3)}-{n(2)}-20{n(2)} was paid late.", f"Reg. No. {n(7)} covers the rental arm.", f"Room {n(3)}, level {n(1)}, holds {self.c(TOPICS)}.", f"Version {n(2)}.{n(1)}.{n(3)} of {self.c(TOPICS)} is final.",
-            f"The {self.surname()} Act of 20{n(2)} limits dividends.", f"{self.surname()} & Sons Ltd sold the mill to {self.surname()} Holdings.", f"Range: {n(3)}-{n(2)} to {n(7)} units.", f"Handle @{self.c(COMPANY).lower()} was quoted in {self.c(TOPICS)}.", "The May and April counts of stock agree.", f"May Bridge and Grant Harbour are sites of {self.c(COMPANY)}.",
-            f"Model {self.c(COMPANY)} {n(3)} was shipped on 20{n(2)}-0{self.c('123456789')}-1{n(1)}.", f"{self.company()} said that revenue would not recover before FY20{n(2)}.", f"In the northern depots, net debt moved by {n(2)}.{n(1)} points after a longer thaw on the river.", f"Under IFRS {n(2)}.{n(1)} goodwill is restated.", f"{self.c(ROLES).capitalize()} met on Oct. {r.randint(1, 28)}, 20{n(2)} at 9.30 a.m. and confirmed {self.c(TOPICS)}.",
-            f"As at 30.{self.c('123456789')}.20{n(2)}, {self.company()} and its associates (incl. {self.company()}) carried revenue of CHF {n(3)}.{n(1)} mn.", f"The data room at room.{self.c(COMPANY).lower()}.example lists v{n(1)}.{n(2)} of {self.c(TOPICS)} as final.", f"Stock rose by {n(1)},{n(3)},{n(3)} and {n(3)} {n(3)} {n(3)} in 20{n(2)}.", f"Approx. {n(2)}.{n(1)}% of stock relates to the desk, bought under contract No. {n(3)}.", f"Account\n{n(4)} {n(4)} {n(2)} shows stock of {n(3)}.{n(1)} million.", f"Account {n(4)} {n(4)} {n(2)}\nshows net debt of {n(2)}.{n(1)} million.", f"Account {n(4)} {n(4)}\n{n(2)} shows revenue of {n(2)}.{n(1)} million.", f"The remaining stake is held by {self.company()} I{self.c(COMPANY)} posted net debt of {n(2)}.{n(1)} million.", f"Model {self.c(COMPANY)} {n(3)} was shipped on 20{n(2)}-1{n(1)}-2{n(1)}. ({n(2)}.{n(1)}%)", f"({n(2)}.{n(1)}%) 20{n(2)}-0{n(1)}-1{n(1)}: net debt fell. (20{n(2)}-0{n(1)}-1{n(1)})", f"{self.company()} {self.company()} filed late.", f"Notes to the accounts (20{n(2)})   {n(3)}", f"20{n(2)}-0{self.c('123456789')}-1{n(1)} - {n(3)} | net debt", f"20{n(2)}-1{self.c('012')}-0{self.c('123456789')} - Invoice {n(3)}-{n(2)}-20{n(2)} was paid late.", f"Note {n(1)}.{n(1)} restates cost for Q3 20{n(2)} at EUR {n(3)}.{n(1)}m, while fig. {n(1)} shows EUR {n(3)}.{n(2)}m.",
+            f"Savings account {n(4)} {n(4)} {n(2)} earned {amount} percent.", f"Konto {n(4)}\n{n(4)} {n(2)} holds {n(3)}.{n(1)} million.", f"Deposit account {n(4)} {n(4)}\n{n(2)} was closed.", f"Account no. {n(4)} {n(4)} {n(2)}; balance {n(2)}.{n(2)} million.", f"Account\n{n(4)} {n(4)} {n(2)} pays {n(2)}.{n(1)} a month.", f"Account {n(4)} {n(4)} {n(2)}\ncosts {n(2)}.{n(1)} a year.",
+            f"Order {n(3)}-{n(2)}-{y4} left the depot.", f"Bill {n(3)}-{n(2)}-{y4} is overdue.", f"Company number {n(7)} belongs to {firm}.", f"Registered under no. {n(7)} at the town hall.", f"Gate {n(3)}, row {n(1)}, is next to {X}.", f"Release {n(2)}.{n(1)}.{n(3)} fixes {X}.", f"Build v{n(1)}.{n(2)} of {X} is out.",
+            f"The {self.surname()} Treaty of {y4} still applies.", f"Under the {self.surname()} Act no fee is due.", f"{self.surname()} & Sons Ltd merged with {self.surname()} Holdings.", f"{self.surname()} Brothers plc opened a shop.", f"Scores ran from {n(3)}-{n(2)} up to {n(7)} points.", f"Between {n(3)}-{n(2)} and {n(7)} items were counted.", f"Follow @{self.c(COMPANY).lower()} for news on {X}.", f"Our handle @{self.c(COMPANY).lower()} posted {X}.",
+            "The April and June trains run late.", f"Grant Park and May Hill are stops near {self.c(TOWNS)}.", f"{self.c(sorted(GIVEN)).capitalize()} Street and {self.c(sorted(GIVEN)).capitalize()} Bridge are closed.", f"Victoria Harbour lies beyond King Road.", f"Type {self.c(COMPANY)} {n(3)} was sold on {y4}-0{self.c('123456789')}-1{n(1)}.", f"{firm} told readers that tickets would not return before {y4}.", f"In the old towns, rainfall moved by {n(2)}.{n(1)} points after a dry spring.",
+            f"See chapter {n(2)}.{n(1)} and table {n(1)}.", f"{who.capitalize()} met on {self.c(['Mar.', 'Sept.', 'Nov.'])} {d2}, {y4} at 8.15 p.m. and agreed on {X}.", f"On {d2}.{self.c('123456789')}.{y4}, {firm} and others (incl. {self.company()}) paid CHF {n(3)}.{n(1)} mn.", f"Files are kept at share.{self.c(COMPANY).lower()}.example as v{n(1)}.{n(2)}.", f"Visitors numbered {n(1)},{n(3)},{n(3)} and {n(3)} {n(3)} {n(3)} in {y4}.",
+            f"About {n(2)}.{n(1)}% of seats went to schools under contract no. {n(3)}.", f"({n(2)}.{n(1)}%) {y4}-0{n(1)}-1{n(1)}: rain again. ({y4}-0{n(1)}-1{n(1)})", f"{firm} {self.company()} closed early.", f"List of lots ({y4})   {n(3)}", f"{y4}-0{self.c('123456789')}-1{n(1)} - {n(3)} | lawn mower", f"{y4}-1{self.c('012')}-0{self.c('123456789')} - Order {n(3)}-{n(2)}-{y4} was sent.", f"Item {n(1)}.{n(1)} costs EUR {n(3)}.{n(1)} for Q3 {y4}, while no. {n(1)} costs EUR {n(3)}.{n(2)}.", f"The rest went to {firm} i{self.c(COMPANY)} sold {n(2)}.{n(1)} tons.", f"Does {X} matter to you?", f"Why was {X} moved?", f"Each {self.c(COMMON_SURNAMES).lower()} near the {self.c(COMMON_SURNAMES).lower()} is {self.c(['free', 'new', 'old'])}.", f"A {self.c(COMMON_SURNAMES).lower()}, a {self.c(COMMON_SURNAMES).lower()} and two {self.c(COMMON_SURNAMES).lower()} plans.", f"{self.c(['SUMMER FAIR', 'PRIVATE ROAD', 'LOST PROPERTY', 'NOTICE TO GUESTS'])} - {self.c(['LAST CALL', 'NO ENTRY', 'HALL ' + self.c(COMPANY).upper(), 'DOG ' + self.c(COMPANY).upper()])}", f"{self.c(COMPANY).upper()} {self.c(['CHOIR', 'LODGE', 'CLUB'])} - {self.c(['SPRING PROGRAMME', 'HOUSE RULES', 'OPEN DAY'])} {y4}", f"Under DIN {n(2)}.{n(1)} doors open outward.", f"{firm} Ltd. Type {self.c(COMPANY)} {n(3)} came late.", f"Nach Ansicht der Leitung bleibt {self.c(COMPANY)} offen.", f"It left on {y4}-0{self.c('123456789')}-1{n(1)}. U.S. visitors, i.e. most, stayed.", f"Shares of {self.c(COMPANY)} {self.c(COMPANY)} plc rose.", f"{self.c(COMPANY)} {self.c(COMPANY)} Ltd and {self.c(COMPANY)} {self.c(COMPANY)} N.V. share a gate.", f"The lease is held by {self.c(COMPANY)} S.A. Type {self.c(COMPANY)} {n(2)} is new.", f"It is owned by {self.c(COMPANY)} S.A. By {self.c(['Jan', 'June', 'May'])}. {y4} it closed.", f"{self.c(TOWNS)} and {self.c(TOWNS)} host {X}.", f"{self.c(COMPANY)} {self.c(TOWNS).split()[0]} opened on {self.c(['Monday', 'Friday'])}.", f"A {self.c(COMPANY)}-{self.c(COMPANY).lower()} pump and a {self.c(COMPANY)} {self.c(COMPANY)} pump failed.",
         ]
         if r.random() < 0.45:
-            return [o(self.c(accounts if r.random() < 0.15 else plain))]
-        poss = ("", "'s")
+            return [o(self.c(plain[:6] if r.random() < 0.15 else plain))]
+        Q = ("person_name", self.person())
         made = [
-            [o(f"{self.c(['Questions on', 'Requests for'])} {self.c(TOPICS)} go to "), P, o(", "), E, o(".")],
-            [o(f"{self.c(ROLES)} forwarded the file to "), E, o(", and "), P, o(" documented it.")],
-            [o(title), P, o(f" of {self.c(ROLES)} can be reached on "), T, o(" after closing.")],
-            [o("NAME: "), P, o(" ID: "), I, o(" ADDRESS: "), A],
-            [o("Payroll extract: "), P, o("; SSN "), I, o("; tel "), T, o(".")],
-            [o("The guarantor, "), P, o(" (ID "), I, o("), lives at "), A, o(".")],
-            [o(f"Send {self.c(TOPICS)} to "), A, o(", attention "), P, o(".")],
-            [o(f"Notices under clause {n(3)} are served at "), A, o(".")], [o("Former home of the founder: "), A, o(".")],
-            [o("The deed names "), A, o(" as registered residence of "), P, o(" and "), ("person_name", self.person()), o(".")],
-            [o("signed "), P, o(", witness "), ("person_name", self.person())],
-            [o("signed "), P, o(", witness "), ("person_name", self.person()), o(" " + self.c([f"{self.c(COMPANY)} reported net debt of {n(2)}.{n(1)} million.", f"I{self.c(COMPANY)} posted stock of {n(2)}.{n(1)} million.", f"{self.company()} said that stock fell.", f"Send {self.c(TOPICS)} to the trustee.", f"Version {n(1)}.{n(2)} of {self.c(TOPICS)} is final.", f"Does {self.c(TOPICS)} matter here?"]))],
-            [P, o(f" approved {self.c(TOPICS)} on {r.randint(1, 12)}.{r.randint(1, 30)}.20{n(2)}.")],
-            [P, o(f"{self.c(poss[1:])} bonus depends on {self.c(['revenue', 'net debt', 'stock'])}.")],
-            [o("Beneficial owner's tax number is "), I, o(".")], [o("Mailbox owner <"), E, o(f"> left in 20{n(2)}.")], [o("mailto:"), E, o(f"?subject=q{n(3)}")],
-            [o("Contact: "), E, o(" / "), T], [o("Tel: "), T], [o("Fax "), T, o("; invoices to "), E, o(f"; ref. {n(3)}-{n(2)}.")],
-            [o("Le signataire, M. "), P, o(", demeure "), A, o(".")], [o("La persona de contacto es "), P, o(" ("), E, o(").")], [o("Zuständig ist "), P, o(", Tel. "), T, o(", Anschrift: "), A, o(".")], [o("Nach Auskunft von "), P, o(" ("), E, o(f") fehlt {n(2)}.")],
-            [o(f"It was "), P, o(f" who accepted {self.c(TOPICS)}, not "), ("person_name", self.person()), o(".")],
-            [o(f"Director since 20{n(2)}: "), P, o(", passport "), I], [o(f"{n(3)} | "), P, o(" | "), I, o(f" | {n(3)}.{n(2)}")], [o("employee "), I, o(f" left in 20{n(2)}, {self.c(ROLES)} confirmed")],
-            [o(f"{self.c(ROLES)} paid ${n(3)}.{n(1)}m to "), P, o(f" in 20{n(2)}.")], [o(f"After staff changes, {self.c(ROLES)} replaced "), P, o(" as site controller.")], [o("Kind regards,\n"), P, o("\n"), o("Tel: "), T],
-            [o(f"Per call with "), P, o(f", {self.c(ROLES)} shipped it.")], [P, o(" and "), ("person_name", self.person()), o(f" explained {self.c(TOPICS)}.")], [o(title), P, o(f" could not reconcile {self.c(TOPICS)}.")],
-            [o("Employee card "), I, o(" was issued to "), P, o(".")], [o("Reach me at "), E, o(" or on "), T, o(".")],
+            [o(f"Please return {X} to "), P, o(" ("), E, o(").")], [o(f"{who.capitalize()} wrote to "), E, o(", and "), P, o(" answered.")], [o(title), P, o(f" at {who} answers on "), T, o(" after lunch.")],
+            [o("Full name: "), P, o("\nNumber: "), I, o("\nAddress: "), A], [o("FULL NAME: "), P, o("  CARD: "), I, o("  HOME: "), A], [o("Applicant "), P, o("; SSN "), I, o("; phone "), T, o(".")], [P, o("\t"), I, o("\t"), T], [P, o("; "), E, o("; "), T, o(";")], [o("| "), P, o(" | "), T, o(" | "), E, o(" |")], [o(f"{n(2)} | "), P, o(" | "), I, o(f" | {n(2)}.{n(1)}")], [o(f"{n(4)},"), E, o(","), I, o(f",{n(2)}")],
+            [o("The tenant, "), P, o(" (ID "), I, o("), moved to "), A, o(".")], [o(f"Deliver {X} to "), A, o(", care of "), P, o(".")], [o("Our new office is at "), A, o(".")], [o("He was born at "), A, o(".")], [o("Ship to: "), A], [o("Meet us outside "), A, o(".")], [o("The will leaves "), A, o(" to "), P, o(" and "), Q, o(".")],
+            [o("Played by "), P, o(", coached by "), Q], [o("signed "), P, o(", witness "), Q, o(" " + self.c([f"{self.c(COMPANY)} sold {n(2)}.{n(1)} tons.", f"i{self.c(COMPANY)} sold {n(2)}.{n(1)} tons.", f"{firm} said that it rained.", f"Bring {X} to the desk.", f"Release {n(1)}.{n(2)} of {X} is out.", f"Does {X} matter here?"]))], [o("signed "), P, o(", witness "), Q],
+            [P, o(f" booked {X} on {r.randint(1, 12)}.{r.randint(1, 28)}.{y4}.")], [P, o(f"{self.c(['’s', chr(39) + 's'])} ticket includes {X}.")], [o("The taxpayer's number is "), I, o(".")], [o("Sender <"), E, o(f"> was blocked in {y4}.")], [o("mailto:"), E, o(f"?subject=n{n(3)}")], [o("Write: "), E, o(" / "), T], [o("Mobile: "), T], [o("Fax "), T, o("; mail "), E, o(f"; ref. {n(3)}-{n(2)}.")], [o("Call "), T, o(" before noon.")], [o("Ring "), T, o(f" and ask about {X}.")],
+            [o(self.c(["Monsieur ", "Chez M. ", "Avec M. "])), P, o(self.c([", domicilié ", ", au "])), A, o(".")], [o(self.c(["Chez M. ", "Par M. "])), P, o(" on mange bien.")], [o("According to "), P, o(f", {X} is fine.")], [o(f"{who.capitalize()} blamed "), P, o(" for it.")], [o("Guests: "), P, o(", "), Q, o(f" and {who}.")], [o(f"{X.capitalize()} goes to "), P, o(", "), E, o(".")], [o("Bonjour, je suis "), P, o(" ("), E, o(").")], [o("Soy "), P, o(", teléfono "), T, o(".")], [o("La clase es con "), P, o(" ("), E, o(").")], [o("Ansprechpartner: "), P, o(", Telefon "), T, o(", wohnhaft "), A, o(".")], [o(self.c(["Laut ", "Nach Angabe von ", "Im Auftrag von ", "Auf Wunsch von ", "Mit Dank an ", "Aus Sicht von "])), P, o(" ("), E, o(f") kostet es {n(2)}.")], [o(self.c(["Nach Angabe von ", "Auf Bitte von ", "Im Namen von ", "Mit Hilfe von "])), P, o(" wird gebaut.")], [o(f"They paid ${n(3)}.{n(1)}m to "), P, o(f" in {y4}.")], [o(f"{who.capitalize()} wrote to "), E, o(", and "), P, o(f" forgot it.")], [o(f"Call to "), P, o(f" - {who} waits.")], [o("Il corso è tenuto da "), P, o(", "), A, o(".")],
+            [o("The winner was "), P, o(f", who won {X}, not "), Q, o(".")], [o(f"Member since {y4}: "), P, o(", passport "), I], [o("Traveller "), I, o(f" boarded in {y4}, {who} said")], [o("employee "), I, o(f" moved in {y4}, {who} noted")], [o(f"{who.capitalize()} lent ${n(3)}.{n(1)}m to "), P, o(f" in {y4}.")], [o(f"After the summer, {who} hired "), P, o(" as goalkeeper.")], [o("Best wishes,\n"), P, o("\n"), o("Tel: "), T], [o("Yours sincerely,\n\n"), P], [o("Dear "), P, o(f", thank you for {X}.")],
+            [o("As told by "), P, o(f", {who} fixed it.")], [P, o(" and "), Q, o(f" painted {X}.")], [o(title), P, o(f" could not find {X}.")], [o("Badge "), I, o(" was handed to "), P, o(".")], [o("Contact me by "), E, o(" or by "), T, o(".")], [P, o(f" lost {X} in {self.c(TOWNS)}.")], [P, o(f" and {who} {self.c(['sold', 'moved', 'cleaned', 'liked'])} {X}.")], [P, o(f" {self.c(['sings', 'waits', 'read', 'wants', 'sold'])} {self.c(['well', 'again', X])}.")], [o(f"Where did "), P, o(f" leave {X}?")],
         ]
         return self.c(made)
 
@@ -175,6 +170,25 @@ def made_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]
     return [m.text() for _ in range(n)]
 
 
+def unseen_texts(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts of wording that training doesn't use: minutes, police notes, adverts, invitations, log lines."""
+    m, out = Maker(seed), []
+    for _ in range(n):
+        P, Q, E, T, I, A = ("person_name", m.person()), ("person_name", m.person()), ("email", m.email()), ("phone", m.phone()), ("national_id", m.nid()), ("street_address", m.address())
+        frame = m.c([
+            ["Present: ", P, ", ", Q, " (chair). Apologies were noted."], ["The car was registered to ", P, " of ", A, "."], ["For sale: one piano. Phone ", T, " or mail ", E, "."], ["Please join ", P, " and ", Q, f" for supper at ", A, "."], [f"{m.num(2)}:{m.num(2)} login by ", E, " failed twice."],
+            ["Holder's identity number ", I, " does not match."], ["Minutes taken by ", P, "."], ["Driver ", P, " (passport ", I, ") was stopped."], ["Reservations: ", T, "."], ["Reply to ", E, " by Friday."], ["We thank ", P, " for the cake."], [f"Invoice {m.num(3)}-{m.num(2)}-20{m.num(2)} names {m.company()}."], ["Parcel for ", P, ", ", A, ", fragile."],
+        ])
+        text, gold = "", []
+        for x in frame:
+            t = x if isinstance(x, str) else x[1]
+            if not isinstance(x, str):
+                gold.append((len(text), len(text) + len(t), x[0]))
+            text += t
+        out.append((text, gold))
+    return out
+
+
 def small_words(texts: list[tuple[str, list]]) -> set[str]:
     """Words the phrases write small (as ``known_words`` finds them in a corpus)."""
     from collections import Counter
@@ -186,7 +200,8 @@ def small_words(texts: list[tuple[str, list]]) -> set[str]:
         for w in regex.findall(PLAIN_WORD, t):
             n[w.lower()] += 1
             small[w.lower()] += w.islower()
-    return {w for w in n if n[w] >= 3 and small[w] >= 0.5 * n[w]}
+    # Surnames that are common words would be known in any corpus, though these texts mostly write them large.
+    return {w.lower() for w in COMMON_SURNAMES} | {w for w in n if small[w] >= 0.5 * (n[w] + SHRINK) and len(w) >= 2}
 
 
 def gold_arcs(d: Doc, gold: list[tuple[int, int, str]]) -> set[tuple[int, int, str]]:
@@ -234,7 +249,7 @@ def accuracy(weights: dict[str, float], texts: list[tuple[str, list[tuple[int, i
 def main() -> None:
     weights = fit(made_texts(TEXTS, SEED))
     (Path(__file__).parent / "pii_weights.json").write_text(json.dumps(weights, ensure_ascii=False, indent=0, sort_keys=True), encoding="utf-8")
-    print(len(weights), accuracy(weights, made_texts(HELD_OUT, SEED + 1)))
+    print(len(weights), accuracy(weights, made_texts(HELD_OUT, SEED + 1)), accuracy(weights, unseen_texts(HELD_OUT, SEED + 2)))
 
 
 if __name__ == "__main__":

@@ -447,3 +447,28 @@ def test_large_sentence_models_are_joined(spark, monkeypatch):
     small = sorted(tuple(x) for x in sentences.split_sentences(d, m).collect())
     monkeypatch.setattr(sentences, "MOST_MODEL", 10)
     assert sorted(tuple(x) for x in sentences.split_sentences(d, m).collect()) == small and len(small) > 400
+
+
+def test_long_addresses_and_known_surnames():
+    known = {"price", "banks", "grant", "the", "was", "here", "written", "by", "street", "and"}
+    f = pii.PiiFinder(known)
+    local, domain = "a" * 95, ".".join(["part"] * 9 + ["example"])
+    t = f"Contact: {local}@{domain} was here"
+    assert (9, 9 + len(local) + 1 + len(domain), "email") in f.find(t)
+    for name in ("Anna Price", "John Banks", "Paul Grant"):
+        assert (0, len(name), "person_name") in f.find(f"{name} and the clinic painted the fence.")
+
+
+def test_many_known_words_are_joined(spark, monkeypatch):
+    texts = [(str(k), t) for k, (t, _) in enumerate(pii_train.made_texts(60, 77))] + [("e", ""), ("n", None), ("0", pii_train.made_texts(1, 77)[0][0])]
+    d = spark.createDataFrame(texts, "rec string, text string")
+    plain = sorted(tuple(r) for r in pii.find_pii(d, ["rec"]).collect())
+    red = sorted(map(str, pii.redact_pii(d).collect()))
+    monkeypatch.setattr(pii, "MOST_KNOWN", 10)
+    assert sorted(tuple(r) for r in pii.find_pii(d, ["rec"]).collect()) == plain and len(plain) > 30
+    assert sorted(map(str, pii.redact_pii(d).collect())) == red
+
+
+def test_recall_on_unseen_wording():
+    got = pii_train.accuracy(pii.load_weights(), pii_train.unseen_texts(300, 123))
+    assert all(p >= 0.85 and r >= 0.85 for p, r in got.values()), got
