@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton over the list's names and their aliases finds embedded mentions; the longest
 non-overlapping matches win. A name that its mentions don't explain goes to token-set similarity with
-typing errors and abbreviations allowed. What stays below the threshold is reported as unmatched (0).
+typing errors and abbreviations allowed. Names outside the list that never stand beside an entry are learned
+as its aliases. What stays below the threshold is reported as unmatched (0).
 
 Defined results: a null name gives no row in name_mappings; an empty or sign-only name is unmatched; an
 empty list leaves every name unmatched; equal names get equal entries. A tie between entries goes to the
@@ -17,84 +18,79 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import bounded_rows, broadcast_if_small
+from ledgerlens.session import bounded_rows, broadcast_if_small, shared_checkpoint, spread
 
-# Other names of accounts in common accounting usage.
+# Other names of accounts in common accounting usage (textbook synonyms and abbreviations).
 ALIASES = {
     "Cash at bank and on hand": ["bank balances", "liquid funds", "cash and cash equivalents", "cash and bank", "cash in hand", "cash"],
-    "Trade receivables": ["debtors", "due from customers", "accounts receivable", "owed by customers", "amounts owed by customers", "customer receivables"],
-    "Inventories": ["stock on hand", "goods held for sale", "inventory", "stocks", "stock in trade", "merchandise"],
-    "Prepayments and advances": ["prepaid costs", "amounts paid in advance", "prepaid expenses", "prepayments"],
-    "Contract assets": ["unbilled revenue", "accrued income on projects", "accrued revenue"],
-    "Total current assets": ["sum of short term assets", "short term assets total"],
-    "Land and buildings": ["freehold premises", "real estate", "premises", "property"],
-    "Plant and machinery": ["production equipment", "machines", "machinery", "equipment"],
+    "Trade receivables": ["debtors", "accounts receivable"],
+    "Inventories": ["stock on hand", "inventory", "stocks", "stock in trade", "merchandise"],
+    "Prepayments and advances": ["prepaid expenses", "prepayments"],
+    "Contract assets": ["unbilled revenue", "accrued revenue"],
+    "Land and buildings": ["real estate", "property"],
+    "Plant and machinery": ["machinery", "equipment"],
     "Right-of-use assets": ["rou", "leased assets", "rou assets", "assets under lease"],
-    "Purchased goodwill": ["excess of cost over net assets", "acquired goodwill", "goodwill"],
+    "Purchased goodwill": ["acquired goodwill", "goodwill"],
     "Development costs capitalised": ["capitalised r&d", "capitalised development", "capitalized development costs", "capitalised r d"],
     "Deferred tax asset": ["dta", "future tax benefit"],
-    "Total assets": ["balance sheet total", "sum of assets"],
-    "Trade payables": ["creditors", "owed to suppliers", "accounts payable", "due to suppliers", "supplier payables"],
-    "Bank overdrafts": ["overdrawn accounts", "overdraft", "overdrafts", "bank overdraft"],
+    "Total assets": ["balance sheet total"],
+    "Trade payables": ["creditors", "accounts payable", "due to suppliers"],
+    "Bank overdrafts": ["overdraft", "bank overdraft"],
     "Accrued expenses payable": ["accruals", "accrued liabilities", "accrued costs"],
-    "Contract liabilities": ["billings in advance", "customer deposits", "deferred revenue", "advance billings"],
-    "Current tax payable": ["tax due within one year", "income tax payable", "current tax liability"],
-    "Total current liabilities": ["sum of short term liabilities", "short term liabilities total"],
-    "Long-term borrowings": ["lt debt", "loans due after one year", "long term debt", "long term loans", "non current borrowings"],
+    "Contract liabilities": ["customer deposits", "deferred revenue"],
+    "Current tax payable": ["income tax payable", "current tax liability"],
+    "Long-term borrowings": ["lt debt", "long term debt", "long term loans", "non current borrowings"],
     "Lease liabilities": ["obligations under leases", "lease obligations"],
     "Retirement benefit obligations": ["pension deficit", "pension obligations", "pension liability", "post employment benefits"],
     "Deferred tax liability": ["dtl", "future tax liability"],
-    "Provisions for restoration": ["decommissioning reserve", "asset retirement obligation", "restoration provision", "site clean up provision"],
-    "Total liabilities": ["all debts and obligations", "sum of liabilities"],
-    "Share capital": ["issued capital", "paid up stock", "common stock", "paid in capital", "capital stock"],
+    "Provisions for restoration": ["asset retirement obligation", "restoration provision"],
+    "Share capital": ["issued capital", "common stock", "paid in capital", "capital stock"],
     "Share premium": ["capital in excess of par", "additional paid in capital", "apic", "premium on shares"],
-    "Retained earnings": ["accumulated profits", "profit carried forward", "earnings kept", "profits kept"],
+    "Retained earnings": ["accumulated profits", "profit carried forward"],
     "Own shares held": ["treasury stock", "treasury shares", "own shares"],
-    "Minority interests": ["outside shareholders", "non controlling interests", "nci", "noncontrolling interests"],
+    "Minority interests": ["non controlling interests", "nci", "noncontrolling interests"],
     "Total equity": ["net worth", "shareholders funds", "shareholders equity", "owners equity"],
-    "Shares in issue": ["issued share count", "shares outstanding", "number of shares in issue"],
-    "Investment property area": ["lettable ground", "lettable area", "rentable area"],
+    "Shares in issue": ["shares outstanding", "number of shares in issue"],
+    "Investment property area": ["rentable area"],
     "Revenue from contracts": ["turnover", "net sales", "sales", "revenue", "revenues", "top line"],
     "Other operating income": ["sundry income", "other income", "miscellaneous income"],
     "Cost of sales": ["cogs", "direct costs", "cost of goods sold", "cost of revenue"],
-    "Gross profit": ["trading margin amount", "gross margin amount"],
     "Staff costs": ["payroll", "wages and salaries", "personnel expenses", "employee costs"],
     "Marketing and distribution costs": ["selling expenses", "sales and marketing", "distribution expenses"],
     "Administrative expenses": ["overheads", "g&a", "g a", "general and administrative", "admin costs"],
     "Research expenditure": ["r&d", "r d", "research and development", "research costs"],
-    "Depreciation and amortisation": ["d&a", "d a", "wear and tear charge", "depreciation", "write downs of fixed assets"],
+    "Depreciation and amortisation": ["d&a", "d a", "depreciation"],
     "Operating profit": ["ebit", "result from operations", "operating income", "operating result"],
     "Finance income": ["interest received", "interest income", "financial income"],
-    "Finance costs": ["interest paid and similar charges", "interest expense", "interest costs", "financial expenses"],
+    "Finance costs": ["interest expense", "interest costs", "financial expenses"],
     "Profit before tax": ["pbt", "pre tax result", "pretax profit", "earnings before tax", "ebt", "pre tax profit"],
     "Income tax charge": ["taxation", "tax expense", "income tax expense", "tax charge"],
     "Profit for the period": ["net income", "bottom line", "net profit", "profit for the year", "net result"],
     "Basic earnings per share": ["eps", "basic eps", "earnings per share"],
     "Weighted average share count": ["wasc", "average number of shares", "average shares outstanding", "weighted average shares"],
     "Operating margin": ["ebit to sales", "return on sales", "ebit margin"],
-    "Effective tax rate": ["etr", "tax as share of profit", "tax rate"],
-    "Energy consumed": ["power and fuel used", "energy use", "energy consumption"],
-    "Goods shipped by weight": ["dispatched weight", "tonnage shipped", "shipped weight"],
+    "Effective tax rate": ["etr", "tax rate"],
+    "Energy consumed": ["energy use", "energy consumption"],
     "Share-based payment expense": ["stock comp", "stock based compensation", "share options charge", "stock compensation"],
-    "Working capital movement": ["change in net operating assets", "change in working capital", "movement in working capital"],
-    "Income taxes paid": ["tax outflow", "taxes paid", "cash taxes", "tax paid"],
-    "Cash generated from operations": ["cfo", "operating inflow", "operating cash flow", "cash from operations"],
+    "Working capital movement": ["change in working capital", "movement in working capital"],
+    "Income taxes paid": ["taxes paid", "cash taxes", "tax paid"],
+    "Cash generated from operations": ["cfo", "operating cash flow", "cash from operations"],
     "Purchase of fixed assets": ["capex", "additions to ppe", "capital expenditure", "capital expenditures", "additions to pp&e"],
-    "Acquisition of subsidiaries": ["businesses bought", "business combinations", "purchase of businesses"],
-    "Proceeds from disposals": ["asset sale receipts", "sale of assets", "disposal proceeds"],
-    "Cash used in investing": ["cfi", "investing outflow", "investing cash flow"],
-    "New loans drawn": ["debt raised", "borrowings raised", "proceeds from loans", "loans raised"],
-    "Repayment of borrowings": ["debt paid back", "loans repaid", "debt repaid", "repayment of loans"],
-    "Dividends distributed": ["payout to owners", "dividends paid", "distributions to owners"],
-    "Cash from financing": ["cff", "financing inflow", "financing cash flow"],
-    "Exchange differences on cash": ["fx effect", "fx effects", "currency effect on cash", "effect of exchange rates"],
-    "Net movement in cash": ["change in liquid funds", "net change in cash", "change in cash"],
-    "Opening cash balance": ["cash b/f", "cash b f", "cash brought forward", "cash at start", "opening cash"],
-    "Closing cash balance": ["cash c/f", "cash c f", "cash carried forward", "cash at end", "closing cash"],
-    "Cash conversion rate": ["share of profit turned to cash", "cash conversion"],
+    "Acquisition of subsidiaries": ["business combinations", "purchase of businesses"],
+    "Proceeds from disposals": ["sale of assets", "disposal proceeds"],
+    "Cash used in investing": ["cfi", "investing cash flow"],
+    "New loans drawn": ["proceeds from loans"],
+    "Repayment of borrowings": ["repayment of loans"],
+    "Dividends distributed": ["dividends paid", "distributions to owners"],
+    "Cash from financing": ["cff", "financing cash flow"],
+    "Exchange differences on cash": ["fx effect", "fx effects", "effect of exchange rates"],
+    "Net movement in cash": ["net change in cash", "change in cash"],
+    "Opening cash balance": ["cash b/f", "cash b f", "cash brought forward", "opening cash"],
+    "Closing cash balance": ["cash c/f", "cash c f", "cash carried forward", "closing cash"],
+    "Cash conversion rate": ["cash conversion"],
 }
 # Abbreviations of words in account names.
 SHORT = {
@@ -112,6 +108,8 @@ NOISE = frozenset("less net note of the and on at in for from by to a an".split(
 DROPPED = frozenset("less net note".split())
 AT_LEAST = 0.84
 MOST_ENTRIES = 200_000
+#: Distinct names that may travel with every task; beyond that they are joined by a shuffle.
+SMALL_NAMES = 500_000
 SEP = "\x1f"
 
 
@@ -147,9 +145,10 @@ def edits(a: str, b: str, most: int) -> int:
 class CanonicalMapper:
     """The mapper of one list; ``entries`` are (id, group, canonical name)."""
 
-    def __init__(self, entries: list[tuple[int, str, str]], aliases: dict[str, list[str]] = ALIASES, at_least: float = AT_LEAST):
+    def __init__(self, entries: list[tuple[int, str, str]], aliases: dict[str, list[str]] | None = None, at_least: float = AT_LEAST):
         import ahocorasick
 
+        aliases = aliases or {}
         self.at_least = at_least
         self.auto: dict[str, object] = {}
         self.words: dict[str, dict[str, set[str]]] = {}
@@ -274,32 +273,81 @@ class CanonicalMapper:
         return got / total if total else 0.0
 
 
-def map_names(items: DataFrame, entries: DataFrame, group: str, name: str, list_group: str, list_id: str, list_name: str, keep: list[str], at_least: float = AT_LEAST) -> DataFrame:
+def learn_aliases(seen: DataFrame, most_chance: float = 0.05) -> DataFrame:
+    """(g, key, learned): names outside the list that stand for an entry, told by what they stand beside.
+
+    ``seen`` (g, case, key, id): the names of each case (a statement), by their words, with the entry found or 0. A
+    case names an entry once; so an unknown name that stands in many cases, but never beside an entry which cases of
+    its group often have, is another name of that entry. The evidence is the log-likelihood ratio of the few common
+    cases against the entry's share of all cases; it must be beyond chance over all names and entries tried
+    (``most_chance``), and the entry must be the only one of its name. Counts cover all cases; names are compared only
+    with entries of at least a twentieth of the group's cases, which number at most twenty times the names a case has.
+    """
+    cases = seen.groupBy("g").agg(F.count_distinct("case").alias("n_cases"))
+    have = seen.where("id > 0").select("g", "case", "id").distinct()
+    share = have.groupBy("g", "id").agg(F.count("*").alias("k")).join(cases, "g").select("g", "id", (F.col("k") / F.col("n_cases")).alias("p")).where("p >= 0.05 and p < 1")
+    unknown = seen.where("id = 0 and key <> ''").select("g", "case", "key").distinct()
+    often = unknown.groupBy("g", "key").agg(F.count("*").alias("n")).where("n >= 5")
+    beside = unknown.join(often.select("g", "key"), ["g", "key"], "left_semi").join(have, ["g", "case"]).groupBy("g", "key", "id").agg(F.count("*").alias("c"))
+    pairs = often.join(share, "g").join(beside, ["g", "key", "id"], "left").withColumn("q", F.coalesce("c", F.lit(0)) / F.col("n"))
+    tried = pairs.agg(F.log(F.count("*") / F.lit(most_chance)).alias("limit"))
+    q, pr = F.greatest("q", F.lit(1e-9)), F.col("p")
+    llr = F.col("n") * (q * F.log(q / pr) + (1 - q) * F.log((1 - q) / (1 - pr)))
+    fit = pairs.where("q < 0.1 * p").withColumn("llr", llr).join(F.broadcast(tried)).where("llr >= limit")
+    return fit.groupBy("g", "key").agg(F.max_by("id", "llr").alias("learned"), F.count("*").alias("m")).where("m = 1").select("g", "key", "learned")
+
+
+def map_names(items: DataFrame, entries: DataFrame, group: str, name: str, list_group: str, list_id: str, list_name: str, keep: list[str], aliases: DataFrame | None = None, within: str | None = None, at_least: float = AT_LEAST) -> DataFrame:
     """Rows of ``items`` (columns ``keep``, group, name) with canonical_id (0: unmatched), match_kind, score.
 
-    The list is a stated reference list: its size is checked and it travels with the task. There is no
-    shuffle; each Python worker remembers the names it has mapped.
+    ``aliases`` (name, alias) are other names of entries; ``within`` names a column whose rows belong together, by
+    which further aliases are learned (see ``learn_aliases``). The list and the aliases are stated and checked in
+    size. Each distinct name is mapped once and joined back; items themselves are not shuffled while the distinct
+    names are few enough to travel.
     """
     rows = bounded_rows(entries.select(F.col(list_id).cast("int").alias("i"), F.col(list_group).cast("string").alias("g"), F.col(list_name).alias("n")).where("i is not null and g is not null and n is not null").distinct(), MOST_ENTRIES, "reference list")
     listed = [(r["i"], r["g"], r["n"]) for r in rows]
+    others: dict[str, list[str]] = {}
+    for r in bounded_rows(aliases.select("name", "alias").where("name is not null and alias is not null").distinct(), MOST_ENTRIES, "aliases") if aliases is not None else []:
+        others.setdefault(r["name"], []).append(r["alias"])
     src = items.select(*dict.fromkeys([*keep, group, name]))
-    out = src.schema.simpleString()[7:-1] + ",canonical_id:int,match_kind:string,score:double"
+    typed = items.where(F.col(name).isNotNull() & F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(name).alias("n"), *([F.col(within).alias("case")] if within else []))
+
+    def mapping(known: dict[str, list[str]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            mapper = CanonicalMapper(listed, {k: sorted(v) for k, v in known.items()}, at_least)
+            for b in batches:
+                got = [mapper.map(g, n) for g, n in zip(b["g"], b["n"])]
+                yield pd.DataFrame({"g": b["g"], "n": b["n"], "key": [" ".join(words_of(n)) for n in b["n"]], "id": [x[0] for x in got], "match_kind": [x[1] for x in got], "score": [x[2] for x in got]}).astype({"id": "int32", "score": "float64"})
+
+        return run
+
+    schema = "g string, n string, key string, id int, match_kind string, score double"
+    mapped = shared_checkpoint(spread(typed.select("g", "n").distinct()).mapInPandas(mapping(others), schema))
+    if within:
+        seen = typed.where("case is not null").distinct().join(broadcast_if_small(mapped.select("g", "n", "key", "id"), SMALL_NAMES), ["g", "n"])
+        called = {i: n for i, _, n in listed}
+        more = {k: list(v) for k, v in others.items()}
+        for r in bounded_rows(learn_aliases(seen.select("g", "case", "key", "id")), MOST_ENTRIES, "learned aliases"):
+            more.setdefault(called[r["learned"]], []).append(r["key"])
+        # What had no entry is mapped again, now that more aliases are known, with its errors of typing.
+        again = mapped.where("id = 0").select("g", "n").mapInPandas(mapping(more), schema).withColumn("match_kind", F.when(F.col("id") > 0, "learned").otherwise("none"))
+        mapped = shared_checkpoint(mapped.where("id > 0").unionByName(again))
+    found = mapped.select(F.col("g").alias("__g"), F.col("n").alias("__n"), "id", F.col("match_kind").alias("__kind"), F.col("score").alias("__score"))
+    j = src.join(broadcast_if_small(found, SMALL_NAMES), (F.col(group).cast("string") == F.col("__g")) & (F.col(name) == F.col("__n")), "left")
+    own = [F.col(c) for c in src.columns if c not in ("canonical_id", "match_kind", "score")]
+    return j.select(*own, F.when(F.col(name).isNotNull(), F.coalesce("id", F.lit(0))).cast("int").alias("canonical_id"), F.coalesce("__kind", F.lit("none")).alias("match_kind"), F.coalesce("__score", F.lit(0.0)).alias("score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mapper = CanonicalMapper(listed, at_least=at_least)
-        for b in batches:
-            got = [mapper.map(g, n) if isinstance(n, str) and isinstance(g, str) else (0 if isinstance(n, str) else None, "none", 0.0) for g, n in zip(b[group], b[name])]
-            b["canonical_id"] = pd.array([x[0] for x in got], dtype="Int32")
-            b["match_kind"] = [x[1] for x in got]
-            b["score"] = [x[2] for x in got]
-            yield b
 
-    return src.mapInPandas(run, out)
+def accounting_aliases(spark: SparkSession) -> DataFrame:
+    """The aliases of ALIASES as a table (name, alias)."""
+    return spark.createDataFrame([(n, a) for n, xs in ALIASES.items() for a in xs], "name string, alias string")
 
 
 def account_mappings(items: DataFrame, accounts: DataFrame) -> DataFrame:
     """item_id, account_id of each item whose name is not letter for letter an account of its statement."""
     listed = accounts.select(F.col("statement").alias("statement_type"), F.col("account").alias("name")).where("name is not null").distinct()
-    typed = items.where(F.col("name").isNotNull()).select("item_id", "statement_type", "name")
-    other = typed.join(broadcast_if_small(listed, MOST_ENTRIES), ["statement_type", "name"], "left_anti")
-    return map_names(other, accounts, "statement_type", "name", "statement", "account_id", "account", ["item_id"]).select("item_id", F.col("canonical_id").alias("account_id")).distinct()
+    own = items.where(F.col("name").isNotNull()).select("item_id", "statement_id", "statement_type", "name")
+    m = map_names(own, accounts, "statement_type", "name", "statement", "account_id", "account", ["item_id"], accounting_aliases(items.sparkSession), "statement_id")
+    other = m.join(broadcast_if_small(listed, MOST_ENTRIES), ["statement_type", "name"], "left_anti")
+    return other.select("item_id", F.col("canonical_id").alias("account_id")).distinct()

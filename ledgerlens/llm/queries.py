@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The report of values that no entry of the list fits, with their counts."""
     li = table(spark, d, "line_items").where("name is not null")
-    m = canonical.map_names(li, table(spark, d, "accounts"), "statement_type", "name", "statement", "account_id", "account", [])
+    m = canonical.map_names(li, table(spark, d, "accounts"), "statement_type", "name", "statement", "account_id", "account", [], canonical.accounting_aliases(spark), "statement_id")
     return m.where("canonical_id = 0").groupBy("statement_type", "name").agg(F.count("*").alias("n_items"))
 
 
