@@ -1,11 +1,13 @@
 """Repair of text from scanned pages.
 
-A word that is not credible as printed is looked up completely: an automaton of its optical confusions is
-intersected with a trie of the corpus vocabulary, and every word that up to two confusions explain, however
-many edits they need, is ranked by frequency, channel and neighbours. Then page numbers and running headers are removed, words
+A word that is not credible as printed is looked up completely: automata of its optical confusions (every
+word that up to two explain, however many edits they need) and, where none explains it, of its Levenshtein
+distance are intersected with a trie of the corpus vocabulary; all finds are ranked by frequency, by the costs of
+confusions as the corpus has them, and by neighbours. Then page numbers and running headers are removed, words
 split over line ends are joined and the lines reflowed into paragraphs.
 
-Only wrapped text (lines that end where the next word did not fit) is taken for a scan; other texts,
+Only wrapped text (lines that end where the next word did not fit, or that split a known word) is taken for a
+scan; other texts,
 tables included, are returned unchanged. Null and blank content gives no findings and is kept; repeated
 chunks give repeated rows unless the caller drops them; an empty corpus repairs nothing.
 """
@@ -38,9 +40,17 @@ _PLAIN = str.maketrans("0156+", "olsbt")
 HYPHENS = "-‐¬­‑"
 _EDGE = ".,;:!?()[]{}\"“”„«»'‘’…*•$€£¥₹%#~=<>"
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_WHOLE_WORD, _ANY_LETTER = re.compile(_WORD), re.compile(r"[^\W\d_]")
+_NET = re.compile(r"[@/\\]|\.\w+\.|\w\.\w{3,}")
+_CODE = re.compile(r"(?:FY|Q|H|v|V|No)?[\d.,:/-]+(?:[a-zA-Z%]{1,2})?|[A-Z]{1,3}\d+[A-Z]*|\d+[A-Za-z]{1,3}")
+_SIGN_IN_WORD = re.compile(r"[A-Za-z]+[0156+][a-z]+|[A-Za-z][a-z]{2,}[0156+]")
+_NUMERIC, _HAS_DIGIT = re.compile(r"((?:FY|Q|v)?)([\dlIOo|][\dlIOo|.,'’]*)((?:m|mn|bn|x|k|st|nd|rd|th)?)"), re.compile(r"\d")
+_GAPS, _SPLIT = re.compile(r"\S\s{3,}\S"), re.compile(rf"[^\W\d_][{HYPHENS}]$")
 _PAGE = re.compile(r"^\s*\W{0,3}(?:(?:page|pg\.?|p\.?|seite|página|pagina|s\.)\s*)?[\[(—–-]*\s*([0-9lIOo]{1,4})\s*(?:(?:of|/|von|de)\s*[0-9lIOo]{1,4})?\s*[\])—–|-]*\s*$", re.I)
 MOST_WORDS, MOST_PAIRS, MOST_TEMPLATES = 600_000, 1_500_000, 50_000
 LEAST_COUNT = 4
+#: Cost of a listed confusion before the corpus tells how frequent each is, and of an edit that no list has.
+CONFUSED, UNSEEN_EDIT = 3.0, 9.0
 
 
 class Trie:
@@ -135,78 +145,126 @@ def explained(read: str, printed: str, most: int = 2) -> int | None:
     return best.get((len(read), len(printed)))
 
 
-def misread(read: str, trie: Trie, least: float = 0, most: int = 2) -> dict[str, tuple[int, int]]:
-    """(fewest confusions, count) of every word of the trie counted at least ``least`` times from which at
-    most ``most`` confusions make ``read``. A state is a place in ``read`` with the confusions so far, so one
-    of several letters (a ligature, rn for m) costs no more than any other."""
-    out: dict[str, tuple[int, int]] = {}
-    stack = [("", trie.root, 0, 0)]
+def misread(read: str, trie: Trie, least: float = 0, most: int = 2, costs: dict[tuple[str, str], float] | None = None) -> dict[str, tuple[int, int, float]]:
+    """(fewest confusions, count, their cost) of every word of the trie counted at least ``least`` times from which at
+    most ``most`` confusions make ``read``. A state is a place in ``read`` with the confusions so far, so one of
+    several letters (a ligature, rn for m) costs no more than any other. Without ``costs`` each costs CONFUSED."""
+    out: dict[str, tuple[int, int, float]] = {}
+    stack = [("", trie.root, 0, 0, 0.0)]
+    costs = costs or {}
     while stack:
-        pre, node, i, c = stack.pop()
+        pre, node, i, c, cost = stack.pop()
         if i == len(read):
-            if node[1] and node[1] >= least and c < out.get(pre, (most + 1, 0))[0]:
-                out[pre] = (c, node[1])
+            if node[1] and node[1] >= least and (c, cost) < (out[pre][0], out[pre][2]) if pre in out else node[1] and node[1] >= least:
+                out[pre] = (c, node[1], cost)
             continue
-        steps = [(read[i], 1, 0)]
+        steps = [(read[i], 1, 0, 0.0)]
         if c < most:
-            steps += [(b, n, 1) for n in (1, 2) if i + n <= len(read) for b in _BY_READ.get(read[i : i + n], ())]
-        for b, n, k in steps:
+            steps += [(b, n, 1, costs.get((read[i : i + n], b), CONFUSED)) for n in (1, 2) if i + n <= len(read) for b in _BY_READ.get(read[i : i + n], ())]
+        for b, n, k, w in steps:
             nxt = node
             for ch in b:
                 nxt = nxt[0].get(ch)
                 if nxt is None or nxt[2] < least:
                     break
             else:
-                stack.append((pre + b, nxt, i + n, c + k))
+                stack.append((pre + b, nxt, i + n, c + k, cost + w))
     return out
 
 
+def confusion_of(read: str, printed: str) -> tuple[str, str] | None:
+    """The single listed confusion that turns ``printed`` into ``read``, or None."""
+    i = 0
+    while i < min(len(read), len(printed)) and read[i] == printed[i]:
+        i += 1
+    for at in range(max(0, i - 1), i + 1):
+        for n in (1, 2):
+            for b in _BY_READ.get(read[at : at + n], ()):
+                if len(read[at : at + n]) == n and printed == read[:at] + b + read[at + n :]:
+                    return read[at : at + n], b
+    return None
+
+
+#: Scores of candidates by unlisted edits are set so far down, to be told apart.
+UNSEEN = -1000.0
+
+
+def candidates_of(word: str, own: int, trie: Trie, ratio: float = 25.0, costs: dict[tuple[str, str], float] | None = None) -> tuple[tuple[str, float], ...]:
+    """(printed word, score) of every word of the trie that may have been read as ``word``, which itself is counted
+    ``own`` times: all that up to two listed confusions explain, however many edits these are."""
+    if len(word) < 2:
+        return ()
+    strange = not _WHOLE_WORD.fullmatch(word)
+    base = float(max(own, 1)) if strange else ratio * (4.0 if len(word) < 4 else 1.0) * max(own, 0.5)
+    out = []
+    for v, (k, n, cost) in misread(word, trie, max(base, LEAST_COUNT), costs=costs).items():
+        if v != word and len(v) > 1 and (strange or n >= base * ratio ** (k - 1)):
+            out.append((v, math.log(n) - cost))
+    return tuple(sorted(out, key=lambda x: (-x[1], x[0])))
+
+
+def unlisted_of(word: str, own: int, trie: Trie, ratio: float = 25.0) -> tuple[tuple[str, float], ...]:
+    """(printed word, score) of all words within one edit (two from nine letters) of an uncounted word, found by the
+    Levenshtein automaton: for words in small letters that no listed confusion explains. They score below UNSEEN."""
+    out = []
+    if not own and len(word) >= 5 and _WHOLE_WORD.fullmatch(word):
+        base = ratio * 0.5
+        for v, e, n in LevenshteinAutomaton(word, 2 if len(word) >= 9 else 1).within(trie, base * ratio):
+            if v != word and len(v) > 3:
+                out.append((v, UNSEEN + math.log(n) - UNSEEN_EDIT * e))
+    return tuple(sorted(out, key=lambda x: (-x[1], x[0])))
+
+
 class Repairer:
     """Repair of single texts with a vocabulary, word pairs and header templates of the whole corpus."""
 
-    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], templates: set[str], ratio: float = 25.0):
-        self.counts, self.pairs, self.templates, self.ratio = counts, pairs, templates, ratio
-        self.trie = Trie(counts)
-        self.candidates = lru_cache(maxsize=300_000)(self._candidates)
-
-    def _candidates(self, word: str) -> tuple[tuple[str, float], ...]:
-        own = self.counts.get(word, 0)
-        if len(word) < 2:
-            return ()
-        strange = not re.fullmatch(_WORD, word)
-        base = float(max(own, 1)) if strange else self.ratio * (4.0 if len(word) < 4 else 1.0) * max(own, 0.5)
-        out = []
-        for v, (k, n) in misread(word, self.trie, max(base, LEAST_COUNT)).items():
-            if v != word and len(v) > 1 and (strange or n >= base * self.ratio ** (k - 1)):
-                out.append((v, math.log(n) - 3.0 * k))
-        return tuple(sorted(out, key=lambda x: (-x[1], x[0])))
+    def __init__(self, counts: dict[str, int], pairs: dict[tuple[str, str], int], templates: set[str], costs: dict[tuple[str, str], float] | None = None, found: dict[str, tuple[tuple[str, float], ...]] | None = None, ratio: float = 25.0):
+        self.counts, self.pairs, self.templates, self.costs, self.ratio = counts, pairs, templates, costs or {}, ratio
+        if found is None:
+            self.trie = Trie(counts)
+            self.candidates = lru_cache(maxsize=300_000)(lambda w: candidates_of(w, self.counts.get(w, 0), self.trie, self.ratio, self.costs))
+            self.unlisted = lru_cache(maxsize=300_000)(lambda w: unlisted_of(w, self.counts.get(w, 0), self.trie, self.ratio))
+        else:  # candidates looked up beforehand
+            self.candidates = lambda w: tuple(x for x in found.get(w, ()) if x[1] > UNSEEN)
+            self.unlisted = lambda w: tuple(x for x in found.get(w, ()) if x[1] <= UNSEEN)
+        self.judged = lru_cache(maxsize=300_000)(self._judged)
+
+    def _judged(self, core: str) -> tuple[bool, str | None]:
+        """(whether neighbours must decide, else what was printed or None) of a word by itself."""
+        low = core.lower()
+        if _NET.search(core):
+            return False, None
+        number = self.number(core)
+        if number is not None:
+            return False, number if number != core else None
+        if not _ANY_LETTER.search(core) or _CODE.fullmatch(core):
+            return False, None
+        if self.candidates(low) or core.islower() and self.unlisted(low):
+            return True, None
+        if len(core) > 3 and _SIGN_IN_WORD.fullmatch(core):
+            return False, core.translate(_PLAIN)  # a name the vocabulary lacks: the sign's usual letter
+        if "-" in low.strip("-"):
+            parts = core.split("-")
+            fixed = [self.fix(p, "", "") or p if len(p) > 2 else p for p in parts]
+            return False, "-".join(fixed) if fixed != parts else None
+        return False, None
 
     def fix(self, core: str, before: str, after: str) -> str | None:
         """What was printed for the word ``core`` between its neighbours, or None if it may stand."""
+        open_, fixed = self.judged(core)
+        if not open_:
+            return fixed
         low = core.lower()
-        if re.search(r"[@/\\]|\.\w+\.|\w\.\w{3,}", core):
-            return None
-        number = self.number(core)
-        if number is not None:
-            return number if number != core else None
-        if not re.search(r"[^\W\d_]", core):
-            return None
-        if re.fullmatch(r"(?:FY|Q|H|v|V|No)?[\d.,:/-]+(?:[a-zA-Z%]{1,2})?|[A-Z]{1,3}\d+[A-Z]*|\d+[A-Za-z]{1,3}", core):
-            return None
-        cands = self.candidates(low)
-        if not cands:
-            if len(core) > 3 and re.fullmatch(r"[A-Za-z]+[0156+][a-z]+|[A-Za-z][a-z]{2,}[0156+]", core):
-                return core.translate(_PLAIN)  # a name the vocabulary lacks: the sign's usual letter
-            if "-" in low.strip("-"):
-                parts = core.split("-")
-                fixed = [self.fix(p, "", "") or p if len(p) > 2 else p for p in parts]
-                return "-".join(fixed) if fixed != parts else None
-            return None
         best, score = None, -1e9
-        for v, s in cands:
-            c = s + 1.5 * math.log1p(self.pairs.get((before, v), 0)) + 1.5 * math.log1p(self.pairs.get((v, after), 0))
+        for v, s in self.candidates(low) or self.unlisted(low):
+            near = math.log1p(self.pairs.get((before, v), 0)) + math.log1p(self.pairs.get((v, after), 0))
+            if s <= UNSEEN and not near:
+                continue  # an edit that no list has needs a neighbour's word for it
+            c = (s - UNSEEN if s <= UNSEEN else s) + 1.5 * near
             if c > score:
                 best, score = v, c
+        if best is None:
+            return None
         own = self.counts.get(low, 0)
         if own:
             here = math.log(own) + 1.5 * math.log1p(self.pairs.get((before, low), 0)) + 1.5 * math.log1p(self.pairs.get((low, after), 0))
@@ -219,8 +277,8 @@ class Repairer:
     @staticmethod
     def number(core: str) -> str | None:
         """A number read with letters in it as digits; None if it isn't a number."""
-        m = re.fullmatch(r"((?:FY|Q|v)?)([\dlIOo|][\dlIOo|.,'’]*)((?:m|mn|bn|x|k|st|nd|rd|th)?)", core)
-        if not m or not re.search(r"\d", m.group(2)):
+        m = _NUMERIC.fullmatch(core)
+        if not m or not _HAS_DIGIT.search(m.group(2)):
             return None
         body = m.group(2)
         if re.fullmatch(r"\d[lIOo|]", body) and len(core) == 2 and body[1] in "o":
@@ -228,21 +286,22 @@ class Repairer:
         return m.group(1) + body.translate(str.maketrans("lIOo|", "11001")) + m.group(3)
 
     def is_scan(self, text: str) -> bool:
-        """Whether most line breaks come where the next word did not fit the text's width."""
+        """Whether most line breaks come where the next word did not fit the text's width, at any width; a text of
+        fewer than three lines, whose width says nothing, must split a known word over a line end."""
         lines = [x.rstrip() for x in text.split("\n")]
-        prose = [x for x in lines if x.strip() and not re.search(r"\S\s{3,}\S", x) and not _PAGE.match(x)]
-        if len(prose) < 3:
+        if len(lines) < 2:
             return False
+        prose = [x for x in lines if x.strip() and not _GAPS.search(x) and not _PAGE.match(x)]
+        if len(prose) < 3:
+            return any(self.splits(a, b) for a, b in zip(prose, prose[1:]))
         lens = sorted((len(x) for x in prose), reverse=True)
         # The text's width: the greatest length that several lines nearly reach, so one long header is none.
         width = next((n for k, n in enumerate(lens) if sum(n - 7 <= m <= n for m in lens) >= min(3, len(lens))), lens[0])
-        if width > 130 or width < 20:
-            return False
         # Misread letters shift widths a little; only a text with other marks of a scan gets that allowance.
-        slack = 4 if any(_PAGE.match(x) or re.search(rf"[a-z][{HYPHENS}]$", x) for x in lines if x) else 1
+        slack = 4 if any(_PAGE.match(x) or x[-1:] in HYPHENS and re.search(rf"[a-z][{HYPHENS}]$", x) for x in lines if x) else 1
         fits = wraps = 0
         for a, b in zip(lines, lines[1:]):
-            if not a.strip() or not b.strip() or _PAGE.match(a) or _PAGE.match(b) or re.search(r"\S\s{3,}\S", a):
+            if not a.strip() or not b.strip() or _PAGE.match(a) or _PAGE.match(b) or _GAPS.search(a):
                 continue
             first = b.split()[0]
             if len(a) + 1 + len(first) > width - slack or a[-1] in HYPHENS:
@@ -251,6 +310,13 @@ class Repairer:
                 fits += 1
         return wraps >= 2 and wraps >= 2 * fits
 
+    def splits(self, a: str, b: str) -> bool:
+        """Whether a word that the corpus knows in one piece runs over the end of line ``a`` into ``b``."""
+        if not _SPLIT.search(a) or not b.strip():
+            return False
+        left, right = a.split()[-1][:-1].strip(_EDGE).lower(), b.split()[0].strip(_EDGE).lower()
+        return right.isalpha() and self.counts.get(left + right, 0) >= LEAST_COUNT and self.counts.get(left, 0) < self.counts[left + right]
+
     def template(self, line: str) -> str:
         """A line with its rare words and numbers masked and misread words repaired."""
         t = re.sub(r"\s+", " ", line.strip())
@@ -287,6 +353,16 @@ class Repairer:
     def headerlike(s: str) -> bool:
         return 8 <= len(s) <= 70 and s[-1] not in ".,;:!?-¬‐­" and len(s.split()) >= 2 and not _PAGE.match(s) and s[0].isupper()
 
+    def confusions(self, text: str, into: Counter) -> None:
+        """Counts the confusions of words that have one candidate only, by a single confusion."""
+        for tok in text.split():
+            low = tok.strip(_EDGE).lower()
+            found = self.candidates(low) if len(low) > 3 and not self.counts.get(low, 0) else ()
+            if len(found) == 1 and found[0][1] > UNSEEN:
+                c = confusion_of(low, found[0][0])
+                if c:
+                    into[c] += 1
+
     def findings(self, text: str) -> tuple[list[tuple[int, str, str]], str]:
         """(line, kind, fixed) of each noise, and the repaired text."""
         if not self.is_scan(text):
@@ -402,33 +478,194 @@ def learn_language(chunks: DataFrame, content: str = "content") -> tuple[DataFra
     return words, pairs
 
 
+def learned_costs(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
+    """Cost of each listed confusion: CONFUSED on the average of those seen, less for frequent ones by the logarithm of
+    their share, at most one more for those never seen."""
+    n = sum(counts.values())
+    if not n:
+        return {}
+    k = len(CONFUSIONS)
+    return {c: CONFUSED + max(-1.0, min(1.0, 0.25 * math.log((n + k) / k / (counts.get(c, 0) + 1)))) for c in CONFUSIONS}
+
+
+_FINDINGS = "repaired string, findings array<struct<line_no:int,noise_kind:string,fixed:string>>"
+
+
 def repair_scans(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
-    """chunk_id, repaired, findings (array of line_no, noise_kind, fixed), one row a distinct id and text."""
-    src = spread(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(content).alias("content")).where("chunk_id is not null").dropDuplicates(["chunk_id", "content"]))
-    words, pairs = learn_language(src)
+    """chunk_id, repaired, findings (array of line_no, noise_kind, fixed), one row a distinct id and text.
+
+    Words, word pairs and header templates of the corpus travel with the tasks up to MOST_WORDS, MOST_PAIRS and
+    MOST_TEMPLATES; beyond that each text gets its own by joins (``_repair_joined``), with the same result.
+    """
+    src = shared_checkpoint(spread(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(content).alias("content")).where("chunk_id is not null").dropDuplicates(["chunk_id", "content"])))
+    words, pairs = (shared_checkpoint(x) for x in learn_language(src))
+    if words.limit(MOST_WORDS + 1).count() > MOST_WORDS or pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        return _repair_joined(src, words, pairs)
     counts = {r["w"]: r["count"] for r in bounded_rows(words, MOST_WORDS, "vocabulary")}
     pair_counts = {(r["a"], r["b"]): r["count"] for r in bounded_rows(pairs, MOST_PAIRS, "word pairs")}
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rep = Repairer(counts, {}, set())
         for p in batches:
-            c: Counter = Counter()
-            for t in p["content"]:
-                if isinstance(t, str):
-                    c.update(rep.header_evidence(t))
-            yield pd.DataFrame(list(c.items()), columns=["t", "n"])
-
-    # A template must stand in several texts, so one odd line makes no header.
-    found = src.mapInPandas(evidence, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).where("n >= 3 and t <> 'X' and t rlike '[a-z]'")
+            yield _evidence((rep, t) for t in p["content"])
+
+    seen = shared_checkpoint(_summed(src.mapInPandas(evidence, "kind string, a string, b string, n bigint")))
+    costs = _costs(seen)
+    found = _templates(seen)
+    if found.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
+        return _repair_joined(src, words, pairs)
     templates = {r["t"] for r in bounded_rows(found, MOST_TEMPLATES, "header templates")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rep = Repairer(counts, pair_counts, templates)
+        rep = Repairer(counts, pair_counts, templates, costs)
+        for p in batches:
+            yield pd.DataFrame([_row(rep, i, t) for i, t in zip(p["chunk_id"], p["content"])], columns=["chunk_id", "repaired", "findings"])
+
+    return src.mapInPandas(run, f"chunk_id {src.schema['chunk_id'].dataType.simpleString()}, {_FINDINGS}")
+
+
+def _row(rep: Repairer, i: object, t: object) -> tuple:
+    f, fixed = rep.findings(t) if isinstance(t, str) else ([], None)
+    return i, fixed, [{"line_no": a, "noise_kind": b, "fixed": c} for a, b, c in f]
+
+
+def _evidence(texts) -> pd.DataFrame:
+    """Header templates ('t') and confusions ('c') of texts, summed within the batch."""
+    heads: Counter = Counter()
+    conf: Counter = Counter()
+    for rep, t in texts:
+        if isinstance(t, str) and rep.is_scan(t):
+            heads.update(rep.header_evidence(t))
+            rep.confusions(t, conf)
+    return pd.DataFrame([("t", t, "", n) for t, n in heads.items()] + [("c", a, b, n) for (a, b), n in conf.items()], columns=["kind", "a", "b", "n"])
+
+
+def _summed(evidence: DataFrame) -> DataFrame:
+    return evidence.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def _costs(seen: DataFrame) -> dict[tuple[str, str], float]:
+    return learned_costs({(r["a"], r["b"]): r["n"] for r in bounded_rows(seen.where("kind = 'c'"), len(CONFUSIONS), "confusions")})
+
+
+def _templates(seen: DataFrame) -> DataFrame:
+    """Templates that stand in several texts, so that one odd line makes no header."""
+    return seen.where("kind = 't' and n >= 3 and a <> 'X' and a rlike '[a-z]'").select(F.col("a").alias("t"))
+
+
+def words_needed(text: str) -> set[str]:
+    """Every word of a text whose count or candidates its repair may ask for."""
+    toks = [t.strip(_EDGE).lower() for t in text.split()]
+    out = set(toks)
+    for w in toks:
+        out |= set(w.split("-"))
+    ends = [(a.split(), b) for a in text.split("\n") if a.split() and a.split()[-1][-1] in HYPHENS for b in {x.split()[0] for x in text.split("\n") if x.split()}]
+    for own, head in ends:
+        left, right = own[-1][:-1].lstrip(_EDGE).lower(), head.strip(_EDGE).lower()
+        out |= {left, left.strip(_EDGE), right, left + right, left.strip(_EDGE) + right, left + "-" + right, left.split("-")[-1], right.split("-")[0]}
+    out.discard("")
+    return out
+
+
+def pairs_needed(text: str, found: dict[str, tuple[tuple[str, float], ...]]) -> set[tuple[str, str]]:
+    """Every pair of neighbours whose count the ranking of a text's candidates may ask for. Furniture may be taken out
+    between two words, so words of lines beyond are neighbours too."""
+    lines = [[t.strip(_EDGE).lower() for t in x.split()] for x in text.split("\n") if x.strip()]
+    out: set[tuple[str, str]] = set()
+
+    def add(x: str, y: str) -> None:
+        out.update((x, v) for v in (y, *(v for v, _ in found.get(y, ()))))
+        out.update((v, y) for v in (x, *(v for v, _ in found.get(x, ()))))
+
+    for k, own in enumerate(lines):
+        for x, y in zip(own, own[1:]):
+            add(x, y)
+        for nxt in lines[k + 1 : k + 5]:
+            add(own[-1], nxt[0])
+    return out
+
+
+def _repair_joined(src: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``repair_scans`` with a vocabulary of any size. Candidates are looked up once for each distinct word, in parts
+    of the vocabulary that fit a task; words, candidates, pairs and templates then reach each text by joins."""
+    kind = src.schema["chunk_id"].dataType.simpleString()
+    texts = src.where("content is not null").select(F.xxhash64("content").alias("h"), "content").dropDuplicates(["h"])
+
+    def need_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame([(h, w) for h, t in zip(p["h"], p["content"]) for w in sorted(words_needed(t))], columns=["h", "w"])
+
+    need = shared_checkpoint(texts.mapInPandas(need_words, "h bigint, w string"))
+    asked = shared_checkpoint(need.select("w").distinct().join(words, "w", "left").select("w", F.coalesce("count", F.lit(0)).alias("own")))
+    parts = -(-words.count() // MOST_WORDS) or 1
+
+    def looked_up(costs: dict) -> DataFrame:
+        out = None
+        for k in range(parts):
+            vocabulary = {r["w"]: r["count"] for r in bounded_rows(words.where(F.pmod(F.xxhash64("w"), F.lit(parts)) == k), 2 * MOST_WORDS, "part of the vocabulary")}
+
+            def run(batches: Iterator[pd.DataFrame], vocabulary=vocabulary) -> Iterator[pd.DataFrame]:
+                trie = Trie(vocabulary)
+                for p in batches:
+                    yield pd.DataFrame([(w, v, s) for w, own in zip(p["w"], p["own"]) for v, s in (*candidates_of(w, int(own), trie, costs=costs), *unlisted_of(w, int(own), trie))], columns=["w", "v", "s"])
+
+            part = asked.mapInPandas(run, "w string, v string, s double")
+            out = part if out is None else out.unionByName(part)
+        # Unlisted edits count only for words that no listed confusion explains in any part.
+        listed = out.groupBy("w").agg(F.max("s").alias("m"))
+        out = out.join(listed, "w").where(f"s > {UNSEEN} or m <= {UNSEEN}")
+        named = out.join(words.select(F.col("w").alias("v"), "count"), "v").groupBy("w").agg(F.collect_list(F.struct("v", "s", "count")).alias("found"))
+        own = need.join(asked, "w").join(named, "w", "left").groupBy("h").agg(F.collect_list(F.struct("w", "own", "found")).alias("known"))
+        return texts.join(own, "h", "left")
+
+    def local(known: object) -> tuple[dict, dict]:
+        counts, found = {}, {}
+        for r in known if known is not None else ():
+            if r["own"]:
+                counts[r["w"]] = r["own"]
+            if r["found"] is not None and len(r["found"]):
+                found[r["w"]] = tuple(sorted(((x["v"], x["s"]) for x in r["found"]), key=lambda x: (-x[1], x[0])))
+                counts.update({x["v"]: x["count"] for x in r["found"]})
+        return counts, found
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            made = []
+            for t, known in zip(p["content"], p["known"]):
+                counts, found = local(known)
+                made.append((Repairer(counts, {}, set(), found=found), t))
+            yield _evidence(made)
+
+    # Repeated texts count as often as they stand in the corpus.
+    times = src.where("content is not null").groupBy(F.xxhash64("content").alias("h")).agg(F.count("*").alias("times"))
+    first = looked_up({}).join(times, "h").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    seen = shared_checkpoint(_summed(first.select("content", "known").mapInPandas(evidence, "kind string, a string, b string, n bigint")))
+    ready = shared_checkpoint(looked_up(_costs(seen)))
+
+    def need_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield pd.DataFrame([(h, a, b) for h, t, k in zip(p["h"], p["content"], p["known"]) for a, b in sorted(pairs_needed(t, local(k)[1]))], columns=["h", "a", "b"])
+
+    def need_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for h, t, k in zip(p["h"], p["content"], p["known"]):
+                counts, found = local(k)
+                rep = Repairer(counts, {}, set(), found=found)
+                out += [(h, x) for x in sorted({rep.template(x) for x in t.split("\n") if x.strip()})] if rep.is_scan(t) else []
+            yield pd.DataFrame(out, columns=["h", "t"])
+
+    two = ready.mapInPandas(need_pairs, "h bigint, a string, b string").join(pairs, ["a", "b"]).groupBy("h").agg(F.collect_list(F.struct("a", "b", "count")).alias("two"))
+    heads = ready.mapInPandas(need_heads, "h bigint, t string").join(_templates(seen), "t").groupBy("h").agg(F.collect_set("t").alias("heads"))
+    full = src.withColumn("h", F.xxhash64("content")).join(ready.select("h", "known"), "h", "left").join(two, "h", "left").join(heads, "h", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for i, t in zip(p["chunk_id"], p["content"]):
-                f, fixed = rep.findings(t) if isinstance(t, str) else ([], None)
-                rows.append((i, fixed, [{"line_no": a, "noise_kind": b, "fixed": c} for a, b, c in f]))
+            for i, t, k, two_, heads_ in zip(p["chunk_id"], p["content"], p["known"], p["two"], p["heads"]):
+                counts, found = local(k)
+                pc = {(r["a"], r["b"]): r["count"] for r in (two_ if two_ is not None else ())}
+                rows.append(_row(Repairer(counts, pc, set(heads_ if heads_ is not None else ()), found=found), i, t))
             yield pd.DataFrame(rows, columns=["chunk_id", "repaired", "findings"])
 
-    return src.mapInPandas(run, f"chunk_id {chunks.schema[chunk_id].dataType.simpleString()}, repaired string, findings array<struct<line_no:int,noise_kind:string,fixed:string>>")
+    return full.select("chunk_id", "content", "known", "two", "heads").mapInPandas(run, f"chunk_id {kind}, {_FINDINGS}")

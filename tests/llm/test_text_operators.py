@@ -111,7 +111,7 @@ def test_misread_equals_brute_force():
         read = "".join(r.choice(bits + ["ﬃ"]) for _ in range(r.randint(1, 4)))
         for least in (0, 5):
             want = {v: (k, n) for v, n in vocab.items() if n >= least and (k := ocr.explained(read, v)) is not None}
-            assert ocr.misread(read, trie, least) == want
+            assert {v: x[:2] for v, x in ocr.misread(read, trie, least).items()} == want
 
 
 def test_neighbours_decide_among_all_candidates():
@@ -493,3 +493,32 @@ def test_aliases_are_a_parameter_and_learned(spark):
     out = canonical.map_names(spark.createDataFrame(rows, "case int, kind string, typed string"), entries, "kind", "typed", "kind", "id", "name", ["case"], None, "case")
     by = {r["typed"]: (r["canonical_id"], r["match_kind"]) for r in out.select("typed", "canonical_id", "match_kind").distinct().collect()}
     assert by["monthly outlay"] == (1, "learned") and by["monthly outlya"] == (1, "learned") and by["balancing figure"][0] == 0 and by[names[3]][0] == 4
+
+
+def test_two_lines_and_any_width():
+    rep = ocr.Repairer({w: 500 for w in "the selling shareholders signed off mostly notes on".split()}, {}, set())
+    f, fixed = rep.findings("The selling sharehold-\ners signed off m0stly.")
+    assert fixed == "The selling shareholders signed off mostly." and (0, "hyphen", "shareholders") in f and (1, "char", "mostly") in f
+    assert rep.findings("One line only, m0stly.")[0] == [] and rep.findings("signed off\nmostly notes")[0] == []
+
+
+def test_unlisted_edits_need_a_neighbour():
+    words = {w: 5000 for w in "the quarterly statement shows revenue of goodwill and other costs in this period below".split()}
+    wrapped = "the quarterly stazement shows revenue of\ngoodwill and other costs in this period\nthe quarterly statement shows revenue of\ngoodwill and other costs in this period."
+    assert not [x for x in ocr.Repairer(words, {}, set()).findings(wrapped)[0] if x[1] == "char"]
+    assert (0, "char", "statement") in ocr.Repairer(words, {("quarterly", "statement"): 50}, set()).findings(wrapped)[0]
+
+
+def test_confusion_costs_follow_the_corpus():
+    costs = ocr.learned_costs({("0", "o"): 900, ("rn", "m"): 5})
+    assert costs[("0", "o")] < costs[("rn", "m")] <= costs[("q", "g")] and ocr.learned_costs({}) == {}
+    assert ocr.confusion_of("rnodern", "modern") == ("rn", "m") and ocr.confusion_of("abc", "xyz") is None
+
+
+def test_scans_with_large_vocabularies_are_joined(spark, small, monkeypatch):
+    d = spark.read.parquet(f"{small}/chunks.parquet").select("chunk_id", "content").unionByName(spark.createDataFrame([("n", None), ("e", ""), ("e", "")], "chunk_id string, content string"))
+    plain = sorted(map(str, ocr.repair_scans(d).collect()))
+    monkeypatch.setattr(ocr, "MOST_WORDS", 50)
+    monkeypatch.setattr(ocr, "MOST_PAIRS", 50)
+    joined = sorted(map(str, ocr.repair_scans(d).collect()))
+    assert joined == plain and any("noise_kind='char'" in x for x in plain)
