@@ -9,24 +9,28 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.operators.topics import TopicModel
+
 TABLES = ("documents", "entities", "topics")
+MODEL = ("model_terms", "model_centres")
 
 
 class Index(NamedTuple):
     documents: DataFrame
     entities: DataFrame
     topics: DataFrame
-    model: PipelineModel | None
+    model: TopicModel | None
 
 
 def save_index(index: Index, folder: str) -> None:
     for name in TABLES:
         getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark = index.documents.sparkSession
     if index.model is not None:
-        index.model.write().overwrite().save(f"{folder}/model")
+        for name, t in zip(MODEL, index.model.tables(spark)):
+            t.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def load_index(spark: SparkSession, folder: str) -> Index | None:
@@ -35,7 +39,7 @@ def load_index(spark: SparkSession, folder: str) -> Index | None:
     except AnalysisException:
         return None
     try:
-        model = PipelineModel.load(f"{folder}/model")
-    except Exception:  # noqa: BLE001  absent folders raise different errors by file system
+        model = TopicModel.from_tables(*[spark.read.parquet(f"{folder}/{name}") for name in MODEL])
+    except AnalysisException:
         model = None
     return Index(*tables, model)

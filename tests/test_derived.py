@@ -98,3 +98,22 @@ def test_first_present_and_faults(spark):
     assert {tuple(r) for r in S.first_present(li, ["statement_id"], ["A", "B"]).collect()} == {("s", "A", None), ("t", "B", 4.0)}
     d = spark.createDataFrame([(1, 5), (2, 13), (None, 1), (9, 99)], "q int, m int")
     assert {(r["q"], r["fault"]) for r in S.period_faults(d, {"q": (1, 4), "m": (1, 12)}).collect()} == {(2, "m"), (9, "q")}
+
+
+def test_reduction_equals_the_full_svd(spark):
+    import numpy as np
+
+    from ledgerlens.operators import topics as TP
+
+    groups = [["river", "water", "boat", "fish"], ["engine", "wheel", "road", "fuel"], ["bread", "oven", "flour", "yeast"]]
+    texts = [" ".join(g[(k + j) % 4] for j in range(3)) + (" extra" if k % 5 == 0 else "") for k in range(60) for g in groups]
+    d = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("n", None), ("e", "")], "chunk_id string, content string")
+    m = TP.fit_topics(d, topics=3, dimensions=4)
+    at = {w: k for k, w in enumerate(m.terms)}
+    x = np.zeros((len(texts), len(at)))
+    for row, (i, v) in zip(x, TP._rows(texts, at, m.idf, frozenset())):
+        row[i] = v
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(np.sum(m.directions[:, :3] * vt[:3].T, axis=0)), 1, atol=1e-4) or np.allclose(np.linalg.norm(vt[:3] @ m.directions[:, :3], 2), 1, atol=1e-4)
+    found = {r["chunk_id"]: r["topic_id"] for r in TP.chunk_topics(m, d).collect()}
+    assert len({found[str(k)] for k in range(0, 180, 3)}) == 1 and len({found[str(k)] for k in range(3)}) == 3 and "n" not in found
