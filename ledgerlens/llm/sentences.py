@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +31,11 @@ CLOSE = set("”»)）」』]’")
 BULLETS = "•*-–—·‣▪◦"
 MOST_MODEL, MOST_LANGUAGES = 400_000, 200_000
 HEADING_CHARS = 70
+_APART = frozenset("\"“”„«»()[]{}（）「」『』")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}（）「」『』]+")
+_PAIRED = re.compile(r"[“”„«»()（）「」『』\[\]\"]")
 _MARK = re.compile(r"[.!?。！？…।|؟｡．“”„«»()（）「」『』\[\]\"]")
+_STOPS, _LAST_WORD, _NEXT_WORD = re.compile(r"[.!?。！？…।|؟｡．]+"), re.compile(r"[^\s\"“”„«»()\[\]{}（）「」『』]+$"), re.compile(r"[^\s\"“”„«»()\[\]{}（）「」『』]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -75,9 +79,10 @@ class Languages:
             return s
         own = (label or "")[:2].lower()
         votes: dict[str, float] = {}
-        for w, n in Counter(_WORDS.findall(text.lower().replace("’", "'"))).items():
-            for lang, v in self.by_word.get(w, ()):
-                votes[lang] = votes.get(lang, 0.0) + v * n
+        for w in _WORDS.findall(text.lower().replace("’", "'")):
+            if w in self.by_word:
+                for lang, v in self.by_word[w]:
+                    votes[lang] = votes.get(lang, 0.0) + v
         if votes:
             return max(votes, key=lambda k: (votes[k], k == own, k))
         return own if own in self.rows else "en"
@@ -92,7 +97,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     latin = src.groupBy("lang").agg(F.avg(F.col("t").rlike(f"[{_OTHERS}]{{1}}").cast("int")).alias("o")).where("o < 0.5").select("lang")
     words = F.filter(F.regexp_extract_all(F.lower(F.translate("t", "’", "'")), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)), lambda w: F.length(w) <= 6)
     cnt = src.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    cnt = cnt.join(broadcast_if_small(latin, 10_000), "lang", "left_semi")
+    cnt = shared_checkpoint(cnt.join(broadcast_if_small(latin, 10_000), "lang", "left_semi"))
     tot = cnt.groupBy("lang").agg(F.sum("n").alias("t"))
     return cnt.join(broadcast_if_small(tot, 10_000), "lang").where(F.col("n") >= TELLING * F.col("t")).select("lang", "w", F.log(F.col("n") / F.col("t")).alias("value"))
 
@@ -161,8 +166,37 @@ def kind_of(tok: str) -> str:
     return t
 
 
-def observe(text: str, label: str | None, counts: Counter, langs: Languages) -> None:
-    """Adds the corpus counts of one text: keys (language, measure, word, next word)."""
+MEASURES = ("all", "start", "lower", "upper_mid", "stop", "line_end", "goes_on")
+
+
+@lru_cache(maxsize=200_000)
+def token_facts(tok: str) -> tuple[bool, bool, bool, str, bool, bool, bool, str]:
+    """What a token tells by itself: whether it ends with one full stop, with a hard mark, with other signs after
+    them; its kind ('' if no word); whether it is small, large, and goes on a sentence; its kind as a next word."""
+    core = tok.rstrip(",;:")
+    stop = core.endswith(".") and not core.endswith("..")
+    hard = core[-1:] in HARD or core.endswith("…") or core.endswith("..")
+    word = core.rstrip(ENDERS)
+    t = kind_of(word)
+    if not t or not (t[0].isalnum() or t[0] == "#"):
+        t = ""
+    return stop, hard, core != tok, t, word[:1].islower(), word[:1].isupper(), tok[0].islower() or tok[0].isdigit() or tok[0] in ",;:-–—", kind_of(tok.rstrip(",;:" + ENDERS))
+
+
+class Counts:
+    """Corpus counts of one batch: per language and word a row of MEASURES, word pairs, and Thai chunks."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, dict[str, list[int]]] = {}
+        self.other: Counter = Counter()
+
+    def rows(self) -> list[tuple[str, str, str, str, int]]:
+        out = [(lang, m, w, "", n) for lang, ws in self.words.items() for w, row in ws.items() for m, n in zip(MEASURES, row) if n]
+        return out + [(*k, n) for k, n in self.other.items()]
+
+
+def observe(text: str, label: str | None, counts: Counts, langs: Languages) -> None:
+    """Adds the corpus counts of one text."""
     for block in blocks_of(text):
         if block[0][2] != "text":
             continue
@@ -173,41 +207,38 @@ def observe(text: str, label: str | None, counts: Counter, langs: Languages) ->
             for st, en, _ in block:
                 for n, ch in enumerate(re.split(r"\s+", text[st:en])):
                     if ch and "฀" <= ch[0] < "຀":
-                        counts[(lang, "open" if n == 0 else "chunk", ch[:5], "")] += 1
+                        counts.other[(lang, "open" if n == 0 else "chunk", ch[:5], "")] += 1
             continue
-        toks = _TOKEN.findall(para)
-        n = len(toks)
+        words = counts.words.setdefault(lang, {})
+        facts = [token_facts(t) for t in _TOKEN.findall(para)]
+        last = len(facts) - 1
         fresh = True
-        for k, tok in enumerate(toks):
-            core = tok.rstrip(",;:")
-            stop = core.endswith(".") and not core.endswith("..")
-            hard = core[-1:] in HARD or core.endswith("…") or core.endswith("..")
-            word = core.rstrip(ENDERS)
-            t = kind_of(word)
-            if not t or not (t[0].isalnum() or t[0] == "#"):
+        for k, (stop, hard, signs, t, small, large, _, _) in enumerate(facts):
+            if not t:
                 fresh = hard
                 continue
-            cased = word[:1].isupper()
-            if word[:1].islower():
-                counts[(lang, "lower", t, "")] += 1
-            elif cased and not fresh:
-                counts[(lang, "upper_mid", t, "")] += 1
+            row = words.get(t)
+            if row is None:
+                row = words[t] = [0] * len(MEASURES)
+            row[0] += 1
             if fresh:
-                counts[(lang, "start", t, "")] += 1
-            counts[(lang, "all", t, "")] += 1
+                row[1] += 1
+            if small:
+                row[2] += 1
+            elif large and not fresh:
+                row[3] += 1
             if stop:
-                counts[(lang, "stop", t, "")] += 1
-                if k + 1 == n:
-                    counts[(lang, "line_end", t, "")] += 1
-                elif core != tok:
-                    counts[(lang, "goes_on", t, "")] += 1
+                row[4] += 1
+                if k == last:
+                    row[5] += 1
+                elif signs:
+                    row[6] += 1
                 else:
-                    nx = toks[k + 1]
-                    if nx[0].islower() or nx[0].isdigit() or nx[0] in ",;:-–—":
-                        counts[(lang, "goes_on", t, "")] += 1
-                    w = kind_of(nx.rstrip(",;:" + ENDERS))
-                    if w:
-                        counts[(lang, "pair", t, w)] += 1
+                    nxt = facts[k + 1]
+                    if nxt[6]:
+                        row[6] += 1
+                    if nxt[7]:
+                        counts.other[(lang, "pair", t, nxt[7])] += 1
             fresh = stop or hard
 
 
@@ -231,11 +262,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs = _languages(told_rows)
         for p in batches:
-            c: Counter = Counter()
+            c = Counts()
             for t, label in zip(p["t"], p["l"]):
                 if isinstance(t, str) and t.strip():
                     observe(t, label if isinstance(label, str) else None, c, langs)
-            yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "m", "w", "x", "n"])
+            yield pd.DataFrame(c.rows(), columns=["lang", "m", "w", "x", "n"])
 
     raw = spread(docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null")).mapInPandas(run, "lang string, m string, w string, x string, n bigint")
     cnt = raw.groupBy("lang", "m", "w", "x").agg(F.sum("n").alias("n"))
@@ -327,7 +358,9 @@ class Splitter:
         k = 0
         n = len(para)
         thai = _THAI.search(para) is not None
-        marks = sorted({m.start() for m in re.finditer(r"[.!?。！？…।|؟｡．]+", para)} | ({m.start() for m in re.finditer(r"\s+", para)} if thai else set()))
+        marks = [m.start() for m in _STOPS.finditer(para)]
+        if thai:
+            marks = sorted({*marks, *(m.start() for m in re.finditer(r"\s+", para))})
         for at in marks:
             if at < k:
                 continue
@@ -369,7 +402,7 @@ class Splitter:
         """Outermost (start, end) of balanced quotes and brackets."""
         out: list[tuple[int, int]] = []
         stack: list[tuple[str, int]] = []
-        for m in re.finditer(r"[“”„«»()（）「」『』\[\]\"]", para):
+        for m in _PAIRED.finditer(para):
             ch, at = m.group(), m.start()
             if stack and ch == stack[-1][0]:
                 _, st = stack.pop()
@@ -444,8 +477,10 @@ class Splitter:
         if para[at:e].startswith("…") or para[at : at + 2] == "..":
             return not small
         # one full stop
-        m = re.search(r"[^\s\"“”„«»()\[\]{}（）「」『』]+$", para[begin:at])
-        word = m.group() if m else ""
+        k = at
+        while k > begin and para[k - 1] not in _APART and not para[k - 1].isspace():
+            k -= 1
+        word = para[k:at]
         if glued:
             if not word or not (nxt.isupper() or nxt in "\"“„«(¿¡" or plain):
                 return False
@@ -456,7 +491,7 @@ class Splitter:
             tail = re.split(r"[.\-'’]", word)[-1]
             return (len(tail) >= 3 or (len(tail) == 2 and tail.islower() and (lang, tail) not in self.abbr and tail not in self.latin)) and (tail.islower() or not tail.isascii() or tail.isupper() or tail.istitle()) and "/" not in word and "@" not in word and not re.search(r"[a-z]\.[a-z]", word)
         t = kind_of(word)
-        nw = re.match(r"[^\s\"“”„«»()\[\]{}（）「」『』]+", para[j:])
+        nw = _NEXT_WORD.match(para, j)
         w = kind_of(nw.group().rstrip(",;:" + ENDERS)) if nw else ""
         if not word:
             return not small
