@@ -62,16 +62,31 @@ _ADDR_FORMS = {
 class Doc:
     """Tokens of a text with the classes the features use."""
 
-    def __init__(self, text: str, known: frozenset[str] | set[str]):
+    def __init__(self, text: str, known: frozenset[str] | set[str], memo: dict[str, str] | None = None):
         self.text = text
-        self.t = [m.group() for m in _TOK.finditer(text)]
-        self.s = [m.start() for m in _TOK.finditer(text)]
-        self.e = [a + len(x) for a, x in zip(self.s, self.t)]
-        self.n = len(self.t)
+        found = [(m.group(), m.start(), m.end()) for m in _TOK.finditer(text)]
+        self.t, self.s, self.e = ([f[j] for f in found] for j in range(3))
+        self.n = len(found)
         self.low = [x.lower() for x in self.t]
-        self.nl = [bool(k) and "\n" in text[self.e[k - 1] : self.s[k]] for k in range(self.n)]
-        self.sp = [k == 0 or self.e[k - 1] != self.s[k] for k in range(self.n)]
-        self.k = [self.kind(k, known) for k in range(self.n)]
+        self.sp = [True] * self.n
+        self.nl = [False] * self.n
+        lines = "\n" in text
+        for k in range(1, self.n):
+            gap = self.s[k] - self.e[k - 1]
+            if not gap:
+                self.sp[k] = False
+            elif lines:
+                self.nl[k] = "\n" in text[self.e[k - 1] : self.s[k]]
+        # A word in small letters has the same kind wherever it stands.
+        memo = {} if memo is None else memo
+        self.k = []
+        for k, x in enumerate(self.t):
+            c = memo.get(x)
+            if c is None:
+                c = self.kind(k, known)
+                if x.islower() and len(memo) < 500_000:
+                    memo[x] = c
+            self.k.append(c)
 
     def kind(self, k: int, known) -> str:
         """One letter: G given name, S surname-like, U unknown word, I initial, K known capital, l/u known or
@@ -97,9 +112,11 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
     """Candidate segments (start, end, type): every bounded span whose ends and inside can be of the type."""
     out: list[tuple[int, int, str]] = []
     n, t, k = d.n, d.t, d.k
-    at = {s: i for i, s in enumerate(d.s)}
-    end = {e: i + 1 for i, e in enumerate(d.e)}
+    at: dict[int, int] = {}
+    end: dict[int, int] = {}
     for m in _AT.finditer(d.text):
+        if not at:
+            at, end = {s: i for i, s in enumerate(d.s)}, {e: i + 1 for i, e in enumerate(d.e)}
         # Both sides run to the end of their characters, however long.
         a0 = m.start()
         while a0 and (d.text[a0 - 1].isalnum() or d.text[a0 - 1] in "_.+-"):
@@ -114,8 +131,16 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
             for b in [*ends[: LONGEST["email"]], *ends[-1:]]:
                 if b in end and end[b] > at[a]:
                     out.append((at[a], end[b], "email"))
+    # Tokens that postcodes have: an address needs one after its first token.
+    codes = [j for j in range(1, n) if k[j] == "d" and (len(t[j]) == 5 or (not d.sp[j] and len(t[j - 1]) <= 2 and t[j - 1].isalpha()))]
+    ahead = 0
     for i in range(n):
         x = t[i]
+        while ahead < len(codes) and codes[ahead] <= i:
+            ahead += 1
+        # No span starts at a known small word that names no unit, nor at a sign but + and (.
+        if (k[i] == "l" and d.low[i] not in UNITS) or (not x.isalnum() and x not in "+(" and not x[0].isalpha()):
+            continue
         if k[i] == "d" or x in "+(":
             if not (x in "+(" and i + 1 < n and k[i + 1] != "d") and not (i and not d.sp[i] and k[i - 1] in "GSUKIlu"):
                 digits = 0
@@ -148,13 +173,12 @@ def segments(d: Doc) -> list[tuple[int, int, str]]:
                     break
                 if y.isalnum() and 7 <= chars and digits >= 5 and one_dot(t, d.low, i, j):
                     out.append((i, j + 1, "national_id"))
-        if k[i] == "d" or d.low[i] in UNITS or (x[0].isupper() and x.isalpha() and (d.low[i] in STREET_FIRST or (i + 5 < n and any(k[q] == "d" for q in range(i + 1, i + 4))))):
+        if ahead < len(codes) and codes[ahead] < i + LONGEST["street_address"] and (k[i] == "d" or d.low[i] in UNITS or (x[0].isupper() and x.isalpha() and (d.low[i] in STREET_FIRST or (i + 5 < n and any(k[q] == "d" for q in range(i + 1, i + 4)))))):
             words = digit = lines = run_small = 0
             code = False  # whether a token that postcodes have was met
             for j in range(i, min(n, i + LONGEST["street_address"])):
                 y = t[j]
-                if k[j] == "d":
-                    code = code or (j > i and (len(y) == 5 or (not d.sp[j] and len(t[j - 1]) <= 2 and t[j - 1].isalpha())))
+                code = code or j == codes[ahead]
                 if d.nl[j] and j > i:
                     lines += 1
                 if lines > 1 or (not y.isalnum() and y not in ",.-'’" and not y.replace("'", "").replace("’", "").isalpha()):
@@ -408,13 +432,14 @@ def trim(text: str, a: int, b: int, typ: str) -> tuple[int, int]:
 class PiiFinder:
     def __init__(self, known: set[str] | frozenset[str], weights: dict[str, float] | None = None):
         self.known = known
+        self.memo: dict[str, str] = {}
         self.crf = SemiCrf(weights if weights is not None else load_weights())
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, type) of the mentions in order."""
         if not text or not re.search(r"\w", text):
             return []
-        d = Doc(text, self.known)
+        d = Doc(text, self.known, self.memo)
         out = []
         for a, b, y in self.crf.decode(d):
             s, e = trim(text, d.s[a], d.e[b - 1], y)
