@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.pdf import read_pdf
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -84,15 +86,6 @@ def read_json(data: bytes) -> str:
     return json.dumps(json.loads(read_text(data)), ensure_ascii=False, indent=1)
 
 
-def read_pdf(data: bytes) -> str:
-    """Needs a PDF library at run time; without one the file is rejected with a message."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF library installed") from e
-    return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
-
-
 #: Extractors by suffix; a plug-in adds or replaces entries.
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {".txt": read_text, ".md": read_text, ".xml": read_html, ".docx": read_docx, ".xlsx": read_xlsx, ".pptx": read_pptx, ".csv": read_table(","), ".tsv": read_table("\t"), ".html": read_html, ".htm": read_html, ".json": read_json, ".pdf": read_pdf}
 
