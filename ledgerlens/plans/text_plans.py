@@ -74,7 +74,7 @@ KEY_INFO_SQL = f"WITH {CHUNKS_SQL}, m AS (" + " UNION ALL ".join(f"SELECT chunk_
 
 def text_periods(spark: SparkSession, d: str) -> DataFrame:
     p = chunks_once(spark, d).where("content is not null").select("chunk_id", F.posexplode(D.periods(F.col("content"))).alias("pos", "p"))
-    return p.select("chunk_id", "pos", "p.period_type", "p.fiscal_year", "p.fiscal_quarter", "p.end_date")
+    return p.select("chunk_id", "pos", "p.period_type", *[F.coalesce(F.col(f"p.{c}").cast("string"), F.lit("")).alias(c) for c in ("fiscal_year", "fiscal_quarter", "end_date")])
 
 
 def text_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +206,7 @@ SELECT chunk_id, task, round(share,6) AS share, CASE WHEN NOT plain AND (share<0
 _YEARS = "list_transform(list_filter(list_transform(regexp_extract_all(content, '" + _re(V.PERIOD_YEAR) + "', 1), lambda x: CAST(x AS INT)), lambda y: y BETWEEN 1900 AND 2100), lambda y: {'t': 'annual', 'y': y, 'q': NULL::INT, 'e': NULL::DATE})"
 _QUARTERS = "list_transform(list_filter(list_zip(regexp_extract_all(content, '" + _re(V.PERIOD_QUARTER) + "', 1), regexp_extract_all(content, '" + _re(V.PERIOD_QUARTER) + "', 2)), lambda z: CAST(z[1] AS INT) BETWEEN 1 AND 4 AND CAST(z[2] AS INT) BETWEEN 1900 AND 2100), lambda z: {'t': 'quarterly', 'y': CAST(z[2] AS INT), 'q': CAST(z[1] AS INT), 'e': NULL::DATE})"
 _ENDS = "list_transform(list_filter(list_transform(regexp_extract_all(content, '" + _re(V.PERIOD_MONTHS) + "', 1), lambda x: CAST(try_strptime(x, '%B %d, %Y') AS DATE)), lambda e: e IS NOT NULL), lambda e: {'t': CASE WHEN regexp_matches(content,'three months|3 months') THEN 'quarterly' WHEN regexp_matches(content,'six months|6 months') THEN 'semi_annual' WHEN regexp_matches(content,'twelve months|12 months') THEN 'annual' ELSE 'custom' END, 'y': NULL::INT, 'q': NULL::INT, 'e': e})"
-PERIODS_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT chunk_id, list_concat(list_concat({_YEARS}, {_QUARTERS}), {_ENDS}) AS p FROM c WHERE content IS NOT NULL), u AS (SELECT chunk_id, unnest(range(1, len(p)+1)) AS i, p FROM p) SELECT chunk_id, CAST(i-1 AS INT) AS pos, p[i].t AS period_type, p[i].y AS fiscal_year, p[i].q AS fiscal_quarter, p[i].e AS end_date FROM u"
+PERIODS_SQL = f"WITH {CHUNKS_SQL}, p AS (SELECT chunk_id, list_concat(list_concat({_YEARS}, {_QUARTERS}), {_ENDS}) AS p FROM c WHERE content IS NOT NULL), u AS (SELECT chunk_id, unnest(range(1, len(p)+1)) AS i, p FROM p) SELECT chunk_id, CAST(i-1 AS INT) AS pos, p[i].t AS period_type, coalesce(CAST(p[i].y AS VARCHAR), '') AS fiscal_year, coalesce(CAST(p[i].q AS VARCHAR), '') AS fiscal_quarter, coalesce(CAST(p[i].e AS VARCHAR), '') AS end_date FROM u"
 PARAGRAPHS_SQL = """WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x)<>'') AS s FROM documents WHERE text IS NOT NULL),
 r AS (SELECT doc_id, s, 1 AS i, CAST(length(s[1]) AS BIGINT) AS len, 0 AS no FROM s WHERE len(s)>0
   UNION ALL SELECT doc_id, s, i+1, CASE WHEN len>0 AND len+length(s[i+1])>1000 THEN length(s[i+1]) ELSE len+length(s[i+1]) END, CASE WHEN len>0 AND len+length(s[i+1])>1000 THEN no+1 ELSE no END FROM r WHERE i<len(s)),
