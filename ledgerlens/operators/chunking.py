@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocabulary as V
 from ledgerlens.operators import detect
+from ledgerlens.session import spread
 
 SIZE, OVERLAP, TABLE_ROWS = 1000, 200, 100
 FINANCIAL_TYPES = {"balance_sheet", "income_statement", "cash_flow", "statement_of_equity"}
@@ -73,11 +74,18 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
 
 HEADER, NOTE = re.compile(V.HEADER_PATTERN), re.compile(V.NOTE_PATTERN)
 _TITLES = [(t, re.compile(p)) for t, p in V.STATEMENT_PATTERNS.items()]
+#: A word of which every match of a statement's pattern holds one; patterns run only on texts that hold it.
+_HINTS = {"income_statement": ("income", "profit", "operations", "earnings"), "balance_sheet": ("financial", "balance"), "cash_flow": ("cash",), "statement_of_equity": ("holders", "equity"), "notes": ("notes",), "management_discussion": ("management",), "risk_factors": ("risk",)}
+
+
+def _titles_in(text: str) -> list[tuple[str, re.Pattern[str]]]:
+    low = text.lower()
+    return [(t, p) for t, p in _TITLES if any(h in low for h in _HINTS[t])]
 
 
 def statement_sections(text: str) -> list[tuple[str, str]]:
     """(type, text) split at every hit of a statement pattern; text before the first hit is typed by itself."""
-    hits = sorted((m.start(), t) for t, p in _TITLES for m in p.finditer(text))
+    hits = sorted((m.start(), t) for t, p in _titles_in(text) for m in p.finditer(text))
     starts: dict[int, str] = {}
     for at, t in hits:
         starts.setdefault(at, t)
@@ -89,7 +97,7 @@ def statement_sections(text: str) -> list[tuple[str, str]]:
 
 
 def title_of(text: str) -> str:
-    return next((t for t, p in _TITLES if p.search(text)), "unknown")
+    return next((t for t, p in _titles_in(text) if p.search(text)), "unknown")
 
 
 def header_sections(text: str) -> list[tuple[str, str]]:
@@ -181,7 +189,7 @@ def chunk_documents(docs: DataFrame, content: str = "content", doc: str = "doc_i
     derived from each chunk's own text; section_type keeps the section's."""
     drop = {"chunk_index", "chunk", "chunk_id", "section_type", "title", "statement_type", "contains_table", "financial_entities", "financial_period"}
     keep = [c for c in docs.columns if c not in drop or c in (by, content, doc)]
-    src = docs.select(*keep)
+    src = spread(docs.select(*keep))
     known = dict(SPLITTERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
