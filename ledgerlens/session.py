@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,19 @@ def broadcast_if_small(df: DataFrame, most: int, most_bytes: int = 64 << 20) ->
     return F.broadcast(df) if size["n"] <= most and size["b"] <= most_bytes else df
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(token: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds, once a Python worker and token (one model of one query), so that later tasks of the
+    worker find its tables and caches; the last two are kept."""
+    if token not in _KEPT:
+        while len(_KEPT) > 1:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[token] = make()
+    return _KEPT[token]
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Repartition a small input before a Python stage, so few or small files still use every core.
 

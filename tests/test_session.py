@@ -27,3 +27,32 @@ def test_broadcast_only_if_small(spark):
 def test_checkpoint_goes_to_the_named_folder(spark):
     S.shared_checkpoint(spark.range(3)).count()
     assert spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_models_are_kept_by_token():
+    made = []
+    build = lambda: made.append(1) or [len(made)]
+    a = S.kept("a", build)
+    assert S.kept("a", build) is a and S.kept("b", build) != a
+    S.kept("c", build)
+    assert S.kept("c", build) == [3] and len(made) == 3 and S.kept("a", build) == [4]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    import pytest
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError):
+        S.shared_checkpoint(Frame())
