@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import bounded_rows, spread
+from ledgerlens.session import bounded_rows, kept, spread
 
 MASK = (1 << 64) - 1
 COVER, REPLACED = 0.4, 8
@@ -360,8 +361,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         own = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         rows = [(r["i"], r["t"]) for r in bounded_rows(own, 2 * BLOCK_ITEMS, "block of items")]
 
-        def run(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            ix = LeakIndex(rows, **index)
+        token = uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame], rows=rows, token=token) -> Iterator[pd.DataFrame]:
+            ix = kept(token, lambda: LeakIndex(rows, **index))
             for p in batches:
                 got = ix.leaks(list(p["text"]))
                 ids = list(p["doc_id"])
